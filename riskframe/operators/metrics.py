@@ -25,10 +25,8 @@ def score_counts(df: DataFrame, label: str = "label", score: str = "score") -> D
 def score_curve(df: DataFrame, label: str = "label", score: str = "score") -> DataFrame:
     """One row per distinct score: counts at the score, tp / fp at or above it, rates, precision."""
     counts = score_counts(df, label, score)
-    curve = running_sums(counts, "score", {"pos": "tp", "neg": "fp"}, descending=True)
-    totals = counts.agg(F.struct(F.sum("pos").alias("p"), F.sum("neg").alias("n"))).scalar()
-    curve = curve.withColumns({"p": totals["p"], "n": totals["n"]})
-    return with_rates(curve)
+    return with_rates(running_sums(counts, "score", {"pos": "tp", "neg": "fp"}, descending=True,
+                                   totals={"pos": "p", "neg": "n"}))
 
 
 def with_rates(curve: DataFrame) -> DataFrame:

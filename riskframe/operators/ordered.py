@@ -70,7 +70,7 @@ def assign_ranges(pre: DataFrame, key: str, by: Sequence[str] = (), shared_bound
     if shared_bounds or not by:
         ranged = sorted_position(pre, pre.agg(bounds).scalar()["b"], F.col(key), n - 1, _RANGE)
     else:
-        joined = pre.join(F.broadcast(pre.groupBy(*by).agg(bounds)), list(by), "left")
+        joined = pre.join(F.broadcast(pre.groupBy(*by).agg(bounds)), list(by), "inner")
         ranged = sorted_position(joined, F.col("__s")["b"], F.col(key), n - 1, _RANGE).drop("__s")
     return ranged.repartition(*by, _RANGE)
 
@@ -78,15 +78,17 @@ def assign_ranges(pre: DataFrame, key: str, by: Sequence[str] = (), shared_bound
 def running_sums(pre: DataFrame, key: str, sums: dict[str, str], by: Sequence[str] = (),
                  descending: bool = False, shared_bounds: bool = True,
                  small_groups: bool = True, ranges: int | None = None,
-                 keep_range: bool = False) -> DataFrame:
+                 keep_range: bool = False, totals: dict[str, str] | None = None) -> DataFrame:
     """Inclusive running sums over ``key`` order within ``by``; ``sums`` maps input -> output.
 
+    ``totals`` also adds the group total of summed columns, which the range totals give for free.
+
     ``pre`` holds one row per (by, key).  The result of a call with ``keep_range`` can be passed in
     again; it is not ranged (and not shuffled) twice.  ``small_groups`` says that the range totals
     (ranges x groups rows) are few by construction and may be broadcast; otherwise they are joined
     by shuffle.
     """
-    by, cols = list(by), list(sums)
+    by, cols, totals = list(by), list(sums), totals or {}
     if _RANGE not in pre.columns:
         pre = assign_ranges(pre, key, by, shared_bounds, ranges)
     order = F.col(key).desc() if descending else F.col(key).asc()
@@ -95,21 +97,22 @@ def running_sums(pre: DataFrame, key: str, sums: dict[str, str], by: Sequence[st
     local = pre.select("*", *[F.sum(c).over(inside).alias(f"__l_{c}") for c in cols])
 
     # ranges rise with the key, so their order is the order of their largest key
-    totals = pre.groupBy(*by, _RANGE).agg(
+    per_range = pre.groupBy(*by, _RANGE).agg(
         F.max(key).alias("__top"), _check(pre, [*by, _RANGE]),
         *[F.sum(c).alias(f"__s_{c}") for c in cols])
     range_order = F.col("__top").desc() if descending else F.col("__top").asc()
-    before = (Window.partitionBy(*(by or [F.lit(0)])).orderBy(range_order, "__chk")
-              .rowsBetween(Window.unboundedPreceding, -1))
-    offsets = totals.select(
+    group = Window.partitionBy(*(by or [F.lit(0)]))
+    before = group.orderBy(range_order, "__chk").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = per_range.select(
         *by, _RANGE,
-        *[F.coalesce(F.sum(f"__s_{c}").over(before), F.lit(0)).alias(f"__o_{c}") for c in cols])
+        *[F.coalesce(F.sum(f"__s_{c}").over(before), F.lit(0)).alias(f"__o_{c}") for c in cols],
+        *[F.sum(f"__s_{c}").over(group).alias(out) for c, out in totals.items()])
     right = F.broadcast(offsets) if small_groups else offsets
     out = local.join(right, [*by, _RANGE], "inner")
     return out.select(
         *by, *([_RANGE] if keep_range else []),
         *[c for c in pre.columns if c not in (*by, _RANGE)],
-        *[(F.col(f"__l_{c}") + F.col(f"__o_{c}")).alias(o) for c, o in sums.items()])
+        *[(F.col(f"__l_{c}") + F.col(f"__o_{c}")).alias(o) for c, o in sums.items()], *totals.values())
 
 
 def trapezoid(df: DataFrame, x: str, y: str, by: Sequence[str] = (), out: str = "area") -> DataFrame:
@@ -175,35 +178,28 @@ def exact_quantiles(pre: DataFrame, key: str, count: str, probs: Sequence[float]
     the distinct values of a group.  Returns one row per group: by, n, ``out`` array.
     """
     pre = pre.select(*by, key, count)
-    cum = running_sums(pre, key, {count: "__cum"}, by=by, shared_bounds=not by)
-    return quantiles_from_cumulative(cum, pre, key, count, "__cum", probs, by, out)
-
-
-def quantiles_from_cumulative(cum: DataFrame, pre: DataFrame, key: str, count: str, cum_col: str,
-                              probs: Sequence[float], by: Sequence[str] = (),
-                              out: str = "quantiles") -> DataFrame:
-    """Quantiles when the running count is already there (one conditional-max aggregate)."""
-    by = list(by)
-    n_by = pre.groupBy(*by).agg(F.sum(count).alias("__n"))
-    if by:
-        joined = cum.join(F.broadcast(n_by), by, "inner")
-    else:
-        joined = cum.withColumn("__n", n_by.scalar())
-    first, last = F.col(cum_col) - F.col(count), F.col(cum_col)
-    aggs = []
+    cum = running_sums(pre, key, {count: "__cum"}, by=by, shared_bounds=not by, totals={count: "__n"})
+    found = cum.groupBy(*by).agg(F.max("__n").alias("n"), *order_statistics(key, count, "__cum", "__n", probs))
+    return found.select(*by, "n", interpolated("n", probs).alias(out))
+
+
+def order_statistics(key: str, count: str, cum: str, total: str, probs: Sequence[float]) -> list[Column]:
+    """Aggregates that pick, for each quantile, the values at the two neighbouring positions."""
+    first, last, aggs = F.col(cum) - F.col(count), F.col(cum), []
     for i, p in enumerate(probs):
-        pos = (F.col("__n") - 1) * F.lit(float(p))
+        pos = (F.col(total) - 1) * F.lit(float(p))
         for side, idx in (("lo", F.floor(pos)), ("hi", F.ceil(pos))):
-            here = (first <= idx) & (idx < last)
-            aggs.append(F.max(F.when(here, F.col(key))).alias(f"__{side}{i}"))
-    found = joined.groupBy(*by, "__n").agg(*aggs)
+            aggs.append(F.max(F.when((first <= idx) & (idx < last), F.col(key))).alias(f"__{side}{i}"))
+    return aggs
 
-    def lerp(i: int, p: float) -> Column:
-        pos = (F.col("__n") - 1) * F.lit(float(p))
-        frac, lo, hi = pos - F.floor(pos), F.col(f"__lo{i}"), F.col(f"__hi{i}")
-        return (F.when(lo == hi, lo)
-                .when(frac < 0.5, lo + (hi - lo) * frac)
-                .otherwise(hi - (hi - lo) * (1 - frac)))
 
-    arr = F.array(*[lerp(i, p).cast("double") for i, p in enumerate(probs)])
-    return found.select(*by, F.col("__n").alias("n"), arr.alias(out))
+def interpolated(total: str, probs: Sequence[float]) -> Column:
+    """Array of linearly interpolated quantiles from the ``order_statistics`` columns."""
+    out = []
+    for i, p in enumerate(probs):
+        pos = (F.col(total) - 1) * F.lit(float(p))
+        frac, lo, hi = pos - F.floor(pos), F.col(f"__lo{i}"), F.col(f"__hi{i}")
+        value = (F.when(lo == hi, lo).when(frac < 0.5, lo + (hi - lo) * frac)
+                 .otherwise(hi - (hi - lo) * (1 - frac)))
+        out.append(value.cast("double"))
+    return F.array(*out)

@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from datetime import date
 
 from pyspark.ml.feature import VectorAssembler
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from riskframe import schemas as S
@@ -22,13 +22,17 @@ def present(df: DataFrame, cols: Sequence[str]) -> list[str]:
     return [c for c in cols if c in df.columns]
 
 
-def value_counts(df: DataFrame, cols: Sequence[str], name: str = "feature") -> DataFrame:
-    """Long (feature, value, n) of numeric columns, one row per distinct value; NULL and NaN left out."""
-    cols = present(df, cols)
+def long_values(df: DataFrame, cols: Sequence[str], name: str = "feature", **extra: Column) -> DataFrame:
+    """(feature, value, extra...) rows of numeric columns; NULL and NaN left out."""
     pairs = F.inline(F.array(*[
-        F.struct(F.lit(c).alias(name), to_number(c).alias("value")) for c in cols]))
+        F.struct(F.lit(c).alias(name), to_number(c).alias("value")) for c in present(df, cols)]))
     long = df.select(pairs).where(F.col("value").isNotNull() & ~F.isnan("value"))
-    return long.groupBy(name, "value").agg(F.count(F.lit(1)).alias("n"))
+    return long.withColumns(extra) if extra else long
+
+
+def value_counts(df: DataFrame, cols: Sequence[str], name: str = "feature") -> DataFrame:
+    """(feature, value, n) of numeric columns, one row per distinct value."""
+    return long_values(df, cols, name).groupBy(name, "value").agg(F.count(F.lit(1)).alias("n"))
 
 
 def medians(df: DataFrame, cols: Sequence[str]) -> DataFrame:
@@ -131,4 +135,4 @@ def align_features(df: DataFrame, expected: Sequence[str]) -> DataFrame:
 
 __all__ = ["Imputer", "CategoryCodes", "align_features", "category_codes", "fit_codes",
            "fit_imputer", "medians", "prepare", "preprocess", "present", "temporal_split",
-           "value_counts"]
+           "value_counts", "long_values"]

@@ -31,7 +31,7 @@ from riskframe.operators import timeseries as W
 from riskframe.operators.upsert import dedup_latest, upsert
 from riskframe.plans import adapters as A
 from riskframe.plans import mart
-from riskframe.session import ensure_checkpoint_dir
+from riskframe.session import cut_lineage, ensure_checkpoint_dir
 from riskframe.sources import files as SRC
 from riskframe.sources.tables import latest_version
 from riskframe.streaming.incremental import read_stream, stream_snapshot
@@ -65,6 +65,11 @@ def _final(spark: SparkSession, d: str) -> DataFrame:
     return mart.final_features(mart.loan_features(_staging(spark, d)), mart.macro_features(_macro(spark, d)))
 
 
+def _mart(spark: SparkSession, d: str) -> DataFrame:
+    """The mart as a written table, for queries that read it more than once."""
+    return cut_lineage(_final(spark, d))
+
+
 def _curve(spark: SparkSession, d: str) -> DataFrame:
     return M.score_curve(A.scored(spark, d))
 
@@ -321,14 +326,14 @@ def applicant_contract(spark, d):
 @query
 def mart_quality(spark, d):
     rules = {**Q.not_null(["id", "installment_to_income_ratio"]), **Q.accepted_values("is_default", [0, 1])}
-    return A.plain(Q.quality_summary(_final(spark, d), rules, [["id"]]))
+    return A.plain(Q.quality_summary(_mart(spark, d), rules, [["id"]]))
 
 
 # ---- preparation ------------------------------------------------------------------------------
 
 @query
 def temporal_split_counts(spark, d):
-    train, test = T.temporal_split(_final(spark, d), cutoff=CUTOFF)
+    train, test = T.temporal_split(_mart(spark, d), cutoff=CUTOFF)
     parts = [p.agg(F.lit(name).alias("split"), F.count(F.lit(1)).alias("n"), F.sum("is_default").alias("n_default"))
              for name, p in (("train", train), ("test", test))]
     return parts[0].unionByName(parts[1])
@@ -336,23 +341,23 @@ def temporal_split_counts(spark, d):
 
 @query
 def median_impute(spark, d):
-    return A.rounded(T.medians(_final(spark, d), NUMERIC_CHECK))
+    return A.rounded(T.medians(_mart(spark, d), NUMERIC_CHECK))
 
 
 @query
 def imputed_features(spark, d):
-    df = _final(spark, d).select("id", "dti", "unemployment_rate", "unrate_lag6", "cpi_lag6")
+    df = _mart(spark, d).select("id", "dti", "unemployment_rate", "unrate_lag6", "cpi_lag6")
     return A.rounded(T.fit_imputer(df, df.columns[1:]).apply(df))
 
 
 @query
 def category_codes(spark, d):
-    return T.category_codes(_final(spark, d), S.CATEGORICAL_FEATURES)
+    return T.category_codes(_mart(spark, d), S.CATEGORICAL_FEATURES)
 
 
 @query
 def encoded_features(spark, d):
-    df = _final(spark, d).select("id", *S.CATEGORICAL_FEATURES)
+    df = _mart(spark, d).select("id", *S.CATEGORICAL_FEATURES)
     return T.fit_codes(df).apply(df)
 
 
@@ -505,13 +510,13 @@ def drift_summary(spark, d):
 @query
 def drift_final_features(spark, d):
     """The monitoring job's check: all numeric mart features, train against test split."""
-    train, test = T.temporal_split(_final(spark, d), cutoff=CUTOFF)
+    train, test = T.temporal_split(_mart(spark, d), cutoff=CUTOFF)
     return A.rounded(D.detect_drift(train, test, S.NUMERICAL_FEATURES))
 
 
 @query
 def null_shares(spark, d):
-    train, test = T.temporal_split(_final(spark, d), cutoff=CUTOFF)
+    train, test = T.temporal_split(_mart(spark, d), cutoff=CUTOFF)
     return A.rounded(D.null_shares(train, test, ["unemployment_rate", "cpi_lag6", "loan_amnt"]))
 
 
@@ -699,7 +704,7 @@ MODEL_FEATURES = ["loan_amnt", "int_rate", "annual_inc", "dti_eff", "revol_bal",
 
 
 def _model_rows(spark: SparkSession, d: str) -> DataFrame:
-    df = _final(spark, d).where("is_default is not null")
+    df = _mart(spark, d).where("is_default is not null")
     return df.select("id", "issue_d", *[F.col(f).cast("double").alias(f) for f in MODEL_FEATURES],
                      F.col("is_default").cast("double").alias("label"))
 
@@ -723,7 +728,7 @@ def gbt_scores(spark, d):
 @query
 def training_metrics(spark, d):
     """Split, fit, score and evaluate on the mart."""
-    _, metrics = ML.run_training(_final(spark, d), "logistic_regression", cutoff=CUTOFF)
+    _, metrics = ML.run_training(_mart(spark, d), "logistic_regression", cutoff=CUTOFF)
     return A.plain(metrics.select("*", "confusion_matrix.*").drop("confusion_matrix"))
 
 

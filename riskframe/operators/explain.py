@@ -78,17 +78,6 @@ def tree_leaves(model: Any, spark: SparkSession) -> list[tuple]:
     return leaves
 
 
-def _coalition_weights(m: int) -> np.ndarray:
-    """Shapley weights |S|! (m - |S| - 1)! / m! for |S| = 0..m-1."""
-    out = np.ones(m)
-    fact = [1.0]
-    for i in range(1, m + 1):
-        fact.append(fact[-1] * i)
-    for s in range(m):
-        out[s] = fact[s] * fact[m - s - 1] / fact[m]
-    return out
-
-
 def attribute_trees(df: DataFrame, model: Any, features: Sequence[str], id_col: str) -> DataFrame:
     """Long (id, feature, attribution, base_value) for boosted trees, on the margin scale.
 
@@ -101,13 +90,18 @@ def attribute_trees(df: DataFrame, model: Any, features: Sequence[str], id_col:
     feats, p = list(features), len(features)
     shared = df.sparkSession.sparkContext.broadcast(games)
 
+    def coalition_weights(m: int) -> np.ndarray:
+        """Shapley weights |S|! (m - |S| - 1)! / m! for |S| = 0..m-1."""
+        fact = np.cumprod([1.0, *range(1, m + 1)])
+        return fact[:m] * fact[:m][::-1] / fact[m]
+
     def shapley(x: np.ndarray) -> np.ndarray:
         phi = np.zeros((len(x), p))
         for value, fs, boxes, shares in shared.value:
             m = len(fs)
             if m == 0:
                 continue
-            w = _coalition_weights(m)
+            w = coalition_weights(m)
             inside = [((x[:, f] > lo) & (x[:, f] <= hi)).astype(float) for f, (lo, hi) in zip(fs, boxes)]
             for j in range(m):
                 # poly[s]: sum over coalitions of size s of the other features

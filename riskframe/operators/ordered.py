@@ -78,7 +78,8 @@ def assign_ranges(pre: DataFrame, key: str, by: Sequence[str] = (), shared_bound
 def running_sums(pre: DataFrame, key: str, sums: dict[str, str], by: Sequence[str] = (),
                  descending: bool = False, shared_bounds: bool = True,
                  small_groups: bool = True, ranges: int | None = None,
-                 keep_range: bool = False, totals: dict[str, str] | None = None) -> DataFrame:
+                 keep_range: bool = False, totals: dict[str, str] | None = None,
+                 counted_small: bool = False) -> DataFrame:
     """Inclusive running sums over ``key`` order within ``by``; ``sums`` maps input -> output.
 
     ``totals`` also adds the group total of summed columns, which the range totals give for free.

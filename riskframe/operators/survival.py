@@ -17,12 +17,15 @@ from pyspark.sql import functions as F
 
 from riskframe.functions.scalar import clip, to_number
 from riskframe.operators.ordered import running_sums, sorted_position, step_lookup, trapezoid
+from riskframe.session import cut_lineage
 
 # fixed values: month length, default term, weight floor, left-limit step
 DAYS_PER_MONTH = 30.44
 DEFAULT_TERM = 36.0
 WEIGHT_FLOOR = 1e-6
 DURATION, EVENT = "duration_months", "event"
+# counted tables up to this many rows may be broadcast or ordered in one task
+SMALL_CURVE_ROWS = 200_000
 
 
 def derive_survival(df: DataFrame, issue: str = "issue_d", end: str | None = "last_pymnt_date",
@@ -84,20 +87,23 @@ def concordance(df: DataFrame, duration: str = DURATION, score: str = "score",
     """
     rows = df.select(F.col(duration).cast("double").alias("t"), F.col(score).cast("double").alias("s"),
                      (F.col(event) == 1).alias("e")).na.drop()
-    cells = rows.groupBy("t", "e", "s").agg(F.count(F.lit(1)).alias("n"))
-    times = rows.groupBy("t").agg(F.lit(1).cast("bigint").alias("one"))
-    ranks = running_sums(times, "t", {"one": "rank"}).select("t", "rank")
-    keyed = cells.join(ranks, "t").select(
+    # written once: the input is evaluated a single time, and the plans below stay shallow
+    cells = cut_lineage(rows.groupBy("t", "e", "s").agg(F.count(F.lit(1)).alias("n")))
+    times = cells.groupBy("t").agg(F.lit(1).cast("bigint").alias("one"))
+    n_times = times.count()
+    small = n_times <= SMALL_CURVE_ROWS
+    ranks = running_sums(times, "t", {"one": "rank"}, counted_small=small).select("t", "rank")
+    keyed = cells.join(F.broadcast(ranks) if small else ranks, "t").select(
         (F.col("rank") * 2 + F.when(F.col("e"), 0).otherwise(1)).alias("k"), "e", "s", "n")
 
-    # levels needed for the largest key, as a scalar
-    top = times.agg(F.ceil(F.log2(F.count(F.lit(1)) * 2 + 2.0)).cast("int")).scalar()
-    spread = keyed.withColumn("level", F.explode(F.sequence(F.lit(0), top - 1)))
+    # bits of the largest key: 2 x times + 1
+    levels = (2 * n_times + 1).bit_length()
+    spread = keyed.withColumn("level", F.explode(F.sequence(F.lit(0), F.lit(levels - 1))))
     bit = F.expr("(shiftright(k, level) & 1)")
     spread = spread.withColumn("bit", bit).where("bit = 1 or e")
-    cells = spread.groupBy("level", F.expr("shiftright(k, level + 1)").alias("node"), "s").agg(
+    cells = cut_lineage(spread.groupBy("level", F.expr("shiftright(k, level + 1)").alias("node"), "s").agg(
         F.sum(F.when(F.col("bit") == 0, F.col("n")).otherwise(0)).alias("early"),
-        F.sum(F.when(F.col("bit") == 1, F.col("n")).otherwise(0)).alias("late"))
+        F.sum(F.when(F.col("bit") == 1, F.col("n")).otherwise(0)).alias("late")))
     ranged = running_sums(cells, "s", {"late": "late_cum", "early": "early_cum"},
                           by=["level", "node"], descending=True, small_groups=False)
     big = "decimal(19,0)"
@@ -173,30 +179,49 @@ def integrated_brier(df: DataFrame, horizons: dict[float, str], duration: str =
 
 # ---- Cox --------------------------------------------------------------------------------------
 
-SMALL_CURVE_ROWS = 200_000
+def _tie_sums():
+    """Helpers as local functions, so that they travel to the executors with the task itself."""
+
+    def _falling_sums(m: np.ndarray, d: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Sums over l = 0..d-1 of log(m - l), 1 / (m - l) and l / (m - l), elementwise.
+
+        Small d adds the terms; large d uses Euler-Maclaurin, so a tie of any size costs the same.
+        """
+        logs, inv = np.zeros_like(m), np.zeros_like(m)
+        short = d <= 64
+        for l in range(int(d[short].max()) if short.any() else 0):
+            on = short & (d > l)
+            logs[on] += np.log(m[on] - l)
+            inv[on] += 1.0 / (m[on] - l)
+        if (~short).any():
+            # the last 32 terms exactly (the sum may end near 0), the rest by the integral formula
+            mm, dd = m[~short], d[~short]
+            a, b = mm - (dd - 1 - 32), mm
+            lo = np.sum([np.log(mm - (dd - 1 - j)) for j in range(32)], axis=0)
+            iv = np.sum([1.0 / (mm - (dd - 1 - j)) for j in range(32)], axis=0)
+            lo += (b * np.log(b) - b) - (a * np.log(a) - a) + (np.log(a) + np.log(b)) / 2 + (1 / b - 1 / a) / 12
+            iv += np.log(b / a) + (1 / a + 1 / b) / 2 + (1 / a**2 - 1 / b**2) / 12
+            logs[~short], inv[~short] = lo, iv
+        return logs, inv, m * inv - d
+
+    def _falling_squares(m: np.ndarray, d: np.ndarray) -> np.ndarray:
+        """Sum over l = 0..d-1 of 1 / (m - l)^2, elementwise."""
+        out = np.zeros_like(m)
+        short = d <= 64
+        for l in range(int(d[short].max()) if short.any() else 0):
+            on = short & (d > l)
+            out[on] += 1.0 / (m[on] - l) ** 2
+        if (~short).any():
+            mm, dd = m[~short], d[~short]
+            a, b = mm - (dd - 1 - 32), mm
+            tail = np.sum([1.0 / (mm - (dd - 1 - j)) ** 2 for j in range(32)], axis=0)
+            out[~short] = tail + (1 / a - 1 / b) + (1 / a**2 + 1 / b**2) / 2 + (1 / a**3 - 1 / b**3) / 6
+        return out
 
+    return _falling_sums, _falling_squares
 
-def _falling_sums(m: np.ndarray, d: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Sums over l = 0..d-1 of log(m - l), 1 / (m - l) and l / (m - l), elementwise.
 
-    Small d adds the terms; large d uses Euler-Maclaurin, so a tie of any size costs the same.
-    """
-    logs, inv = np.zeros_like(m), np.zeros_like(m)
-    short = d <= 64
-    for l in range(int(d[short].max()) if short.any() else 0):
-        on = short & (d > l)
-        logs[on] += np.log(m[on] - l)
-        inv[on] += 1.0 / (m[on] - l)
-    if (~short).any():
-        # the last 32 terms exactly (the sum may end near 0), the rest by the integral formula
-        mm, dd = m[~short], d[~short]
-        a, b = mm - (dd - 1 - 32), mm
-        lo = np.sum([np.log(mm - (dd - 1 - j)) for j in range(32)], axis=0)
-        iv = np.sum([1.0 / (mm - (dd - 1 - j)) for j in range(32)], axis=0)
-        lo += (b * np.log(b) - b) - (a * np.log(a) - a) + (np.log(a) + np.log(b)) / 2 + (1 / b - 1 / a) / 12
-        iv += np.log(b / a) + (1 / a + 1 / b) / 2 + (1 / a**2 - 1 / b**2) / 12
-        logs[~short], inv[~short] = lo, iv
-    return logs, inv, m * inv - d
+_falling_sums, _falling_squares = _tie_sums()
 
 
 @dataclass(frozen=True)
@@ -231,8 +256,11 @@ def fit_cox(df: DataFrame, features: Sequence[str], duration: str = DURATION, ev
     sd = np.array([stats[f"s{j}"] or 1.0 for j in range(p)])
     sd[sd == 0] = 1.0
     z = [f"z{j}" for j in range(p)]
-    std = rows.select("t", "e", *[((F.col(f"x{j}") - float(mean[j])) / float(sd[j])).alias(z[j])
-                                  for j in range(p)]).persist()
+    std = cut_lineage(rows.select("t", "e", *[((F.col(f"x{j}") - float(mean[j])) / float(sd[j])).alias(z[j])
+                                              for j in range(p)]))
+
+    n_times = std.select("t").distinct().count()
+    small = n_times <= SMALL_CURVE_ROWS
 
     def linear(beta: np.ndarray) -> Column:
         return sum((F.col(z[j]) * float(beta[j]) for j in range(p)), F.lit(0.0))
@@ -249,7 +277,7 @@ def fit_cox(df: DataFrame, features: Sequence[str], duration: str = DURATION, ev
             *[F.sum(F.when(hit, F.col("w") * F.col(c)).otherwise(0.0)).alias(f"we_{c}") for c in z],
             *[F.sum(F.when(hit, F.col(c)).otherwise(0.0)).alias(f"e_{c}") for c in z])
         sums = {"w": "S0", **{f"w_{c}": f"S_{c}" for c in z}}
-        return running_sums(per_t, "t", sums, descending=True)
+        return running_sums(per_t, "t", sums, descending=True, counted_small=small)
 
     cols = ["t", "d", "we", "eta", "S0", *[f"S_{c}" for c in z], *[f"we_{c}" for c in z], *[f"e_{c}" for c in z]]
 
@@ -308,64 +336,44 @@ def fit_cox(df: DataFrame, features: Sequence[str], duration: str = DURATION, ev
 
     def hazard(table: DataFrame) -> DataFrame:
         steps = table.select("t", "d", "we", "S0").mapInPandas(hazard_terms, "t double, a double, b double")
-        return running_sums(steps, "t", {"a": "cum_a"}).select("t", "a", "b", "cum_a")
-
-    n_times = std.select("t").distinct().count()
+        return running_sums(steps, "t", {"a": "cum_a"}, counted_small=small).select("t", "a", "b", "cum_a")
 
     def derivatives(beta: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
-        table = risk_table(beta).select(*cols)
-        s = summed(table.mapInPandas(event_terms, "i int, v double"), 1 + p + p * p)
-        steps = hazard(table)
-        if n_times <= SMALL_CURVE_ROWS:
-            steps = F.broadcast(steps)
-        q = F.exp(linear(beta)) * (F.col("cum_a") - F.when(F.col("e") == 1, F.col("b")).otherwise(0.0))
-        weighted = std.join(steps, "t").select(*z, q.alias("q"))
-        gram = summed(weighted.mapInPandas(gram_terms, "i int, v double"), p * p).reshape(p, p)
+        table = risk_table(beta).select(*cols).persist()
+        try:
+            s = summed(table.mapInPandas(event_terms, "i int, v double"), 1 + p + p * p)
+            steps = F.broadcast(hazard(table)) if small else hazard(table)
+            q = F.exp(linear(beta)) * (F.col("cum_a") - F.when(F.col("e") == 1, F.col("b")).otherwise(0.0))
+            weighted = std.join(steps, "t").select(*z, q.alias("q"))
+            gram = summed(weighted.mapInPandas(gram_terms, "i int, v double"), p * p).reshape(p, p)
+        finally:
+            table.unpersist()
         return s[0], s[1:1 + p], gram - s[1 + p:].reshape(p, p)
 
     def objective(loglik: float, beta: np.ndarray) -> float:
         return loglik / n - penalizer / 2 * float(beta @ beta)
 
-    try:
-        beta = np.zeros(p)
-        loglik, grad, hess = derivatives(beta)
-        for _ in range(max_iter):
-            g = grad / n - penalizer * beta
-            step = np.linalg.solve(hess / n + penalizer * np.eye(p), g)
-            if float(g @ step) / 2 < tol:
+    beta = np.zeros(p)
+    loglik, grad, hess = derivatives(beta)
+    for _ in range(max_iter):
+        g = grad / n - penalizer * beta
+        step = np.linalg.solve(hess / n + penalizer * np.eye(p), g)
+        if float(g @ step) / 2 < tol:
+            break
+        size = 1.0
+        while True:
+            trial = beta + size * step
+            new = derivatives(trial)
+            before, after = objective(loglik, beta), objective(new[0], trial)
+            if after >= before - 1e-10 * max(1.0, abs(before)) or size < 1e-3:
                 break
-            size = 1.0
-            while True:
-                trial = beta + size * step
-                new = derivatives(trial)
-                if objective(new[0], trial) >= objective(loglik, beta) or size < 1e-3:
-                    break
-                size /= 2
-            beta, (loglik, grad, hess) = trial, new
-        baseline = running_sums(
-            hazard(risk_table(beta).select(*cols)).select("t", "a"), "t", {"a": "h0"}).select("t", "h0")
-        baseline = baseline.persist()
-        baseline.count()
-    finally:
-        std.unpersist()
+            size /= 2
+        beta, (loglik, grad, hess) = trial, new
+    baseline = cut_lineage(running_sums(
+        hazard(risk_table(beta).select(*cols)).select("t", "a"), "t", {"a": "h0"}, counted_small=small).select("t", "h0"))
     return CoxModel(tuple(feats), tuple(beta / sd), tuple(mean), float(loglik), baseline, n_times)
 
 
-def _falling_squares(m: np.ndarray, d: np.ndarray) -> np.ndarray:
-    """Sum over l = 0..d-1 of 1 / (m - l)^2, elementwise."""
-    out = np.zeros_like(m)
-    short = d <= 64
-    for l in range(int(d[short].max()) if short.any() else 0):
-        on = short & (d > l)
-        out[on] += 1.0 / (m[on] - l) ** 2
-    if (~short).any():
-        mm, dd = m[~short], d[~short]
-        a, b = mm - (dd - 1 - 32), mm
-        tail = np.sum([1.0 / (mm - (dd - 1 - j)) ** 2 for j in range(32)], axis=0)
-        out[~short] = tail + (1 / a - 1 / b) + (1 / a**2 + 1 / b**2) / 2 + (1 / a**3 - 1 / b**3) / 6
-    return out
-
-
 def risk_score(model: CoxModel) -> Column:
     """Partial hazard exp(beta . (x - mean))."""
     terms = (F.lit(b) * (F.col(f).cast("double") - F.lit(m))

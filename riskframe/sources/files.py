@@ -43,9 +43,12 @@ def clean_loans(df: DataFrame) -> DataFrame:
             continue
         source = F.col(S.CSV_RENAMES.get(name, name))
         if kind == "date":
-            value = F.coalesce(F.try_to_date(source, S.CSV_DATE_FORMAT), F.try_to_date(source, "yyyy-MM-dd"))
+            # the first character tells the format: a failed parse is much dearer than this test
+            value = F.when(source.rlike("^[0-9]"), F.try_to_date(source, "yyyy-MM-dd")).otherwise(
+                F.try_to_date(source, S.CSV_DATE_FORMAT))
         elif kind in ("int", "bigint"):
-            value = source.try_cast("decimal(38,4)").try_cast(kind)
+            # most integers are written plainly; "5.0" takes the slower decimal route
+            value = F.coalesce(source.try_cast(kind), source.try_cast("decimal(38,4)").try_cast(kind))
         elif kind == "string":
             value = source
         else:

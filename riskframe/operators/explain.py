@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Iterator, Sequence
+from dataclasses import dataclass
 from datetime import UTC, datetime
 from typing import Any
 
@@ -11,6 +12,7 @@ import numpy as np
 import pandas as pd
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
+from pyspark.ml.linalg import DenseVector
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -22,6 +24,14 @@ FEATURE, VALUE = "feature", "attribution"
 
 # ---- attributions -----------------------------------------------------------------------------
 
+@dataclass(frozen=True)
+class Scorecard:
+    """A linear score with given weights, usable wherever a fitted linear model is."""
+
+    intercept: float
+    coefficients: DenseVector
+
+
 def linear_base(model: Any, background: DataFrame, features: Sequence[str]) -> tuple[float, list[float]]:
     """Base value on the margin scale, and the background mean per feature."""
     row = background.agg(*[F.avg(F.col(f).cast("double")).alias(f"m{i}") for i, f in enumerate(features)]).first()

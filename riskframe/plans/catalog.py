@@ -11,6 +11,7 @@ from collections.abc import Callable
 from datetime import UTC, datetime
 
 from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.linalg import DenseVector
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -664,6 +665,40 @@ def curve_area(spark, d):
     return A.rounded(O.trapezoid(V.kaplan_meier(_survival(spark, d)), "t", "surv"))
 
 
+# given coefficients, so that the prediction itself can be checked against SQL
+GIVEN_BETA = {"quantity": (0.02, 25.0), "discount": (-3.0, 0.05)}
+
+
+def _given_cox(spark: SparkSession, d: str) -> tuple[DataFrame, V.CoxModel]:
+    """Survival rows and a model whose baseline hazard is taken from the Kaplan-Meier curve."""
+    df = _survival(spark, d)
+    baseline = cut_lineage(V.kaplan_meier(df).where("surv > 0").select("t", (-F.log("surv")).alias("h0")))
+    betas = tuple(b for b, _ in GIVEN_BETA.values())
+    means = tuple(m for _, m in GIVEN_BETA.values())
+    return df, V.CoxModel(tuple(GIVEN_BETA), betas, means, 0.0, baseline, baseline.count())
+
+
+@query
+def given_survival_at(spark, d):
+    df, m = _given_cox(spark, d)
+    return A.rounded(V.survival_at(df, m, [12, 24, 36], keep=["issue_d", "quantity", "discount"]))
+
+
+@query
+def given_median_survival(spark, d):
+    df, m = _given_cox(spark, d)
+    out = V.median_survival(df, m, keep=["issue_d", "quantity", "discount"])
+    return A.rounded(out.withColumn("median", F.when(F.col("median") < float("inf"), F.col("median"))))
+
+
+@query
+def given_survival_curves(spark, d):
+    df, m = _given_cox(spark, d)
+    rows = df.groupBy("quantity", "discount").agg(F.count(F.lit(1)).alias("n"))
+    rows = rows.withColumn("id", F.concat_ws("/", F.col("quantity").cast("int"), F.round(F.col("discount") * 100).cast("int")))
+    return A.rounded(V.predict_survival(rows, m, "id"))
+
+
 # ---- models (no SQL equivalent) ---------------------------------------------------------------
 
 COX_FEATURES = ["quantity", "discount", "tax"]
@@ -765,6 +800,37 @@ def tree_attributions(spark, d):
     return E.attribute_trees(rows, model, MODEL_FEATURES, "id")
 
 
+SCORECARD = {"loan_amnt": 0.00001, "int_rate": 0.15, "annual_inc": -0.00002, "dti_eff": 0.03, "open_acc": -0.01}
+
+
+def _scorecard(spark: SparkSession, d: str) -> DataFrame:
+    rows = cut_lineage(_final(spark, d).select("id", *[F.col(f).cast("double").alias(f) for f in SCORECARD]))
+    card = E.Scorecard(-2.0, DenseVector(list(SCORECARD.values())))
+    return E.attribute_linear(rows, card, rows, list(SCORECARD), "id")
+
+
+@query
+def scorecard_attributions(spark, d):
+    return A.rounded(_scorecard(spark, d))
+
+
+@query
+def scorecard_top(spark, d):
+    return A.rounded(E.top_attributions(_scorecard(spark, d), 2).drop("base_value"))
+
+
+@query
+def scorecard_importance(spark, d):
+    return A.rounded(E.global_importance(_scorecard(spark, d)))
+
+
+@query
+def scorecard_records(spark, d):
+    """Attribution maps, read back entry by entry."""
+    rec = E.attribution_records(_scorecard(spark, d), "scorecard")
+    return A.rounded(rec.select("loan_id", "model_name", F.explode("attributions").alias("feature", "attribution")))
+
+
 def _counterfactuals(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     rows = _model_rows(spark, d)
     assembled = _assembled(rows)

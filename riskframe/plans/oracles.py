@@ -607,3 +607,41 @@ FROM (SELECT o_orderkey, o_totalprice / 10000.0 AS at FROM orders) p ASOF LEFT J
 ORACLES["curve_area"] = f"""WITH {SURVIVAL}, {_km()}, p AS (SELECT t, surv, lag(t) OVER (ORDER BY t) AS pt,
   lag(surv) OVER (ORDER BY t) AS ps FROM km)
 SELECT round(sum((t - pt) * (surv + ps) / 2), 6) AS area FROM p"""
+
+# ---- prediction and attribution with given coefficients -----------------------------------------
+
+_GIVEN = f"""{SURVIVAL}, {_km()},
+base AS (SELECT t, -ln(surv) AS h0 FROM km WHERE surv > 0),
+risk AS (SELECT *, exp(0.02 * (quantity - 25.0) + -3.0 * (discount - 0.05)) AS r FROM surv)"""
+
+
+def _h0(t: int) -> str:
+    return f"coalesce((SELECT max(h0) FROM base WHERE t <= {t}), 0)"
+
+
+ORACLES["given_survival_at"] = f"""WITH {_GIVEN}
+SELECT CAST(issue_d AS STRING) AS issue_d, quantity, round(discount, 6) AS discount,
+  {", ".join(f"round(exp(-{_h0(t)} * r), 6) AS surv_{t}" for t in (12, 24, 36))} FROM risk"""
+ORACLES["given_median_survival"] = f"""WITH {_GIVEN},
+first_at AS (SELECT h0, min(t) AS t FROM base GROUP BY 1)
+SELECT CAST(issue_d AS STRING) AS issue_d, quantity, round(discount, 6) AS discount, round(t, 6) AS median
+FROM (SELECT *, ln(2) / r AS level FROM risk) p ASOF LEFT JOIN first_at ON p.level <= first_at.h0"""
+ORACLES["given_survival_curves"] = f"""WITH {_GIVEN},
+people AS (SELECT DISTINCT concat(CAST(quantity AS INT), '/', CAST(round(discount * 100) AS INT)) AS id, r FROM risk)
+SELECT id, round(t, 6) AS t, round(exp(-h0 * r), 6) AS surv FROM people CROSS JOIN base"""
+_CARD = {"loan_amnt": "0.00001", "int_rate": "0.15", "annual_inc": "-0.00002", "dti_eff": "0.03", "open_acc": "-0.01"}
+_ATTR = f"""WITH {FINAL},
+x AS (SELECT id, {", ".join(f"CAST({f} AS DOUBLE) AS {f}" for f in _CARD)} FROM final),
+m AS (SELECT {", ".join(f"avg({f}) AS {f}" for f in _CARD)} FROM x),
+attr AS (""" + " UNION ALL ".join(
+    f"SELECT id, '{f}' AS feature, {w} * (x.{f} - m.{f}) AS attribution FROM x CROSS JOIN m" for f, w in _CARD.items()) + """)"""
+_BASE_VALUE = " + ".join(f"{w} * {f}" for f, w in _CARD.items())
+ORACLES["scorecard_attributions"] = f"""{_ATTR}
+SELECT id, feature, round(attribution, 6) AS attribution, round((SELECT -2.0 + {_BASE_VALUE} FROM m), 6) AS base_value FROM attr"""
+ORACLES["scorecard_top"] = f"""{_ATTR}
+SELECT id, feature, round(attribution, 6) AS attribution, rank,
+  CASE WHEN attribution > 0 THEN 'increases_risk' ELSE 'decreases_risk' END AS direction
+FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY abs(attribution) DESC, feature) AS rank FROM attr) q WHERE rank <= 2"""
+ORACLES["scorecard_importance"] = f"{_ATTR} SELECT feature, round(avg(abs(attribution)), 6) AS importance FROM attr GROUP BY 1"
+ORACLES["scorecard_records"] = f"""{_ATTR}
+SELECT id AS loan_id, 'scorecard' AS model_name, feature, round(attribution, 6) AS attribution FROM attr"""

@@ -27,10 +27,12 @@ MAX_REPEAT_PERCENT = 50
 THRESHOLD = 0.5
 ITERATIONS = 25
 VOTES = (-1, 0, 1)
-PRIOR_GOOD, PRIOR_SHARE = 0.8, 0.02
+PRIOR_GOOD, PRIOR_SHARE = 0.8, 0.1
 PRIOR_ON_GOOD = {-1: 0.02, 0: 0.28, 1: 0.70}
 PRIOR_ON_BAD = {-1: 0.40, 0: 0.30, 1: 0.30}
 POSITION_BITS = 31
+# a word of letters with at most one mark behind it
+PLAIN = r"(?<![^\x20\x09-\x0D])\p{L}[\p{L}\p{M}'\u2019-]*+[.,;:!?]?(?![^\x20\x09-\x0D])"
 
 # rule -> (measure, bad from, good up to); measures are per word unless they are shares of lines
 RULES: dict[str, tuple[str, float, float]] = {
@@ -40,6 +42,7 @@ RULES: dict[str, tuple[str, float, float]] = {
     "capitals": ("n_upper / word_chars", 0.5, 0.25),
     "shouting": ("n_exclaim / n_words", 0.2, 0.05),
     "tokens": ("n_lone_marks / n_words", 0.2, 0.05),
+    "odd_words": ("n_odd_words / n_words", 0.4, 0.15),
 }
 
 
@@ -83,6 +86,7 @@ def measures(rows: DataFrame) -> DataFrame:
     t = t.select("__row", "__w", n.cast("long").alias("n_words"), joined.alias("__joined"),
                  F.size("__lines").cast("long").alias("n_lines"),
                  (F.size("__lines") - F.size(F.array_distinct("__lines"))).cast("long").alias("n_dup_lines"),
+                 (n - F.regexp_count("__t", F.lit(PLAIN))).cast("long").alias("n_odd_words"),
                  count(r"(?<![^\x20\x09-\x0D])[^\p{L}\p{N}\x20\x09-\x0D]+(?![^\x20\x09-\x0D])", "__t").alias("n_lone_marks"),
                  order.alias("__order"))
     t = t.withColumn("__near", repeated_words("__w"))
@@ -97,7 +101,7 @@ def measures(rows: DataFrame) -> DataFrame:
         count(SYMBOLS, "__joined").alias("n_symbols"), "n_dup_lines",
         F.when(F.size("__near") > 0, _covered(starts)).otherwise(F.lit(0)).cast("long").alias("n_repeat_words"),
         "n_lines", count(r"\p{Lu}", "__joined").alias("n_upper"), count("!", "__joined").alias("n_exclaim"),
-        "n_lone_marks")
+        "n_lone_marks", "n_odd_words")
 
 
 def votes(rules: dict[str, tuple[str, float, float]] = RULES) -> list[Column]:

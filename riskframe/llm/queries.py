@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskframe.llm import chat_format, exact_dedup, mixing, quality_rules
+from riskframe.llm import chat_format, exact_dedup, mixing, ngram_lm, packing, quality_rules, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
+TOKENIZER = "word_bpe_49k.json"
 LLM_QUERIES: dict[str, Query] = {}
 LLM_ORACLES: dict[str, str] = {}
 
@@ -28,11 +30,26 @@ def op1_quality_rules(spark: SparkSession, d: str) -> DataFrame:
     return quality_rules.judge(_table(spark, d, "documents"))
 
 
+@query
+def op3_lm_scoring(spark: SparkSession, d: str) -> DataFrame:
+    return ngram_lm.score(_table(spark, d, "documents"))
+
+
 @query
 def op4_source_mixing(spark: SparkSession, d: str) -> DataFrame:
     return mixing.mix(_table(spark, d, "documents"))
 
 
+@query
+def op5_warc_salvage(spark: SparkSession, d: str) -> DataFrame:
+    return warc.round_trip(_table(spark, d, "pages"))
+
+
+@query
+def op6_mixture_packing(spark: SparkSession, d: str) -> DataFrame:
+    return packing.pack(_table(spark, d, "documents"), public_tokenizers.path(TOKENIZER))
+
+
 @query
 def op9_chat_formatting(spark: SparkSession, d: str) -> DataFrame:
     """All conversations plus conversation -1, whose texts hold control strings."""

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskframe.llm import chat_format, exact_dedup, mixing, ngram_lm, packing, quality_rules, warc
+from riskframe.llm import chat_format, exact_dedup, mixing, ngram_lm, packing, quality_rules, toxicity, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 TOKENIZER = "word_bpe_49k.json"
@@ -50,6 +50,11 @@ def op6_mixture_packing(spark: SparkSession, d: str) -> DataFrame:
     return packing.pack(_table(spark, d, "documents"), public_tokenizers.path(TOKENIZER))
 
 
+@query
+def op8_toxicity(spark: SparkSession, d: str) -> DataFrame:
+    return toxicity.score(_table(spark, d, "documents"), _table(spark, d, "labels"))
+
+
 @query
 def op9_chat_formatting(spark: SparkSession, d: str) -> DataFrame:
     """All conversations plus conversation -1, whose texts hold control strings."""

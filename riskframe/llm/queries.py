@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskframe.llm import chat_format, exact_dedup, mixing, ngram_lm, packing, quality_rules, toxicity, warc
+from riskframe.llm import chat_format, exact_dedup, mixing, ngram_lm, packing, quality_rules, suffix_dedup, toxicity, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 TOKENIZER = "word_bpe_49k.json"
@@ -30,6 +30,11 @@ def op1_quality_rules(spark: SparkSession, d: str) -> DataFrame:
     return quality_rules.judge(_table(spark, d, "documents"))
 
 
+@query
+def op2_suffix_dedup(spark: SparkSession, d: str) -> DataFrame:
+    return suffix_dedup.remove_repeats(_table(spark, d, "documents"))
+
+
 @query
 def op3_lm_scoring(spark: SparkSession, d: str) -> DataFrame:
     return ngram_lm.score(_table(spark, d, "documents"))

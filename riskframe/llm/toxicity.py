@@ -30,8 +30,8 @@ MIN_TEXTS = 8
 FOLDS, HELD_OUT = 3, 1
 THRESHOLD = 0.7
 PREFIXES = (4, 5)
-COMMON, CHI_SQUARE = 0.05, 10.83
-EPOCHS, BATCH, RATE, DECAY = 12, 256, 0.05, 2e-4
+COMMON, CHI_SQUARE = 0.3, 20.0
+EPOCHS, BATCH, RATE, DECAY = 24, 256, 0.05, 2e-4
 MARKS = b".,;:!?\"'()[]{}<>*#$%&|_-/\\"
 CACHE_WORDS = 400_000
 SCORE_SCHEMA = "doc_id long, held_out boolean, score double, predicted int"
@@ -117,6 +117,8 @@ def fit_machine(texts: list[np.ndarray], labels: np.ndarray, factors: int = FACT
     spread = expected * (1 - positive / n) * np.maximum(n - seen, 1) / n
     telling = np.divide((with_label - expected) ** 2, spread, out=np.zeros(BUCKETS), where=spread > 0) >= CHI_SQUARE
     use = (seen >= min(MIN_TEXTS, max(3, n // 60))) & (telling | (seen >= COMMON * n))
+    if not use.any():
+        return m
     texts = [t[use[t]] for t in texts]
     m.factors[use] = rng.normal(0, 0.02, (int(use.sum()), factors))
     slow_w, slow_v, slow_b = np.full(BUCKETS, 1e-8), np.full((BUCKETS, factors), 1e-8), 1e-8
@@ -130,6 +132,8 @@ def fit_machine(texts: list[np.ndarray], labels: np.ndarray, factors: int = FACT
             margin, sums = m.margins(terms, starts)
             g = (1 / (1 + np.exp(-np.clip(margin, -50, 50))) - labels[rows]) / len(rows)
             per_term = np.repeat(g, np.diff(starts))
+            if not len(terms):
+                continue
             touched, where = np.unique(terms, return_inverse=True)
             n = len(touched)
             gw = np.bincount(where, per_term, n) + DECAY * m.weights[touched]

@@ -8,7 +8,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskframe.llm import chat_format, exact_dedup, mixing, ngram_lm, packing, quality_rules, suffix_dedup, toxicity, warc
+from riskframe.llm import (
+    chat_format, exact_dedup, jaccard_join, mixing, ngram_lm, packing, quality_rules, suffix_dedup, toxicity, warc,
+)
 
 Query = Callable[[SparkSession, str], DataFrame]
 TOKENIZER = "word_bpe_49k.json"
@@ -55,6 +57,11 @@ def op6_mixture_packing(spark: SparkSession, d: str) -> DataFrame:
     return packing.pack(_table(spark, d, "documents"), public_tokenizers.path(TOKENIZER))
 
 
+@query
+def op7_jaccard_join(spark: SparkSession, d: str) -> DataFrame:
+    return jaccard_join.join(_table(spark, d, "documents"))
+
+
 @query
 def op8_toxicity(spark: SparkSession, d: str) -> DataFrame:
     return toxicity.score(_table(spark, d, "documents"), _table(spark, d, "labels"))

@@ -189,9 +189,9 @@ def keep(docs: DataFrame, text: str = "text", threshold: float = THRESHOLD,
          rules: dict[str, tuple[str, float, float]] = RULES) -> DataFrame:
     """The documents that ``judge`` keeps, with their own columns.
 
-    The counts are taken twice, once for the estimates and once for the decision; that moves no text.
+    Counts and documents are written once, so that estimates and decision read the same counts.
     """
     names = [f"vote_{r}" for r in rules]
     rows = docs.select(F.struct(*docs.columns).alias("__row"), whole(text).alias("__t"))
-    counted = measures(rows).select("*", *votes(rules))
+    counted = cut_lineage(measures(rows).select("*", *votes(rules)))
     return _decided(counted, _fit_on(counted, names), names, threshold).where("kept").select("__row.*")

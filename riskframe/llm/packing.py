@@ -13,6 +13,7 @@ powers of two, which need no padding.
 
 from __future__ import annotations
 
+import os
 import re
 import zlib
 from collections import deque
@@ -40,28 +41,35 @@ _PIECES = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("length", p
 
 
 def word_encoder(path: str):
-    """Function text -> ids of a whole text as little-endian 16-bit bytes.
+    """Function texts -> ids of each whole text as little-endian 16-bit bytes.
 
     The vocabulary drops white space and never joins across it, so each stretch between white space
-    is encoded once and remembered.  That needs a vocabulary of at most 65,536 ids.
+    is encoded once and remembered; new stretches are encoded many at a time and told apart by the
+    positions of their tokens.  That needs a vocabulary of at most 65,536 ids.
     """
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the parallelism
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(path)
     known: dict[str, bytes] = {}
 
-    def encode(text: str) -> bytes:
-        parts = SPACE.split(text)
-        missing = list({p for p in parts if p not in known})
-        if missing:
-            if len(known) > CACHE_WORDS:
-                known.clear()
-                missing = list(set(parts))
-            for at in range(0, len(missing), 10_000):
-                some = missing[at:at + 10_000]
-                for part, found in zip(some, tokenizer.encode_batch(some, add_special_tokens=False)):
-                    known[part] = np.array(found.ids, "<u2").tobytes()
-        return b"".join([known[p] for p in parts])
+    def learn(words: list[str]) -> None:
+        found = tokenizer.encode(" ".join(words), add_special_tokens=False)
+        ids = np.array(found.ids, "<u2")
+        starts = np.cumsum([0] + [len(w) + 1 for w in words])
+        cuts = np.searchsorted(np.array([o[0] for o in found.offsets], np.int64), starts).tolist()
+        raw = ids.tobytes()
+        for word, i, j in zip(words, cuts, cuts[1:]):
+            known[word] = raw[2 * i:2 * j]
+
+    def encode(texts: list[str]) -> list[bytes]:
+        if len(known) > CACHE_WORDS:
+            known.clear()
+        parts = [SPACE.split(t) for t in texts]
+        missing = list({w for p in parts for w in p if w not in known})
+        for at in range(0, len(missing), 2_000):
+            learn(missing[at:at + 2_000])
+        return [b"".join([known[w] for w in p]) for p in parts]
 
     return encode
 
@@ -72,7 +80,7 @@ def tokenise(docs: DataFrame, tokenizer_path: str, text: str = "text") -> DataFr
         encode, end = word_encoder(tokenizer_path), np.array([END_ID], "<u2").tobytes()
         for batch in batches:
             for part in (batch.slice(i, 500) for i in range(0, batch.num_rows, 500)):
-                ids = [encode(t or "") + end for t in part.column(2).to_pylist()]
+                ids = [i + end for i in encode([t or "" for t in part.column(2).to_pylist()])]
                 yield pa.record_batch([part.column(0), part.column(1), pa.array([len(i) // 2 for i in ids], pa.int64()),
                                        pa.array(ids, pa.binary())], schema=_TOKENS)
 

@@ -244,6 +244,6 @@ def round_trip(pages: DataFrame) -> DataFrame:
     """
     spark = pages.sparkSession
     path = f"{ensure_checkpoint_dir(spark)}/warc-{uuid.uuid4().hex}"
-    write_archives(pages, path)
+    write_archives(pages, path, "gzip")
     return read_archives(spark, path).where("kind = 'record'").select(
         "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")

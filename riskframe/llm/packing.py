@@ -18,6 +18,7 @@ import re
 import zlib
 from collections import deque
 from collections.abc import Iterable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -29,7 +30,7 @@ from riskframe.session import cut_lineage
 WINDOW = 2048
 END_ID = 1
 SEGMENT_TOKENS = 1 << 19
-CACHE_WORDS = 400_000
+CACHE_WORDS = 250_000
 SPACE = re.compile("[ \\t\\n\\r]+")  # a stretch may be empty and has no ids then
 TOKEN_SCHEMA = "doc_id long, source string, n long, ids binary"
 PIECE_SCHEMA = ("doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, "
@@ -40,18 +41,21 @@ _PIECES = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("length", p
                      ("source", pa.string())])
 
 
+@lru_cache(maxsize=2)
 def word_encoder(path: str):
     """Function texts -> ids of each whole text as little-endian 16-bit bytes.
 
     The vocabulary drops white space and never joins across it, so each stretch between white space
     is encoded once and remembered; new stretches are encoded many at a time and told apart by the
-    positions of their tokens.  That needs a vocabulary of at most 65,536 ids.
+    positions of their tokens.  A worker keeps what it has learned for its next tasks, two turns of
+    CACHE_WORDS at most.  That needs a vocabulary of at most 65,536 ids.
     """
     os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the parallelism
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(path)
     known: dict[str, bytes] = {}
+    older: dict[str, bytes] = {}
 
     def learn(words: list[str]) -> None:
         found = tokenizer.encode(" ".join(words), add_special_tokens=False)
@@ -63,10 +67,16 @@ def word_encoder(path: str):
             known[word] = raw[2 * i:2 * j]
 
     def encode(texts: list[str]) -> list[bytes]:
-        if len(known) > CACHE_WORDS:
-            known.clear()
+        nonlocal known, older
+        if len(known) > CACHE_WORDS:  # words met again since the last turn stay
+            known, older = {}, known
         parts = [SPACE.split(t) for t in texts]
-        missing = list({w for p in parts for w in p if w not in known})
+        missing = []
+        for w in {w for p in parts for w in p if w not in known}:
+            if w in older:
+                known[w] = older[w]
+            else:
+                missing.append(w)
         for at in range(0, len(missing), 2_000):
             learn(missing[at:at + 2_000])
         return [b"".join([known[w] for w in p]) for p in parts]

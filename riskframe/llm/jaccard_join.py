@@ -4,8 +4,9 @@ The document by n-gram incidence matrix A gives the overlaps of all pairs as A x
 taken column by column, and only the columns that a linked pair must share are multiplied: with
 similarity t, a pair overlaps by at least t times the larger set, so among the first n - ceil(t n) + 1
 n-grams of both (in one common order) there is one they share.  The order puts n-grams seen often
-last, so that these columns are short.  Candidate pairs that pass the size bound get their full
-overlap from the two rows.
+last, so that these columns are short.  The overlaps these columns give are accumulated
+per pair; pairs that cannot reach the overlap their sizes ask for are discarded, and only the others get
+their full overlap from the two rows.
 
 * Documents with equal sets are one row of the matrix (a class), so copies never multiply.
 * A column of up to ``ALL_PAIRS`` classes gives all its pairs.  A longer one gives the pairs with one
@@ -245,6 +246,22 @@ def _fits(small: Column, large: Column, percent: int) -> Column:
     return 100 * F.least(small, large) >= percent * F.greatest(small, large)
 
 
+def _within_bounds(products: DataFrame, classes: DataFrame, entries: DataFrame, percent: int) -> DataFrame:
+    """(a, b) pairs whose accumulated overlap can still reach what their sizes ask for.
+
+    Of the shared n-grams up to the end of the shorter prefix all but those of long columns are counted
+    in the products; behind it lie at most ceil(t n) - 1 of either set.
+    """
+    counted = products.groupBy("a", "b").agg(F.count(F.lit(1)).alias("shared"))
+    in_long = entries.groupBy("node").agg(F.count(F.lit(1)).alias("long"))
+    sizes = classes.select("node", "n").join(in_long, "node", "left").select("node", "n", F.coalesce("long", F.lit(0)))
+    sized = counted.join(sizes.toDF("a", "na", "la"), "a").join(sizes.toDF("b", "nb", "lb"), "b")
+    behind = F.ceil(F.greatest("na", "nb") * percent / 100) - 1
+    most = F.col("shared") + F.least("la", "lb") + behind
+    return sized.where(_fits(F.col("na"), F.col("nb"), percent)
+                       & ((100 + percent) * most >= percent * (F.col("na") + F.col("nb")))).select("a", "b")
+
+
 def _links(pairs: DataFrame, classes: DataFrame, rows: DataFrame, percent: int) -> DataFrame:
     """(a, b) digests of the node pairs whose sets are similar enough."""
     sizes = classes.select("node", "digest", "n")
@@ -272,18 +289,20 @@ def join(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", words: int
     classes = cut_lineage(classes)
 
     products = cut_lineage(_multiply(_columns(docs, text, words, percent, _frequent(survey))))
-    pairs = cut_lineage(products.select("a", "b").distinct())
-    asked = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
+    long = products.where("long")
+    entries = long.select("column", F.col("b").alias("node")).unionByName(
+        long.select("column", F.col("a").alias("node"))).distinct()
+    entries = cut_lineage(entries)
+    pairs = cut_lineage(_within_bounds(products, classes, entries, percent))
+    asked = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).unionByName(
+        entries.select("node")).distinct()
     # a class without any id has no row to fetch by id; its documents have none to reach either
     wanted = classes.where("doc_id is not null").join(asked, "node", "left_semi")
-    rows = cut_lineage(_rows(docs, wanted, doc_id, text, words).dropDuplicates(["digest"]))
+    rows = cut_lineage(_rows(docs, wanted, doc_id, text, words))
     links = cut_lineage(_links(pairs, classes, rows, percent))
     labels = components(links)
 
     # long columns: pairs of classes in different components were not all compared yet
-    long = products.where("long")
-    entries = long.select("column", F.col("b").alias("node")).unionByName(
-        long.select("column", F.col("a").alias("node"))).distinct()
     named = classes.join(labels.toDF("digest", "label"), "digest", "left").select(
         "node", "n", F.coalesce("label", "digest").alias("label"))
     entries = cut_lineage(entries.join(named, "node"))

@@ -42,7 +42,10 @@ def merge_latest(snapshot: DataFrame | None, incoming: DataFrame, key: str, ts:
 def read_checkpoint(spark: SparkSession, path: str) -> datetime | None:
     try:
         return spark.read.parquet(f"{path}/progress").agg(F.max("end_ts")).first()[0]
-    except AnalysisException:
+    except AnalysisException as error:
+        # only an absent log means "nothing yet"; a damaged one must not be written over
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
         return None
 
 

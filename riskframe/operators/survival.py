@@ -411,7 +411,7 @@ def survival_at(df: DataFrame, model: CoxModel, horizons: Sequence[float], keep:
 
 
 def median_survival(df: DataFrame, model: CoxModel, keep: Sequence[str] = (), out: str = "median") -> DataFrame:
-    """First time with S(t | x) <= 0.5, infinity when never.
+    """First time with S(t | x) <= 0.5, infinity when never, NULL when a covariate is NULL.
 
     S(t | x) <= 0.5 is h0(t) >= ln 2 / r, so each row asks the baseline hazard for the first time
     at or above its own level: a search in a small array, or an ordered lookup when it is large.
@@ -431,4 +431,6 @@ def median_survival(df: DataFrame, model: CoxModel, keep: Sequence[str] = (), ou
         rows = rows.withColumn("__k", -F.col("__level"))
         rows = step_lookup(rows, "__k", mirrored, "k", "t", default=float("inf"), out="__t")
         found = F.col("__t")
-    return rows.select(*keep, F.coalesce(found, F.lit(float("inf"))).alias(out))
+    # a row without a risk (NULL covariates) has no median at either curve size
+    median = F.when(F.col("__level").isNotNull(), F.coalesce(found, F.lit(float("inf"))))
+    return rows.select(*keep, median.alias(out))

@@ -33,7 +33,10 @@ def _commits(spark: SparkSession, path: str) -> int:
     try:
         log = spark.read.schema("version int, committed_at timestamp").parquet(f"{path}/commits")
         return log.agg(F.coalesce(F.max("version"), F.lit(0))).first()[0]
-    except AnalysisException:
+    except AnalysisException as error:
+        # only an absent log means "nothing yet"; a damaged one must not be written over
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
         return 0
 
 

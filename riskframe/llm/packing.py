@@ -30,7 +30,7 @@ from riskframe.session import cut_lineage
 WINDOW = 2048
 END_ID = 1
 SEGMENT_TOKENS = 1 << 19
-CACHE_WORDS = 250_000
+CACHE_WORDS = 500_000
 SPACE = re.compile("[ \\t\\n\\r]+")  # a stretch may be empty and has no ids then
 TOKEN_SCHEMA = "doc_id long, source string, n long, ids binary"
 PIECE_SCHEMA = ("doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, "

@@ -29,7 +29,7 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.taskcontext import TaskContext
 
@@ -239,17 +239,18 @@ def score(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", order: in
     texts = vocabulary.where(F.col("key") == F.lit(END_KEY)).first()
     single = {BOS: texts["n"] if texts else 0, **{frequent[bytes(r["key"])]: r["n"] for r in often}}
 
-    ngrams = cut_lineage(count_ngrams(blocks, frequent, order))
-    kept = ngrams.groupBy("key").agg(F.sum("n").alias("n")).where(F.col("n") >= min_count)
-    kept = cut_lineage(kept)
+    # a block has one row per n-gram, so a window over a key holds at most one row per block
+    of_key = F.sum("n").over(Window.partitionBy("key"))
+    kept = cut_lineage(count_ngrams(blocks, frequent, order).select("block", "key", of_key.alias("n"))
+                       .where(F.col("n") >= min_count))
     history = F.shiftright("key", BITS).alias("history")
-    mass = kept.groupBy(history).agg(F.sum(F.col("n") - discount).alias("mass"))
-    model = kept.join(mass.withColumnRenamed("history", "key"), "key", "left").select("key", "n", "mass")
+    mass = cut_lineage(kept.groupBy("key").agg(F.max("n").alias("n")).groupBy(history).agg(
+        F.sum(F.col("n") - discount).alias("mass")))
     first = {r["history"]: r["mass"] for r in mass.where(F.col("history") < (1 << BITS)).collect()}  # frequent words
 
     of_words = asked.select("block", "local", "key").join(vocabulary, "key").select(
         F.col("block").alias("to"), "local", F.lit(0).cast("long").alias("key"), "n", F.lit(None).cast("double").alias("mass"))
-    of_ngrams = ngrams.select("block", "key").join(model, "key").select(
+    of_ngrams = kept.join(mass.withColumnRenamed("history", "key"), "key", "left").select(
         F.col("block").alias("to"), F.lit(-1).alias("local"), "key", "n", "mass")
     answers = of_words.unionByName(of_ngrams)
     unseen = math.log10(1 / (total + types + 1))

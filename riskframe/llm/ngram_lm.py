@@ -15,9 +15,9 @@ arc leads to the state of h' with log b(h).  A text is scored in one traversal f
 
 Spark.  Texts are tokenised once, in blocks (one per scan task up to ``BLOCK_BYTES`` of text): a written
 table of token numbers local to the block, with each block's dictionary and training counts.  Counting is
-an aggregate of the blocks' counts.  For scoring every block asks for the counts of just its own words
-and n-grams: a join by key gives each block its part of the automaton, which gives the same scores as
-the whole one.  Neither vocabulary nor n-grams are ever broadcast or collected, only the frequent words.
+one window over the blocks' counts by key.  For scoring every block is told the counts of just its own
+words (where they differ from what the block counted itself) and n-grams: its part of the automaton,
+which gives the same scores as the whole one.  Neither vocabulary nor n-grams are ever broadcast or collected, only the frequent words.
 """
 
 from __future__ import annotations
@@ -230,28 +230,39 @@ def score(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", order: in
     blocks = cut_lineage(tokenise(rows, block_bytes))
     asked = blocks.select("block", F.posexplode(F.arrays_zip("keys", "counts")).alias("local", "w")).select(
         "block", "local", F.col("w.keys").alias("key"), F.col("w.counts").alias("n"))
-    vocabulary = cut_lineage(asked.groupBy("key").agg(F.sum("n").alias("n")).where("n > 0"))
-    total, types = vocabulary.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
-
-    # at most 1 / frequent_share rows by what frequent means
-    often = vocabulary.where(F.col("n") >= frequent_share * total).select("key", "n").orderBy("key").collect()
-    frequent = {bytes(r["key"]): i for i, r in enumerate(often, BOS + 1)}
-    texts = vocabulary.where(F.col("key") == F.lit(END_KEY)).first()
-    single = {BOS: texts["n"] if texts else 0, **{frequent[bytes(r["key"])]: r["n"] for r in often}}
-
-    # a block has one row per n-gram, so a window over a key holds at most one row per block
-    of_key = F.sum("n").over(Window.partitionBy("key"))
-    kept = cut_lineage(count_ngrams(blocks, frequent, order).select("block", "key", of_key.alias("n"))
+    total = blocks.agg(F.coalesce(F.sum(F.aggregate("counts", F.lit(0).cast("long"), lambda a, n: a + n)), F.lit(0))).first()[0]
+
+    # a block has one row per word and per n-gram, so a window over a key holds at most one row per block
+    of_key = Window.partitionBy("key")
+    everywhere, first_block = F.sum("n").over(of_key), F.min("block").over(of_key)
+    often = (F.col("all") > 0) & (F.col("all") >= frequent_share * total)
+    words = cut_lineage(
+        asked.select("block", F.col("local").cast("int").alias("local"), "key", "n", everywhere.alias("all"),
+                     (F.col("block") == first_block).alias("leads"))
+        .select("block", "local", F.col("all").alias("n"), (F.col("all") != F.col("n")).alias("differs"), "leads",
+                F.when(often | (F.col("key") == F.lit(END_KEY)), F.col("key")).alias("word")))
+    types = words.where("leads and n > 0").count()
+
+    # at most 1 / frequent_share rows by what frequent means, and the end token
+    named = words.where("leads and word is not null").select("word", "n").orderBy("word").collect()
+    named = {bytes(r["word"]): r["n"] for r in named}
+    chosen = [w for w, n in named.items() if n > 0 and n >= frequent_share * total]
+    frequent = {w: i for i, w in enumerate(chosen, BOS + 1)}
+    single = {BOS: named.get(END_KEY, 0), **{i: named[w] for w, i in frequent.items()}}
+
+    kept = cut_lineage(count_ngrams(blocks, frequent, order).select("block", "key", everywhere.alias("n"))
                        .where(F.col("n") >= min_count))
     history = F.shiftright("key", BITS).alias("history")
     mass = cut_lineage(kept.groupBy("key").agg(F.max("n").alias("n")).groupBy(history).agg(
         F.sum(F.col("n") - discount).alias("mass")))
     first = {r["history"]: r["mass"] for r in mass.where(F.col("history") < (1 << BITS)).collect()}  # frequent words
 
-    of_words = asked.select("block", "local", "key").join(vocabulary, "key").select(
-        F.col("block").alias("to"), "local", F.lit(0).cast("long").alias("key"), "n", F.lit(None).cast("double").alias("mass"))
+    # a block knows its own counts: it is told those that differ, and which words are frequent
+    of_words = words.where("differs or word is not null").select(
+        F.col("block").alias("to"), "local", F.lit(0).cast("long").alias("key"), "word", "n",
+        F.lit(None).cast("double").alias("mass"))
     of_ngrams = kept.join(mass.withColumnRenamed("history", "key"), "key", "left").select(
-        F.col("block").alias("to"), F.lit(-1).alias("local"), "key", "n", "mass")
+        F.col("block").alias("to"), F.lit(-1).alias("local"), "key", F.lit(None).cast("binary").alias("word"), "n", "mass")
     answers = of_words.unionByName(of_ngrams)
     unseen = math.log10(1 / (total + types + 1))
 
@@ -260,13 +271,16 @@ def score(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", order: in
         n = found.column("n").to_numpy()
         masses = found.column("mass").to_numpy(zero_copy_only=False)
         words = local >= 0
+        name = found.column("word")
+        named_at = np.flatnonzero(name.is_valid().to_numpy())
+        numbers = [frequent.get(w, 0) for w in name.drop_null().to_pylist()]
         out = []
         for row in range(block.num_rows):
-            names = block.column("keys")[row].as_py()
-            counts = np.zeros(len(names), np.int64)
+            counts = block.column("counts")[row].values.to_numpy().copy()
             counts[local[words]] = n[words]
             base = np.where(counts > 0, np.log10((counts + 1.0) / (total + types + 1)), unseen)
-            of = _numbers(names, frequent)
+            of = np.zeros(len(counts), np.int64)
+            of[local[named_at]] = numbers
             gram = ~words
             with_mass = gram & ~np.isnan(masses)
             automaton = Automaton(
@@ -284,7 +298,7 @@ def score(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", order: in
             zip(*out), [pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64()])],
             names=["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score"])
 
-    scored = blocks.select("block", "docs", "keys").groupBy("block").cogroup(answers.groupBy("to")).applyInArrow(
+    scored = blocks.select("block", "docs", "counts").groupBy("block").cogroup(answers.groupBy("to")).applyInArrow(
         run, SCORE_SCHEMA)
     return scored.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"),
                          "base_score", "score")

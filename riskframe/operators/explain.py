@@ -180,7 +180,8 @@ def counterfactuals(df: DataFrame, model: Any, train: DataFrame, features: Seque
 
     Each row gets ``tries`` candidates with one, two, ... varied features drawn from the training
     ranges; candidates are scored as ordinary rows, and the closest by range-scaled distance stay.
-    Returns (id, rank, distance, score, features...).
+    Returns (id, rank, distance, score, found, features...).  A row for which no candidate reaches the
+    class comes out once, with ``found`` false and NULL elsewhere.
     """
     vary = list(vary or features)
     unknown = [f for f in vary if f not in features]
@@ -206,10 +207,15 @@ def counterfactuals(df: DataFrame, model: Any, train: DataFrame, features: Seque
     assembled = VectorAssembler(inputCols=list(features), outputCol="features", handleInvalid="keep").transform(new)
     scored = model.transform(assembled).withColumn("score", vector_to_array("probability")[1])
     hit = F.col("score") < threshold if desired_class == 0 else F.col("score") >= threshold
-    found = scored.where(hit).select("id", "try", "distance", "score", *features)
-    w = Window.partitionBy("id").orderBy("distance", "try")
-    return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select(
-        "id", "rank", "distance", "score", *features)
+    hit = F.coalesce(hit & ~F.isnan("score"), F.lit(False))
+    # the first try stays as the row's own mark when nothing hits
+    found = scored.withColumn("found", hit).where("found or try = 1").select(
+        "id", "try", "distance", "score", "found", *features)
+    w = Window.partitionBy("id").orderBy(F.desc("found"), "distance", "try")
+    ranked = found.withColumn("rank", F.row_number().over(w)).where(
+        (F.col("rank") <= k) & (F.col("found") | (F.col("rank") == 1)))
+    return ranked.select("id", *[F.when(F.col("found"), F.col(c)).alias(c) for c in ("rank", "distance", "score")],
+                         "found", *[F.when(F.col("found"), F.col(f)).alias(f) for f in features])
 
 
 def change_report(df: DataFrame, cf: DataFrame, features: Sequence[str], id_col: str) -> DataFrame:

@@ -80,7 +80,11 @@ def get_features(ids: DataFrame, snapshot: DataFrame, key: str, refs: Sequence[s
                  ts: str | None = None, asof: datetime | None = None,
                  ttl_days: int = S.FEATURE_TTL_DAYS) -> DataFrame:
     """One row per requested id with the referenced features; absent or expired ones are NULL."""
-    cols = [c for c in resolve_refs(refs) if c in snapshot.columns]
+    cols = resolve_refs(refs)
+    absent = [c for c in cols if c not in snapshot.columns]
+    if refs is not None and absent:
+        raise ValueError(f"the snapshot lacks {absent}")
+    cols = [c for c in cols if c not in absent]
     side = snapshot.select(key, *cols, *([ts] if ts else []))
     if ts is not None:
         oldest = (asof or datetime.now(UTC)) - timedelta(days=ttl_days)

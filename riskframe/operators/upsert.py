@@ -36,7 +36,8 @@ def upsert(base: DataFrame, incoming: DataFrame, keys: Sequence[str], update_col
     """Insert new keys whole; on a known key change only ``update_cols`` and the timestamp.
 
     Within a batch the rows of a key apply in ``order_col`` order: the first supplies the inserted
-    columns, the last the updated ones.  An incoming NULL does overwrite.
+    columns, the last the updated ones.  An incoming NULL does overwrite.  Without ``order_col`` the
+    rows of a key apply in the order of their values, so a key never comes out twice.
     ``on_duplicate="error"`` refuses a batch that names a key twice.
     """
     keys, update_cols = list(keys), list(update_cols)
@@ -49,14 +50,15 @@ def upsert(base: DataFrame, incoming: DataFrame, keys: Sequence[str], update_col
     insert_cols = [c for c in cols if c not in update_cols]
     stamp = now if isinstance(now, Column) else F.lit(now).cast("timestamp")
 
-    if order_col is None:
+    if on_duplicate == "error" and order_col is None:
         batch = incoming.select(*keys, F.struct(*insert_cols, F.lit(1).alias("__p")).alias("__first"),
                                 F.struct(*update_cols, F.lit(1).alias("__p")).alias("__last"))
     else:
+        order = order_col if order_col is not None else F.struct(*cols, F.lit(1).alias("__p"))
         # structs keep NULL fields: the whole first / last row counts, not the first non-NULL value
         batch = incoming.groupBy(*keys).agg(
-            F.min_by(F.struct(*insert_cols, F.lit(1).alias("__p")), order_col).alias("__first"),
-            F.max_by(F.struct(*update_cols, F.lit(1).alias("__p")), order_col).alias("__last"))
+            F.min_by(F.struct(*insert_cols, F.lit(1).alias("__p")), order).alias("__first"),
+            F.max_by(F.struct(*update_cols, F.lit(1).alias("__p")), order).alias("__last"))
     batch = batch.withColumn("__in", F.lit(True))
     old = base.withColumn("__old", F.lit(True))
     b, i = old.alias("b"), batch.alias("i")

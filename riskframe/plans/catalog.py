@@ -7,7 +7,7 @@ express them.
 from __future__ import annotations
 
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 from datetime import UTC, datetime
 
 from pyspark.ml.feature import VectorAssembler
@@ -41,8 +41,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 
 CUTOFF = "1999-12-31"
-NUMERIC_CHECK = ["loan_amnt", "int_rate", "annual_inc", "dti_eff", "installment_to_income_ratio",
-                 "revol_bal", "revol_util_clean", "credit_history_age_months", "unemployment_rate", "cpi_lag6"]
+MART_CHECKED = ["id", "installment_to_income_ratio", "is_default"]
 UPSERT_SPLIT = "1998-07-01"
 SNAPSHOT_WINDOW = (datetime(2024, 1, 5, tzinfo=UTC), datetime(2024, 1, 25, tzinfo=UTC))
 
@@ -66,9 +65,9 @@ def _final(spark: SparkSession, d: str) -> DataFrame:
     return mart.final_features(mart.loan_features(_staging(spark, d)), mart.macro_features(_macro(spark, d)))
 
 
-def _mart(spark: SparkSession, d: str) -> DataFrame:
-    """The mart as a written table, for queries that read it more than once."""
-    return cut_lineage(_final(spark, d))
+def _mart(spark: SparkSession, d: str, columns: Sequence[str] = ("*",)) -> DataFrame:
+    """The mart's named columns as a written table, for queries that read them more than once."""
+    return cut_lineage(_final(spark, d).select(*columns))
 
 
 def _curve(spark: SparkSession, d: str) -> DataFrame:
@@ -125,13 +124,29 @@ def final_features(spark, d):
 
 # ---- sources ----------------------------------------------------------------------------------
 
-@query
-def clean_loans(spark, d):
-    """CSV text of the loads, typed again."""
+def _loads_text(spark: SparkSession, d: str) -> DataFrame:
     raw = A.loads(spark, d)
     text = {S.CSV_RENAMES.get(n, n): (F.date_format(n, S.CSV_DATE_FORMAT) if k == "date" else F.col(n).cast("string"))
             for n, k in S.RAW_LOAN_FIELDS if n != "loaded_at"}
-    return A.plain(SRC.clean_loans(raw.select(*[c.alias(n) for n, c in text.items()])))
+    return raw.select(*[c.alias(n) for n, c in text.items()])
+
+
+@query
+def clean_loans(spark, d):
+    """CSV text of the loads, typed again."""
+    return A.plain(SRC.clean_loans(_loads_text(spark, d)))
+
+
+@query
+def csv_loans(spark, d):
+    """Loads written as CSV in another column order beside unknown columns, read by header name."""
+    text = _loads_text(spark, d)
+    names = sorted(text.columns, reverse=True)
+    note = F.concat(F.lit('of "'), "id", F.lit('", as filed'))
+    path = f"{ensure_checkpoint_dir(spark)}/loads-{uuid.uuid4().hex}"
+    text.select(*names[:5], note.alias("note"), *names[5:], F.lit("").alias("url")).write.options(
+        header=True, escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False).csv(path)
+    return A.plain(SRC.clean_loans(SRC.read_csv(spark, path)))
 
 
 @query
@@ -150,9 +165,9 @@ def _frames(spark: SparkSession, d: str, tag: str, value: str) -> DataFrame:
 
 @query
 def flatten_filings(spark, d):
-    """Nested JSON frames of two tags, flattened and stacked."""
-    parts = [SRC.flatten_frames(_frames(spark, d, tag, value))
-             for tag, value in (("Assets", "o_totalprice"), ("Revenues", "o_custkey"))]
+    """Nested JSON frames of every tag, flattened and stacked."""
+    parts = [SRC.flatten_frames(_frames(spark, d, tag, "o_custkey" if tag == "Revenues" else "o_totalprice"))
+             for tag in S.FILING_TAGS]
     return A.plain(SRC.union_frames(parts))
 
 
@@ -327,7 +342,7 @@ def applicant_contract(spark, d):
 @query
 def mart_quality(spark, d):
     rules = {**Q.not_null(["id", "installment_to_income_ratio"]), **Q.accepted_values("is_default", [0, 1])}
-    return A.plain(Q.quality_summary(_mart(spark, d), rules, [["id"]]))
+    return A.plain(Q.quality_summary(_mart(spark, d, MART_CHECKED), rules, [["id"]]))
 
 
 # ---- preparation ------------------------------------------------------------------------------
@@ -342,23 +357,23 @@ def temporal_split_counts(spark, d):
 
 @query
 def median_impute(spark, d):
-    return A.rounded(T.medians(_mart(spark, d), NUMERIC_CHECK))
+    return A.rounded(T.medians(_mart(spark, d, S.NUMERICAL_FEATURES), S.NUMERICAL_FEATURES))
 
 
 @query
 def imputed_features(spark, d):
-    df = _mart(spark, d).select("id", "dti", "unemployment_rate", "unrate_lag6", "cpi_lag6")
+    df = _mart(spark, d, ["id", *S.NUMERICAL_FEATURES])
     return A.rounded(T.fit_imputer(df, df.columns[1:]).apply(df))
 
 
 @query
 def category_codes(spark, d):
-    return T.category_codes(_mart(spark, d), S.CATEGORICAL_FEATURES)
+    return T.category_codes(_mart(spark, d, S.CATEGORICAL_FEATURES), S.CATEGORICAL_FEATURES)
 
 
 @query
 def encoded_features(spark, d):
-    df = _mart(spark, d).select("id", *S.CATEGORICAL_FEATURES)
+    df = _mart(spark, d, ["id", *S.CATEGORICAL_FEATURES])
     return T.fit_codes(df).apply(df)
 
 
@@ -478,7 +493,10 @@ def calibration_curve(spark, d):
 
 @query
 def roc_points(spark, d):
-    return A.rounded(M.roc_points(_curve(spark, d)).where("threshold < double('infinity')"), 9)
+    """Every point; the origin's infinite threshold is shown as NULL."""
+    points = M.roc_points(_curve(spark, d))
+    finite = F.when(F.col("threshold") < float("inf"), F.col("threshold"))
+    return A.rounded(points.withColumn("threshold", finite), 9)
 
 
 @query
@@ -757,7 +775,7 @@ def logreg_scores(spark, d):
 @query
 def gbt_scores(spark, d):
     rows = _assembled(_model_rows(spark, d))
-    return ML.score(rows, ML.fit_gbt(rows, params={"maxIter": 10}), keep=["id"])
+    return ML.score(rows, ML.fit_gbt(rows), keep=["id"])
 
 
 @query
@@ -796,7 +814,7 @@ def attribution_records(spark, d):
 @query
 def tree_attributions(spark, d):
     rows = _model_rows(spark, d)
-    model = ML.fit_gbt(_assembled(rows), params={"maxIter": 5, "maxDepth": 4})
+    model = ML.fit_gbt(_assembled(rows))
     return E.attribute_trees(rows, model, MODEL_FEATURES, "id")
 
 
@@ -839,7 +857,7 @@ def _counterfactuals(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]
     base_rate = rows.agg(F.avg("label")).first()[0]
     declined = ML.score(assembled, model, keep=rows.columns).where(F.col("score") >= base_rate).drop("score")
     vary = ["loan_amnt", "int_rate", "dti_eff", "open_acc"]
-    return declined, E.counterfactuals(declined, model, rows, MODEL_FEATURES, "id", vary=vary, tries=20,
+    return declined, E.counterfactuals(declined, model, rows, MODEL_FEATURES, "id", vary=vary,
                                        threshold=base_rate)
 
 

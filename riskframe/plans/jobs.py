@@ -38,8 +38,10 @@ def ingest(spark: SparkSession, root: str, loans_csv: str | None = None, series_
         tables.append_rows(files.rejected_loans(text), f"{root}/raw/loan_rejects")
     if series_path is not None:
         landed = spark.read.schema("series_id string, observation_date date, value double").parquet(series_path)
-        tables.upsert_table(spark, f"{root}/raw/series", files.read_series(landed),
-                            ["series_id", "observation_date"], ["value"], now=now, on_duplicate="error")
+        # overlapping files may repeat a key: the last row in file order wins
+        landed = landed.select("*", F.struct("_metadata.file_path", "_metadata.row_index").alias("__seq"))
+        tables.upsert_table(spark, f"{root}/raw/series", files.read_series(landed, keep=["__seq"]),
+                            ["series_id", "observation_date"], ["value"], "__seq", now=now)
     if filings_path is not None:
         landed = spark.read.schema("tag string, uom string, payload string").json(filings_path)
         facts = files.flatten_frames(landed).where("period is not null")
@@ -52,13 +54,14 @@ def build_mart(spark: SparkSession, root: str) -> DataFrame:
     loans = mart.loan_features(mart.loans_staging(tables.latest_version(spark, f"{root}/raw/loans")))
     macro = mart.macro_features(mart.macro_staging(tables.latest_version(spark, f"{root}/raw/series")))
     final = mart.final_features(loans, macro).withColumn("issue_year", F.year("issue_d"))
-    # the written candidate is checked, so the plan runs once
-    tables.write_version(final, f"{root}/mart/candidate")
-    checked = tables.latest_version(spark, f"{root}/mart/candidate")
+    # the written candidate is checked and then becomes the published version by one commit row
+    path = f"{root}/mart/final_features"
+    version = tables.stage_version(final, path, ["issue_year"])
+    checked = tables.read_version(spark, path, version)
     rules = {**quality.not_null(["id", "installment_to_income_ratio"]), **quality.accepted_values("is_default", [0, 1])}
     quality.assert_quality(quality.quality_summary(checked, rules, [["id"]]))
-    tables.write_table(checked, f"{root}/mart/final_features", partition_by=["issue_year"])
-    return spark.read.parquet(f"{root}/mart/final_features")
+    tables.commit_version(spark, path, version)
+    return checked
 
 
 def etl(spark: SparkSession, root: str, now: datetime | None = None, **landed: str) -> DataFrame:
@@ -71,7 +74,7 @@ def etl(spark: SparkSession, root: str, now: datetime | None = None, **landed: s
 
 
 def _final(spark: SparkSession, root: str) -> DataFrame:
-    return files.read_table(spark, f"{root}/mart/final_features")
+    return tables.latest_version(spark, f"{root}/mart/final_features")
 
 
 def run_drift_check(spark: SparkSession, root: str, cutoff: str = S.SPLIT_DATE,

@@ -183,6 +183,7 @@ for _n, _k in S.RAW_LOAN_FIELDS:
     _clean.append(f"CAST({_e} AS {_kind}) AS {_n}" if _kind else f"{_e} AS {_n}")
 ORACLES["clean_loans"] = f"WITH {LOADS} SELECT {', '.join(_clean)} FROM loads"
 
+ORACLES["csv_loans"] = ORACLES["clean_loans"]
 _NAMES = " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in S.SERIES_NAMES.items())
 ORACLES["read_series"] = f"""WITH {SERIES}
 SELECT series_id, CAST(observation_date AS STRING) AS observation_date, CAST(value AS DOUBLE) AS value,
@@ -190,9 +191,12 @@ SELECT series_id, CAST(observation_date AS STRING) AS observation_date, CAST(val
 FROM series WHERE series_id <> 'OTHER' AND value IS NOT NULL"""
 _filing = """SELECT concat('a-', CAST(o_orderkey AS STRING)) AS adsh, o_custkey AS cik, o_orderpriority AS company_name,
   CAST(NULL AS STRING) AS form_type, CAST(CAST(o_orderdate AS DATE) AS STRING) AS period, CAST(NULL AS INT) AS fy,
-  CAST(NULL AS STRING) AS fp, '{tag}' AS tag, CAST({value} AS DOUBLE) AS value, 'USD' AS uom FROM orders"""
-ORACLES["flatten_filings"] = (_filing.format(tag="Assets", value="o_totalprice") + "\nUNION ALL\n"
-                              + _filing.format(tag="Revenues", value="o_custkey"))
+  CAST(NULL AS STRING) AS fp, '{tag}' AS tag, CAST({value} AS DOUBLE) AS value, '{uom}' AS uom FROM orders"""
+ORACLES["flatten_filings"] = "\nUNION ALL\n".join(_filing.format(tag=t, value=v, uom=u) for t, v, u in (
+    ("NetIncomeLoss", "o_totalprice", "USD"), ("Revenues", "o_custkey", "USD"), ("Assets", "o_totalprice", "USD"),
+    ("Liabilities", "o_totalprice", "USD"), ("StockholdersEquity", "o_totalprice", "USD"),
+    ("CashAndCashEquivalentsAtCarryingValue", "o_totalprice", "USD"),
+    ("EarningsPerShareBasic", "o_totalprice", "USD/shares"), ("LongTermDebt", "o_totalprice", "USD")))
 ORACLES["json_flatten"] = "SELECT event_id, CAST(json_extract(props, '$.k') AS INT) AS k FROM events"
 
 # ---- expressions ------------------------------------------------------------------------------
@@ -333,14 +337,12 @@ ORACLES["temporal_split_counts"] = f"""WITH {FINAL}
 SELECT CASE WHEN issue_d <= DATE '{CUTOFF}' THEN 'train' ELSE 'test' END AS split, count(*) AS n,
   CAST(sum(is_default) AS BIGINT) AS n_default
 FROM final WHERE is_default IS NOT NULL AND issue_d IS NOT NULL GROUP BY 1"""
-_MEDIANS = ["loan_amnt", "int_rate", "annual_inc", "dti_eff", "installment_to_income_ratio", "revol_bal",
-            "revol_util_clean", "credit_history_age_months", "unemployment_rate", "cpi_lag6"]
 ORACLES["median_impute"] = f"WITH {FINAL}\n" + "\nUNION ALL\n".join(
     f"SELECT '{c}' AS feature, round(coalesce(quantile_cont(CAST({c} AS DOUBLE), 0.5), 0.0), 6) AS median FROM final"
-    for c in _MEDIANS)
+    for c in S.NUMERICAL_FEATURES)
 ORACLES["imputed_features"] = f"WITH {FINAL}\nSELECT id, " + ", ".join(
     f"round(coalesce(CAST({c} AS DOUBLE), (SELECT quantile_cont(CAST({c} AS DOUBLE), 0.5) FROM final)), 6) AS {c}"
-    for c in ("dti", "unemployment_rate", "unrate_lag6", "cpi_lag6")) + " FROM final"
+    for c in S.NUMERICAL_FEATURES) + " FROM final"
 ORACLES["category_codes"] = f"WITH {FINAL}\n" + "\nUNION ALL\n".join(
     f"SELECT '{c}' AS feature, v AS category, row_number() OVER (ORDER BY v) - 1 AS code "
     f"FROM (SELECT DISTINCT coalesce({c}, 'MISSING') AS v FROM final) d" for c in S.CATEGORICAL_FEATURES)
@@ -447,7 +449,8 @@ ORACLES["calibration_curve"] = f"""WITH {SCORED}
 SELECT {_bin_case("score", 10, True)} AS bin, round(avg(score), 6) AS prob_pred, round(avg(label), 6) AS prob_true,
   count(*) AS n FROM scored GROUP BY 1"""
 ORACLES["roc_points"] = f"""WITH {_curve()}
-SELECT round(score, 9) AS threshold, round(fpr, 9) AS fpr, round(tpr, 9) AS tpr FROM curve"""
+SELECT round(score, 9) AS threshold, round(fpr, 9) AS fpr, round(tpr, 9) AS tpr FROM curve
+UNION ALL SELECT NULL, 0.0, 0.0"""
 ORACLES["pr_points"] = f"""WITH {_curve()}
 SELECT round(score, 9) AS threshold, round(prec, 9) AS precision, round(tpr, 9) AS recall FROM curve
 UNION ALL SELECT NULL, 1.0, 0.0"""

@@ -15,6 +15,10 @@ def build_session(app: str = "riskframe", master: str | None = None, **conf: str
     builder = SparkSession.builder.appName(app)
     if master is not None:
         builder = builder.master(master)
+    for key, value in conf.items():
+        builder = builder.config(key, value)
+    spark = builder.getOrCreate()
+    submitted = spark.sparkContext.getConf()
     defaults = {
         "spark.sql.session.timeZone": "UTC",
         "spark.sql.adaptive.enabled": "true",
@@ -25,9 +29,10 @@ def build_session(app: str = "riskframe", master: str | None = None, **conf: str
         # run three times faster when Spark splits them instead of fusing one huge method
         "spark.sql.codegen.hugeMethodLimit": "8000",
     }
-    for key, value in {**defaults, **conf}.items():
-        builder = builder.config(key, value)
-    return builder.getOrCreate()
+    for key, value in defaults.items():
+        if key not in conf and not submitted.contains(key):
+            spark.conf.set(key, value)
+    return spark
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:

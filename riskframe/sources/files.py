@@ -7,6 +7,7 @@ from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from riskframe import schemas as S
 
@@ -15,15 +16,28 @@ FRAME_PAYLOAD = ("struct<data:array<struct<accn:string,cik:bigint,entityName:str
 CORRUPT = "_corrupt"
 
 
-def read_csv(spark: SparkSession, path: str, columns: Sequence[str] | None = None) -> DataFrame:
-    """Loan CSV with every column as text (typed by ``clean_loans``); bad lines go to ``_corrupt``.
+def read_csv(spark: SparkSession, path: str, columns: Sequence[str] | None = None,
+             multi_line: bool = False) -> DataFrame:
+    """Loan CSV, columns found by header name, as text (typed by ``clean_loans``).
 
-    Input splits take the place of fixed-size chunks; nothing is inferred.
+    The header gives the order; unknown columns are left out, absent optional ones are NULL, an absent
+    required one is an error, as is a file whose header differs from the first one's.  Doubled quotes
+    stand for a quote.  Lines that do not parse keep their text in ``_corrupt``.  ``multi_line`` allows
+    line breaks inside quotes, at the price of one task per file.
     """
     names = list(columns or [S.CSV_RENAMES.get(n, n) for n, _ in S.RAW_LOAN_FIELDS if n != "loaded_at"])
-    ddl = ", ".join(f"`{n}` string" for n in [*names, CORRUPT])
-    return (spark.read.schema(ddl).option("header", True).option("mode", "PERMISSIVE")
-            .option("columnNameOfCorruptRecord", CORRUPT).csv(path))
+    options = {"header": True, "escape": '"', "multiLine": multi_line}
+    header = spark.read.options(**options).csv(path).columns
+    absent = [c for c in S.CSV_REQUIRED if c in names and c not in header]
+    if absent:
+        raise ValueError(f"the CSV header lacks {absent}")
+    text = StructType([StructField(n, StringType()) for n in [*header, CORRUPT]])
+    # whole lines are parsed: with fewer columns the parser overlooks surplus fields
+    lines = spark.read.schema(text).options(
+        **options, mode="PERMISSIVE", columnNameOfCorruptRecord=CORRUPT, enforceSchema=False,
+        columnPruning=False).csv(path)
+    known = [F.col(f"`{n}`") if n in header else F.lit(None).cast("string").alias(n) for n in names]
+    return lines.select(*known, CORRUPT)
 
 
 def require(df: DataFrame, cols: Sequence[str]) -> DataFrame:
@@ -34,8 +48,11 @@ def require(df: DataFrame, cols: Sequence[str]) -> DataFrame:
 def clean_loans(df: DataFrame) -> DataFrame:
     """Typed loan rows from CSV text: dates, numbers, NULL and zero defaults, table names.
 
-    Unparseable values become NULL; rows without a usable id are left to ``rejected_loans``.
+    Unparseable values become NULL; broken lines and rows without a usable id are left to
+    ``rejected_loans``.
     """
+    if CORRUPT in df.columns:
+        df = df.where(F.col(CORRUPT).isNull())
     df = require(df, S.CSV_REQUIRED)
     out = []
     for name, kind in S.RAW_LOAN_FIELDS:
@@ -70,16 +87,19 @@ def rejected_loans(df: DataFrame) -> DataFrame:
     return df.withColumn("reason", reason).where("reason is not null")
 
 
-def read_series(df: DataFrame, names: dict[str, str] | None = None) -> DataFrame:
-    """Long series rows: known series only, missing observations dropped, display name added."""
+def read_series(df: DataFrame, names: dict[str, str] | None = None, keep: Sequence[str] = ()) -> DataFrame:
+    """Long series rows: known series only, missing observations dropped, display name added.
+
+    ``keep`` names further columns to carry along.
+    """
     names = names or S.SERIES_NAMES
     label = F.create_map(*[F.lit(x) for pair in names.items() for x in pair])
     value = F.col("value").cast("double")
-    keep = F.col("series_id").isin(*names) & value.isNotNull() & ~F.isnan(value)
-    return df.where(keep).select(
+    known = F.col("series_id").isin(*names) & value.isNotNull() & ~F.isnan(value)
+    return df.where(known).select(
         "series_id", F.col("observation_date").cast("date").alias("observation_date"),
         F.col("value").cast("decimal(15,4)").alias("value"),
-        label[F.col("series_id")].alias("series_name"))
+        label[F.col("series_id")].alias("series_name"), *keep)
 
 
 def flatten_frames(df: DataFrame, payload: str = "payload", tag: str = "tag",

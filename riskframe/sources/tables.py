@@ -43,7 +43,26 @@ def _commits(spark: SparkSession, path: str) -> int:
 def latest_version(spark: SparkSession, path: str) -> DataFrame | None:
     """Rows of the newest committed version, or None before the first write."""
     version = _commits(spark, path)
-    return spark.read.parquet(f"{path}/data/version={version}") if version else None
+    return read_version(spark, path, version) if version else None
+
+
+def read_version(spark: SparkSession, path: str, version: int) -> DataFrame:
+    """Rows of one version, committed or not."""
+    return spark.read.parquet(f"{path}/data/version={version}")
+
+
+def stage_version(df: DataFrame, path: str, partition_by: Sequence[str] = ()) -> int:
+    """Write ``df`` as the next version without committing it; readers still see the one before."""
+    version = _commits(df.sparkSession, path) + 1
+    write_table(df, f"{path}/data/version={version}", partition_by)
+    return version
+
+
+def commit_version(spark: SparkSession, path: str, version: int, now: datetime | None = None) -> None:
+    """Make a staged version the newest one."""
+    row = spark.range(1).select(F.lit(version).cast("int").alias("version"),
+                                F.lit(now or datetime.now(UTC)).cast("timestamp").alias("committed_at"))
+    append_rows(row, f"{path}/commits")
 
 
 def write_version(df: DataFrame, path: str, now: datetime | None = None) -> int:
@@ -51,12 +70,8 @@ def write_version(df: DataFrame, path: str, now: datetime | None = None) -> int:
 
     Older versions are only read, so a failed job leaves the table as it was.
     """
-    spark = df.sparkSession
-    version = _commits(spark, path) + 1
-    df.write.mode("overwrite").parquet(f"{path}/data/version={version}")
-    row = spark.range(1).select(F.lit(version).cast("int").alias("version"),
-                                F.lit(now or datetime.now(UTC)).cast("timestamp").alias("committed_at"))
-    append_rows(row, f"{path}/commits")
+    version = stage_version(df, path)
+    commit_version(df.sparkSession, path, version, now)
     return version
 
 

@@ -156,3 +156,47 @@ def test_staging_keeps_rows_without_outcome(spark):
     raw = df.withColumns({**cols, "loan_amnt": F.col("amt").cast("decimal(12,2)"), "issue_date": F.lit("2020-01-01").cast("date")})
     rows = mart.loans_staging(raw).collect()
     assert [(r["loan_id"], r["is_default"], float(r["dti"])) for r in rows] == [(1, None, 0.0)]
+
+
+def test_csv_by_header_quotes_and_broken_lines(spark, tmp_path):
+    names = [S.CSV_RENAMES.get(n, n) for n, _ in S.RAW_LOAN_FIELDS if n != "loaded_at"]
+    known = {**dict.fromkeys(names, ""), **dict.fromkeys(S.CSV_REQUIRED, "1"), "issue_d": "Jan-2015"}
+    header = ["surplus", *reversed(names)]
+
+    def line(**values):
+        return ",".join('"' + {"surplus": "x, y", **known, **values}[n].replace('"', '""') + '"' for n in header)
+
+    (tmp_path / "a.csv").write_text("\n".join([
+        ",".join(header), line(id="7", emp_title='Chief "Big", Boss'), line(id="8") + ",999,999"]) + "\n")
+    text = files.read_csv(spark, str(tmp_path / "a.csv"))
+    got = files.clean_loans(text).select("loan_id", "emp_title").collect()
+    assert [(r.loan_id, r.emp_title) for r in got] == [(7, 'Chief "Big", Boss')]
+    rejected = files.rejected_loans(text)
+    assert rejected.count() == 1 and [r.reason for r in rejected.collect()] == ["broken line"]
+
+
+def test_csv_missing_columns(spark, tmp_path):
+    (tmp_path / "a.csv").write_text(",".join(S.CSV_REQUIRED) + "\n" + ",".join("1" for _ in S.CSV_REQUIRED) + "\n")
+    row = files.clean_loans(files.read_csv(spark, str(tmp_path / "a.csv"))).first()
+    assert row.loan_id == 1 and row.emp_title is None
+    (tmp_path / "b.csv").write_text("emp_title\nBoss\n")
+    with pytest.raises(ValueError, match="header lacks"):
+        files.read_csv(spark, str(tmp_path / "b.csv"))
+
+
+def test_upsert_without_order_keeps_keys_unique(spark):
+    base = spark.createDataFrame([(1, 10, None)], "k int, v int, loaded_at timestamp")
+    new = spark.createDataFrame([(1, 20), (1, 30), (2, 5), (2, 4)], "k int, v int")
+    got = upsert(base, new, ["k"], ["v"]).select("k", "v").collect()
+    assert sorted(map(tuple, got)) == [(1, 30), (2, 5)]
+
+
+def test_series_repeated_key_takes_the_last_row(spark, tmp_path):
+    from riskframe.plans import jobs
+    from riskframe.sources import tables
+    name = next(iter(S.SERIES_NAMES))
+    day = dt.date(2001, 1, 1)
+    spark.createDataFrame([(name, day, 9.0), (name, day, 2.0)], "series_id string, observation_date date, value double"
+                          ).coalesce(1).write.parquet(str(tmp_path / "in"))
+    jobs.ingest(spark, str(tmp_path), series_path=str(tmp_path / "in"))
+    assert [float(r.value) for r in tables.latest_version(spark, f"{tmp_path}/raw/series").collect()] == [2.0]

@@ -129,6 +129,10 @@ def test_counterfactuals(data, assembled, logreg):
     assert report and {r["parameter"] for r in report} <= set(vary)
     with pytest.raises(ValueError):
         E.counterfactuals(declined, logreg, data, FEATURES, "id", vary=["nope"])
+    # a class nobody can reach: every asking row still comes out, flagged
+    none = E.counterfactuals(declined, logreg, data, FEATURES, "id", vary=vary, tries=5, threshold=0.0)
+    assert none.where("found or rank is not null").count() == 0
+    assert none.select("id").distinct().count() == none.count() == declined.select("id").distinct().count()
 
 
 @pytest.fixture(scope="module")

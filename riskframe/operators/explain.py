@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from riskframe.functions.scalar import differs, direction, format_value
 from riskframe.session import ensure_checkpoint_dir
 
-FEATURE, VALUE = "feature", "attribution"
+FEATURE, VALUE, ATTRIBUTIONS = "feature", "attribution", "attributions"
 
 
 # ---- attributions -----------------------------------------------------------------------------
@@ -40,18 +40,27 @@ def linear_base(model: Any, background: DataFrame, features: Sequence[str]) -> t
     return base, means
 
 
-def attribute_linear(df: DataFrame, model: Any, background: DataFrame | None, features: Sequence[str],
-                     id_col: str) -> DataFrame:
-    """Long (id, feature, attribution, base_value): coefficient times distance from the mean."""
+def long_form(maps: DataFrame) -> DataFrame:
+    """(id, feature, attribution, base_value) of one-map-a-row attributions."""
+    return maps.select("id", F.explode(ATTRIBUTIONS).alias(FEATURE, VALUE), "base_value")
+
+
+def linear_maps(df: DataFrame, model: Any, background: DataFrame | None, features: Sequence[str],
+                id_col: str) -> DataFrame:
+    """(id, attributions, base_value), a feature -> attribution map a row: coefficient times distance from the mean."""
     if background is None:
         raise ValueError("a linear model needs background rows")
     base, means = linear_base(model, background, features)
-    coef = model.coefficients.toArray()
-    parts = F.array(*[
-        F.struct(F.lit(f).alias(FEATURE),
-                 (F.lit(float(b)) * (F.col(f).cast("double") - F.lit(float(m)))).alias(VALUE))
-        for f, b, m in zip(features, coef, means)])
-    return df.select(F.col(id_col).alias("id"), F.inline(parts)).withColumn("base_value", F.lit(base))
+    parts = [F.lit(float(b)) * (F.col(f).cast("double") - F.lit(float(m)))
+             for f, b, m in zip(features, model.coefficients.toArray(), means)]
+    named = F.map_from_arrays(F.array(*[F.lit(f) for f in features]), F.array(*parts))
+    return df.select(F.col(id_col).alias("id"), named.alias(ATTRIBUTIONS), F.lit(base).alias("base_value"))
+
+
+def attribute_linear(df: DataFrame, model: Any, background: DataFrame | None, features: Sequence[str],
+                     id_col: str) -> DataFrame:
+    """``linear_maps`` in long form."""
+    return long_form(linear_maps(df, model, background, features, id_col))
 
 
 def tree_leaves(model: Any, spark: SparkSession) -> list[tuple]:
@@ -88,8 +97,8 @@ def tree_leaves(model: Any, spark: SparkSession) -> list[tuple]:
     return leaves
 
 
-def attribute_trees(df: DataFrame, model: Any, features: Sequence[str], id_col: str) -> DataFrame:
-    """Long (id, feature, attribution, base_value) for boosted trees, on the margin scale.
+def tree_maps(df: DataFrame, model: Any, features: Sequence[str], id_col: str) -> DataFrame:
+    """(id, attributions, base_value) for boosted trees, on the margin scale.
 
     A leaf is a product game over the few features on its path: a feature in the coalition must
     admit the row, one outside counts with its share of training rows.  Shapley values of that game
@@ -134,14 +143,34 @@ def attribute_trees(df: DataFrame, model: Any, features: Sequence[str], id_col:
     rows = df.select(F.col(id_col).alias("id"), *[F.col(f).cast("double").alias(f) for f in feats])
     kind = dict(rows.dtypes)["id"]
     phi = rows.mapInPandas(run, f"id {kind}, phi array<double>")
-    pairs = F.arrays_zip(F.array(*[F.lit(f) for f in feats]).alias(FEATURE), F.col("phi").alias(VALUE))
-    return phi.select("id", F.inline(pairs).alias(FEATURE, VALUE)).withColumn("base_value", F.lit(base))
+    named = F.map_from_arrays(F.array(*[F.lit(f) for f in feats]), F.col("phi"))
+    return phi.select("id", named.alias(ATTRIBUTIONS), F.lit(base).alias("base_value"))
+
+
+def attribute_trees(df: DataFrame, model: Any, features: Sequence[str], id_col: str) -> DataFrame:
+    """``tree_maps`` in long form."""
+    return long_form(tree_maps(df, model, features, id_col))
+
+
+def _as_maps(attr: DataFrame) -> DataFrame:
+    """Map form; the long form is grouped by id for it, which shuffles."""
+    if ATTRIBUTIONS in attr.columns:
+        return attr
+    entries = F.map_from_entries(F.collect_list(F.struct(FEATURE, VALUE)))
+    return attr.groupBy("id").agg(entries.alias(ATTRIBUTIONS), F.first("base_value").alias("base_value"))
 
 
 def top_attributions(attr: DataFrame, n: int = 10) -> DataFrame:
-    """The n largest attributions per id by absolute value, with the direction of the effect."""
-    w = Window.partitionBy("id").orderBy(F.abs(VALUE).desc(), F.col(FEATURE))
-    return attr.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= n).withColumn(
+    """The n largest attributions per id by absolute value, with the direction of the effect.
+
+    Takes the map form, which needs no shuffle, or the long form.  NaN comes first, NULL last.
+    """
+    keyed = F.transform(F.map_entries(ATTRIBUTIONS), lambda e: F.struct(
+        e["value"].isNull().alias("none"), (~F.isnan(e["value"])).alias("number"), (-F.abs(e["value"])).alias("size"),
+        e["key"].alias(FEATURE), e["value"].alias(VALUE)))
+    best = F.slice(F.array_sort(keyed), 1, n)
+    return _as_maps(attr).select("id", "base_value", F.posexplode(best).alias("pos", "e")).select(
+        "id", f"e.{FEATURE}", f"e.{VALUE}", "base_value", (F.col("pos") + 1).alias("rank")).withColumn(
         "direction", direction(VALUE))
 
 
@@ -153,9 +182,8 @@ def global_importance(attr: DataFrame) -> DataFrame:
 def attribution_records(attr: DataFrame, model_name: str, created_at: datetime | None = None) -> DataFrame:
     """One row per id with a feature -> attribution map (at most one entry per model feature)."""
     stamp = created_at or datetime.now(UTC)
-    entries = F.map_from_entries(F.collect_list(F.struct(FEATURE, VALUE)))
-    return attr.groupBy(F.col("id").alias("loan_id")).agg(entries.alias("attributions")).select(
-        "loan_id", F.lit(model_name).alias("model_name"), "attributions",
+    return _as_maps(attr).select(
+        F.col("id").alias("loan_id"), F.lit(model_name).alias("model_name"), ATTRIBUTIONS,
         F.lit(stamp).cast("timestamp").alias("created_at"))
 
 

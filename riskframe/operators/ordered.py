@@ -72,7 +72,9 @@ def assign_ranges(pre: DataFrame, key: str, by: Sequence[str] = (), shared_bound
     if shared_bounds or not by:
         ranged = sorted_position(pre, pre.agg(bounds).scalar()["b"], F.col(key), n - 1, _RANGE)
     else:
-        joined = pre.join(F.broadcast(pre.groupBy(*by).agg(bounds)), list(by), "inner")
+        # the condition, always true, keeps the checksum and with it the shared exchange
+        per_group = pre.groupBy(*by).agg(bounds).where("__s.__chk is not null")
+        joined = pre.join(F.broadcast(per_group), list(by), "inner")
         ranged = sorted_position(joined, F.col("__s")["b"], F.col(key), n - 1, _RANGE).drop("__s")
     return ranged.repartition(*by, _RANGE)
 
@@ -80,8 +82,7 @@ def assign_ranges(pre: DataFrame, key: str, by: Sequence[str] = (), shared_bound
 def running_sums(pre: DataFrame, key: str, sums: dict[str, str], by: Sequence[str] = (),
                  descending: bool = False, shared_bounds: bool = True,
                  small_groups: bool = True, ranges: int | None = None,
-                 keep_range: bool = False, totals: dict[str, str] | None = None,
-                 counted_small: bool = False) -> DataFrame:
+                 keep_range: bool = False, totals: dict[str, str] | None = None) -> DataFrame:
     """Inclusive running sums over ``key`` order within ``by``; ``sums`` maps input -> output.
 
     ``totals`` also adds the group total of summed columns, which the range totals give for free.

@@ -92,7 +92,7 @@ def concordance(df: DataFrame, duration: str = DURATION, score: str = "score",
     times = cells.groupBy("t").agg(F.lit(1).cast("bigint").alias("one"))
     n_times = times.count()
     small = n_times <= SMALL_CURVE_ROWS
-    ranks = running_sums(times, "t", {"one": "rank"}, counted_small=small).select("t", "rank")
+    ranks = running_sums(times, "t", {"one": "rank"}).select("t", "rank")
     keyed = cells.join(F.broadcast(ranks) if small else ranks, "t").select(
         (F.col("rank") * 2 + F.when(F.col("e"), 0).otherwise(1)).alias("k"), "e", "s", "n")
 
@@ -277,7 +277,7 @@ def fit_cox(df: DataFrame, features: Sequence[str], duration: str = DURATION, ev
             *[F.sum(F.when(hit, F.col("w") * F.col(c)).otherwise(0.0)).alias(f"we_{c}") for c in z],
             *[F.sum(F.when(hit, F.col(c)).otherwise(0.0)).alias(f"e_{c}") for c in z])
         sums = {"w": "S0", **{f"w_{c}": f"S_{c}" for c in z}}
-        return running_sums(per_t, "t", sums, descending=True, counted_small=small)
+        return running_sums(per_t, "t", sums, descending=True)
 
     cols = ["t", "d", "we", "eta", "S0", *[f"S_{c}" for c in z], *[f"we_{c}" for c in z], *[f"e_{c}" for c in z]]
 
@@ -336,7 +336,7 @@ def fit_cox(df: DataFrame, features: Sequence[str], duration: str = DURATION, ev
 
     def hazard(table: DataFrame) -> DataFrame:
         steps = table.select("t", "d", "we", "S0").mapInPandas(hazard_terms, "t double, a double, b double")
-        return running_sums(steps, "t", {"a": "cum_a"}, counted_small=small).select("t", "a", "b", "cum_a")
+        return running_sums(steps, "t", {"a": "cum_a"}).select("t", "a", "b", "cum_a")
 
     def derivatives(beta: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
         table = risk_table(beta).select(*cols).persist()
@@ -370,7 +370,7 @@ def fit_cox(df: DataFrame, features: Sequence[str], duration: str = DURATION, ev
             size /= 2
         beta, (loglik, grad, hess) = trial, new
     baseline = cut_lineage(running_sums(
-        hazard(risk_table(beta).select(*cols)).select("t", "a"), "t", {"a": "h0"}, counted_small=small).select("t", "h0"))
+        hazard(risk_table(beta).select(*cols)).select("t", "a"), "t", {"a": "h0"}).select("t", "h0"))
     return CoxModel(tuple(feats), tuple(beta / sd), tuple(mean), float(loglik), baseline, n_times)
 
 

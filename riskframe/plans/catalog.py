@@ -9,10 +9,12 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable, Sequence
 from datetime import UTC, datetime
+from functools import reduce
 
 from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.functions import vector_to_array
 from pyspark.ml.linalg import DenseVector
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from riskframe import schemas as S
@@ -31,7 +33,7 @@ from riskframe.operators import survival as V
 from riskframe.operators import timeseries as W
 from riskframe.operators.upsert import dedup_latest, upsert
 from riskframe.plans import adapters as A
-from riskframe.plans import mart
+from riskframe.plans import mart, rules
 from riskframe.session import cut_lineage, ensure_checkpoint_dir
 from riskframe.sources import files as SRC
 from riskframe.sources.tables import latest_version
@@ -345,11 +347,30 @@ def mart_quality(spark, d):
     return A.plain(Q.quality_summary(_mart(spark, d, MART_CHECKED), rules, [["id"]]))
 
 
+def _checked(parts: dict[str, DataFrame]) -> DataFrame:
+    return A.plain(reduce(DataFrame.unionByName, [rules.summary(df, table) for table, df in parts.items()]))
+
+
+@query
+def source_quality(spark, d):
+    return _checked({"raw_loans": A.loads(spark, d), "raw_series": A.series(spark, d)})
+
+
+@query
+def staging_quality(spark, d):
+    return _checked({"staging_loans": _staging(spark, d), "staging_macro": _macro(spark, d)})
+
+
+@query
+def macro_quality(spark, d):
+    return _checked({"macro_features": mart.macro_features(_macro(spark, d))})
+
+
 # ---- preparation ------------------------------------------------------------------------------
 
 @query
 def temporal_split_counts(spark, d):
-    train, test = T.temporal_split(_mart(spark, d), cutoff=CUTOFF)
+    train, test = T.temporal_split(_final(spark, d).select("issue_d", "is_default"), cutoff=CUTOFF)
     parts = [p.agg(F.lit(name).alias("split"), F.count(F.lit(1)).alias("n"), F.sum("is_default").alias("n_default"))
              for name, p in (("train", train), ("test", test))]
     return parts[0].unionByName(parts[1])
@@ -529,14 +550,15 @@ def drift_summary(spark, d):
 @query
 def drift_final_features(spark, d):
     """The monitoring job's check: all numeric mart features, train against test split."""
-    train, test = T.temporal_split(_mart(spark, d), cutoff=CUTOFF)
+    train, test = T.temporal_split(_mart(spark, d, ["issue_d", "is_default", *S.NUMERICAL_FEATURES]), cutoff=CUTOFF)
     return A.rounded(D.detect_drift(train, test, S.NUMERICAL_FEATURES))
 
 
 @query
 def null_shares(spark, d):
-    train, test = T.temporal_split(_mart(spark, d), cutoff=CUTOFF)
-    return A.rounded(D.null_shares(train, test, ["unemployment_rate", "cpi_lag6", "loan_amnt"]))
+    shared = ["unemployment_rate", "cpi_lag6", "loan_amnt"]
+    train, test = T.temporal_split(_mart(spark, d, ["issue_d", "is_default", *shared]), cutoff=CUTOFF)
+    return A.rounded(D.null_shares(train, test, shared))
 
 
 # ---- fairness ---------------------------------------------------------------------------------
@@ -757,7 +779,7 @@ MODEL_FEATURES = ["loan_amnt", "int_rate", "annual_inc", "dti_eff", "revol_bal",
 
 
 def _model_rows(spark: SparkSession, d: str) -> DataFrame:
-    df = _mart(spark, d).where("is_default is not null")
+    df = _mart(spark, d, ["id", "issue_d", "is_default", *MODEL_FEATURES]).where("is_default is not null")
     return df.select("id", "issue_d", *[F.col(f).cast("double").alias(f) for f in MODEL_FEATURES],
                      F.col("is_default").cast("double").alias("label"))
 
@@ -785,30 +807,55 @@ def training_metrics(spark, d):
     return A.plain(metrics.select("*", "confusion_matrix.*").drop("confusion_matrix"))
 
 
-def _linear_attributions(spark: SparkSession, d: str) -> DataFrame:
+def _linear_maps(spark: SparkSession, d: str) -> DataFrame:
     rows = _model_rows(spark, d)
     model = ML.fit_logreg(_assembled(rows))
-    return E.attribute_linear(rows, model, rows, MODEL_FEATURES, "id")
+    return E.linear_maps(rows, model, rows, MODEL_FEATURES, "id")
 
 
 @query
 def linear_attributions(spark, d):
-    return _linear_attributions(spark, d)
+    return E.long_form(_linear_maps(spark, d))
+
+
+def _additivity(rows: DataFrame, maps: DataFrame, margin: Column) -> DataFrame:
+    """Per row whether base value and attributions add up to the model's margin."""
+    total = F.aggregate(F.map_values("attributions"), F.col("base_value"), lambda a, v: a + v)
+    both = maps.select("id", total.alias("total")).join(rows.select("id", margin.alias("margin")), "id")
+    return A.plain(both.select("id", (F.abs(F.col("total") - F.col("margin")) < 1e-9 * (1 + F.abs("margin"))).alias("adds_up")))
+
+
+@query
+def linear_additivity(spark, d):
+    rows = _model_rows(spark, d)
+    assembled = _assembled(rows)
+    model = ML.fit_logreg(assembled)
+    raw = model.transform(assembled).select("id", vector_to_array("rawPrediction").alias("raw"))
+    return _additivity(raw, E.linear_maps(rows, model, rows, MODEL_FEATURES, "id"), F.col("raw")[1])
+
+
+@query
+def tree_additivity(spark, d):
+    rows = _model_rows(spark, d)
+    assembled = _assembled(rows)
+    model = ML.fit_gbt(assembled)
+    raw = model.transform(assembled).select("id", vector_to_array("rawPrediction").alias("raw"))
+    return _additivity(raw, E.tree_maps(rows, model, MODEL_FEATURES, "id"), F.col("raw")[1])
 
 
 @query
 def top_attributions(spark, d):
-    return E.top_attributions(_linear_attributions(spark, d), 3)
+    return E.top_attributions(_linear_maps(spark, d), 3)
 
 
 @query
 def global_importance(spark, d):
-    return E.global_importance(_linear_attributions(spark, d))
+    return E.global_importance(E.long_form(_linear_maps(spark, d)))
 
 
 @query
 def attribution_records(spark, d):
-    return E.attribution_records(_linear_attributions(spark, d), "logistic_regression")
+    return E.attribution_records(_linear_maps(spark, d), "logistic_regression")
 
 
 @query
@@ -824,12 +871,12 @@ SCORECARD = {"loan_amnt": 0.00001, "int_rate": 0.15, "annual_inc": -0.00002, "dt
 def _scorecard(spark: SparkSession, d: str) -> DataFrame:
     rows = cut_lineage(_final(spark, d).select("id", *[F.col(f).cast("double").alias(f) for f in SCORECARD]))
     card = E.Scorecard(-2.0, DenseVector(list(SCORECARD.values())))
-    return E.attribute_linear(rows, card, rows, list(SCORECARD), "id")
+    return E.linear_maps(rows, card, rows, list(SCORECARD), "id")
 
 
 @query
 def scorecard_attributions(spark, d):
-    return A.rounded(_scorecard(spark, d))
+    return A.rounded(E.long_form(_scorecard(spark, d)))
 
 
 @query
@@ -839,7 +886,7 @@ def scorecard_top(spark, d):
 
 @query
 def scorecard_importance(spark, d):
-    return A.rounded(E.global_importance(_scorecard(spark, d)))
+    return A.rounded(E.global_importance(E.long_form(_scorecard(spark, d))))
 
 
 @query

@@ -18,10 +18,10 @@ from pyspark.sql import functions as F
 
 from riskframe import schemas as S
 from riskframe.functions.scalar import APPROVAL_THRESHOLD, label_at
-from riskframe.operators import drift, fairness, metrics, models, monitor, quality
+from riskframe.operators import drift, fairness, metrics, models, monitor
 from riskframe.operators.prep import temporal_split
 from riskframe.operators.snapshot import materialize_incremental
-from riskframe.plans import mart
+from riskframe.plans import mart, rules
 from riskframe.session import build_session
 from riskframe.sources import files, tables
 
@@ -44,26 +44,35 @@ def ingest(spark: SparkSession, root: str, loans_csv: str | None = None, series_
                             ["series_id", "observation_date"], ["value"], "__seq", now=now)
     if filings_path is not None:
         landed = spark.read.schema("tag string, uom string, payload string").json(filings_path)
-        facts = files.flatten_frames(landed).where("period is not null")
+        facts = rules.require(files.flatten_frames(landed).where("period is not null"), "raw_filings")
         tables.upsert_table(spark, f"{root}/raw/filings", facts, ["adsh", "tag", "period"], ["value"], now=now,
                             on_duplicate="error")
 
 
-def build_mart(spark: SparkSession, root: str) -> DataFrame:
-    """Staging (lazy) and mart tables, written after the quality gate."""
-    loans = mart.loan_features(mart.loans_staging(tables.latest_version(spark, f"{root}/raw/loans")))
-    macro = mart.macro_features(mart.macro_staging(tables.latest_version(spark, f"{root}/raw/series")))
-    final = mart.final_features(loans, macro).withColumn("issue_year", F.year("issue_d"))
-    # the written candidate is checked and then becomes the published version by one commit row
-    path = f"{root}/mart/final_features"
-    version = tables.stage_version(final, path, ["issue_year"])
-    checked = tables.read_version(spark, path, version)
-    rules = {**quality.not_null(["id", "installment_to_income_ratio"]), **quality.accepted_values("is_default", [0, 1])}
-    quality.assert_quality(quality.quality_summary(checked, rules, [["id"]]))
+def _publish(spark: SparkSession, root: str, name: str, df: DataFrame, partition_by: Sequence[str] = ()) -> DataFrame:
+    """The written candidate is checked and then becomes the published version by one commit row."""
+    path = f"{root}/mart/{name}"
+    version = tables.stage_version(df, path, partition_by)
+    checked = rules.require(tables.read_version(spark, path, version), name)
     tables.commit_version(spark, path, version)
     return checked
 
 
+def build_mart(spark: SparkSession, root: str) -> DataFrame:
+    """Check sources and staging (lazy), then write, check and publish each mart table in turn.
+
+    A broken rule stops the run before anything that depends on the table is published.
+    """
+    raw_loans = rules.require(tables.latest_version(spark, f"{root}/raw/loans"), "raw_loans")
+    raw_series = rules.require(tables.latest_version(spark, f"{root}/raw/series"), "raw_series")
+    staged = rules.require(mart.loans_staging(raw_loans), "staging_loans")
+    macro_staged = rules.require(mart.macro_staging(raw_series), "staging_macro")
+    loans = _publish(spark, root, "loan_features", mart.loan_features(staged))
+    macro = _publish(spark, root, "macro_features", mart.macro_features(macro_staged))
+    final = mart.final_features(loans, macro).withColumn("issue_year", F.year("issue_d"))
+    return _publish(spark, root, "final_features", final, ["issue_year"])
+
+
 def etl(spark: SparkSession, root: str, now: datetime | None = None, **landed: str) -> DataFrame:
     """Ingest, transform, test, publish, refresh the feature snapshot."""
     ingest(spark, root, now=now, **landed)

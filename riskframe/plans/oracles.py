@@ -331,6 +331,27 @@ ORACLES["mart_quality"] = f"WITH {FINAL}\n" + _summary({
     "not_null_id": "id IS NULL", "not_null_installment_to_income_ratio": "installment_to_income_ratio IS NULL",
     "accepted_is_default": "is_default NOT IN (0, 1)"}, "final") + "\nUNION ALL\n" + _unique("id", "unique_id", "final")
 
+
+def _table_summary(table: str, fails: dict[str, str], source: str, unique: str | None = None) -> str:
+    parts = _summary(fails, source) + (f"\nUNION ALL\n{_unique(unique, f'unique_{unique}', source)}" if unique else "")
+    return f"SELECT '{table}' AS table_name, * FROM ({parts})"
+
+
+ORACLES["source_quality"] = f"WITH {LOADS},\n{SERIES}\n" + _table_summary("raw_loans", {
+    "not_null_loan_id": "loan_id IS NULL", "not_null_loan_amnt": "loan_amnt IS NULL",
+    "not_null_issue_date": "issue_date IS NULL", "not_null_loan_status": "loan_status IS NULL",
+    "check_loan_amnt_positive": "NOT (loan_amnt > 0)",
+    "check_int_rate_range": "NOT (int_rate >= 0 AND int_rate <= 100)",
+    "check_annual_inc_not_negative": "NOT (annual_inc >= 0)", "check_dti_not_negative": "NOT (dti >= 0)",
+}, "loads", "loan_id") + "\nUNION ALL\n" + _table_summary("raw_series", {
+    "not_null_series_id": "series_id IS NULL", "not_null_observation_date": "observation_date IS NULL",
+    "not_null_value": "value IS NULL", "check_value_present": "NOT (value IS NOT NULL)"}, "series")
+ORACLES["staging_quality"] = f"WITH {STAGING},\n{_macro()}\n" + _table_summary(
+    "staging_loans", {"not_null_loan_id": "loan_id IS NULL"}, "staging", "loan_id") + "\nUNION ALL\n" + _table_summary(
+    "staging_macro", {"not_null_observation_month": "observation_month IS NULL"}, "macro", "observation_month")
+ORACLES["macro_quality"] = f"WITH {_macro_lags()}\n" + _table_summary(
+    "macro_features", {"not_null_date": "date IS NULL"}, "macro_lags", "date")
+
 # ---- preparation ------------------------------------------------------------------------------
 
 ORACLES["temporal_split_counts"] = f"""WITH {FINAL}
@@ -648,3 +669,5 @@ FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY abs(attribution) DES
 ORACLES["scorecard_importance"] = f"{_ATTR} SELECT feature, round(avg(abs(attribution)), 6) AS importance FROM attr GROUP BY 1"
 ORACLES["scorecard_records"] = f"""{_ATTR}
 SELECT id AS loan_id, 'scorecard' AS model_name, feature, round(attribution, 6) AS attribution FROM attr"""
+for _name in ("linear_additivity", "tree_additivity"):
+    ORACLES[_name] = f"WITH {FINAL}\nSELECT id, 1 AS adds_up FROM final WHERE is_default IS NOT NULL"

@@ -1,23 +1,24 @@
 """Language-model scoring with a weighted backoff automaton.
 
 Model.  Words count once per training text, plus one end token; the lowest order is add-one over all
-words.  Longer n-grams (up to ``ORDER``) are kept over the frequent words, those that make up at least
-``FREQUENT`` of all tokens (so at most 1 / ``FREQUENT`` of them at any corpus size), when seen at least
-``MIN_COUNT`` times.  They are smoothed by absolute discounting: with c(h) the count of a history and
-c(hw) that of a kept n-gram
+words.  Longer n-grams (up to ``ORDER``) over all words are kept when seen at least ``MIN_COUNT`` times.
+They are smoothed by absolute discounting: with c(h) the count of a history and c(hw) that of a kept n-gram
 
     p(w | h) = (c(hw) - D) / c(h) + b(h) p(w | h')      b(h) = 1 - sum over kept (c(hw) - D) / c(h)
 
 where h' drops the first word of h; an n-gram that is not kept has p = b(h) p(w | h').
 
 Automaton.  A state is a history with kept n-grams; its arcs are those n-grams with log p, its failure
-arc leads to the state of h' with log b(h).  A text is scored in one traversal from left to right.
+arc leads to the state of h' with log b(h).  Reading a text leaves the automaton in the longest history
+that is a state, so the states before all tokens of a block are looked up at once.
 
 Spark.  Texts are tokenised once, in blocks (one per scan task up to ``BLOCK_BYTES`` of text): a written
 table of token numbers local to the block, with each block's dictionary and training counts.  Counting is
-one window over the blocks' counts by key.  For scoring every block is told the counts of just its own
-words (where they differ from what the block counted itself) and n-grams: its part of the automaton,
-which gives the same scores as the whole one.  Neither vocabulary nor n-grams are ever broadcast or collected, only the frequent words.
+one window per order over the blocks' counts by a key of two longs: the history's fingerprint and the last
+word's.  A trigram is counted only where both its bigrams are kept, which it needs to be kept itself.  For
+scoring every block is told the counts of just its own words (where they differ from what the block
+counted itself) and n-grams: its part of the automaton, which gives the same scores as the whole one.
+Neither vocabulary nor n-grams are ever broadcast or collected.
 """
 
 from __future__ import annotations
@@ -29,7 +30,7 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.taskcontext import TaskContext
 
@@ -39,12 +40,13 @@ from riskframe.session import cut_lineage
 ORDER = 3
 MIN_COUNT = 3
 DISCOUNT = 0.75
-FREQUENT = 2e-4
 FOLDS, HELD_OUT = 7, 2
-BLOCK_BYTES = 48 << 20
-# word numbers inside n-gram keys: 0 is none, 1 the text start, 2 on the frequent words
-BITS = 20
+BLOCK_BYTES = 24 << 20
+# word numbers inside a block's n-gram keys: 0 is none, 1 the text start, 2 on words with kept n-grams
+BITS = 21
 BOS = 1
+# fingerprint of the text start; the end token's is 0
+BOS_PRINT = 1
 END_KEY = b"\0" * 12
 BLOCK_SCHEMA = ("block long, docs array<struct<doc_id:long,held_out:boolean,tokens:binary>>, keys array<binary>, "
                 "counts array<long>")
@@ -98,126 +100,240 @@ def tokenise(rows: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     return rows.mapInArrow(run, BLOCK_SCHEMA)
 
 
-def _history_keys(words: np.ndarray, order: int) -> np.ndarray:
-    """Keys of the ``order``-grams of a token row of word numbers; 0 where a word is not frequent."""
-    n = len(words) - order + 1
-    if n <= 0:
-        return np.zeros(0, np.int64)
-    key, ok = np.zeros(n, np.int64), np.ones(n, bool)
-    for i in range(order):
-        part = words[i:i + n]
-        key = (key << BITS) | part
-        ok &= part > 0
-    return np.where(ok, key, 0)
-
-
-def _numbers(keys: Iterable[bytes], frequent: dict[bytes, int]) -> np.ndarray:
-    """Frequent-word number of each word of a block, 0 for the others."""
-    return np.array([frequent.get(k, 0) for k in keys], np.int64)
-
-
-def count_ngrams(blocks: DataFrame, frequent: dict[bytes, int], order: int) -> DataFrame:
-    """(block, key, n): n-grams of order 2 .. ``order`` over frequent words with their training counts.
+def _prints(keys: pa.Array) -> np.ndarray:
+    """64-bit fingerprints of a block's words, and the text start's behind them."""
+    raw = np.frombuffer(b"".join(keys.to_pylist()), np.uint8).reshape(-1, len(END_KEY))[:, :8]
+    return np.append(np.ascontiguousarray(raw).view(">i8").ravel().astype(np.int64), BOS_PRINT)
+
+
+class Block:
+    """A block's token row with its n-grams in a fixed order, by which Spark's answers name them."""
+
+    def __init__(self, docs: pa.Array, n_words: int) -> None:
+        docs = docs.values if isinstance(docs, pa.ListScalar) else docs
+        fields = docs.flatten()
+        self.doc_ids, self.held = fields[0].to_pylist(), fields[1].to_numpy(zero_copy_only=False)
+        rows = [np.frombuffer(t.as_buffer(), np.int32) for t in fields[2]]
+        self.sizes = np.array([len(r) for r in rows], np.int64)
+        self.n_words = n_words
+        # every text has the text start before it
+        self.row = np.empty(int(self.sizes.sum()) + len(rows), np.int64)
+        at = 0
+        for r in rows:
+            self.row[at] = n_words
+            self.row[at + 1:at + 1 + len(r)] = r
+            at += 1 + len(r)
+        self.train = np.repeat(~self.held, self.sizes + 1)
+
+    def _count(self, keys: np.ndarray, ok: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Distinct keys of all texts where ``ok``, and how often training texts have them."""
+        every = np.unique(keys[ok])
+        seen, n = np.unique(keys[ok & self.train[:len(keys)]], return_counts=True)
+        counts = np.zeros(len(every), np.int64)
+        counts[np.searchsorted(every, seen)] = n
+        return every, counts
+
+    def bigrams(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """First words, second words and training counts of the distinct bigrams."""
+        row = self.row
+        keys, n = self._count((row[:-1] << 31) | row[1:], row[1:] != self.n_words)
+        return keys >> 31, keys & ((1 << 31) - 1), n
+
+    def number(self, words: np.ndarray) -> np.ndarray:
+        """Numbers of words for n-gram keys; larger words have larger numbers, the text start has ``BOS``."""
+        out = np.zeros(self.n_words + 1, np.int64)
+        words = np.unique(words[words < self.n_words])
+        if len(words) > (1 << BITS) - 3:
+            raise ValueError(f"a block has {len(words)} different words with kept n-grams")
+        out[words] = np.arange(BOS + 1, BOS + 1 + len(words))
+        out[self.n_words] = BOS
+        return out
+
+    def trigrams(self, of: np.ndarray, bigrams: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Keys and training counts of the distinct trigrams whose bigrams are both among the sorted keys."""
+        row = of[self.row]
+        known = _find(bigrams, (row[:-1] << BITS) | row[1:])[1] & (self.row[1:] != self.n_words)
+        keys = (((row[:-2] << BITS) | row[1:-1]) << BITS) | row[2:]
+        return self._count(keys, known[:-1] & known[1:])
+
+
+def _parts(number: int, columns: list[np.ndarray], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+    """Rows (block, local, ...) of a block's n-grams."""
+    n = len(columns[0])
+    columns = [np.full(n, number), np.arange(n, dtype=np.int32), *columns]
+    for at in range(0, n, 100_000):
+        yield pa.record_batch([pa.array(c[at:at + 100_000]) for c in columns], schema=schema)
+
+
+GRAM_SCHEMA = "block long, local int, history long, word long, n long"
+_GRAM = pa.schema([("block", pa.int64()), ("local", pa.int32()), ("history", pa.int64()), ("word", pa.int64()), ("n", pa.int64())])
+
+
+def count_bigrams(blocks: DataFrame) -> DataFrame:
+    """(block, local, history, word, n): the bigrams of each block with their training counts.
 
     N-grams of held-out texts are there too, with what training texts add to them; they are the
     block's questions to the model.
     """
-    schema = pa.schema([("block", pa.int64()), ("key", pa.int64()), ("n", pa.int64())])
-
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in range(batch.num_rows):
-                number = batch.column(0)[row].as_py()
-                of = _numbers(batch.column(2)[row].as_py(), frequent)
-                docs = batch.column(1)[row].as_py()
-                for k in range(2, order + 1):
-                    every, train = [], []
-                    for d in docs:
-                        words = np.concatenate([[BOS], of[np.frombuffer(d["tokens"], np.int32)]])
-                        keys = _history_keys(words, k)
-                        (every if d["held_out"] else train).append(keys)
-                    seen, n = np.unique(np.concatenate([*train, np.zeros(0, np.int64)]), return_counts=True)
-                    asked = np.setdiff1d(np.concatenate([*every, np.zeros(0, np.int64)]), seen)
-                    keys = np.concatenate([seen, asked])
-                    n = np.concatenate([n, np.zeros(len(asked), np.int64)])
-                    keys, n = keys[keys > 0], n[keys > 0]
-                    for at in range(0, len(keys), 100_000):
-                        part = slice(at, at + 100_000)
-                        yield pa.record_batch([pa.array(np.full(len(keys[part]), number)), pa.array(keys[part]),
-                                               pa.array(n[part])], schema=schema)
-
-    return blocks.select("block", "docs", "keys").mapInArrow(run, "block long, key long, n long")
-
-
-def _shorter(history: int) -> int:
-    """A history without its first word."""
-    size = -(-history.bit_length() // BITS)
-    return history & ((1 << (BITS * (size - 1))) - 1)
+                prints = _prints(batch.column(2)[row].values)
+                first, second, n = Block(batch.column(1)[row], len(prints) - 1).bigrams()
+                yield from _parts(batch.column(0)[row].as_py(), [prints[first], prints[second], n], _GRAM)
+
+    return blocks.select("block", "docs", "keys").mapInArrow(run, GRAM_SCHEMA)
+
+
+def _kept_bigrams(block: Block, local: np.ndarray, more: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Word numbers, sorted keys of the kept bigrams, and the order of ``local`` that sorts them.
+
+    ``more`` are words that need a number besides those of the bigrams.
+    """
+    first, second, _ = block.bigrams()
+    first, second = first[local], second[local]
+    of = block.number(np.concatenate([first, second, more]))
+    keys = (of[first] << BITS) | of[second]
+    order = np.argsort(keys)
+    return of, keys[order], order
+
+
+def count_trigrams(blocks: DataFrame, kept: DataFrame) -> DataFrame:
+    """(block, local, history, word, n): trigrams of each block whose bigrams are both kept."""
+    def run(key: tuple, block: pa.Table, found: pa.Table) -> pa.Table:
+        out = []
+        for row in range(block.num_rows):
+            prints = _prints(block.column("keys")[row].values)
+            own = Block(block.column("docs")[row], len(prints) - 1)
+            of, bigrams, order = _kept_bigrams(own, found.column("local").to_numpy(), np.zeros(0, np.int64))
+            keys, n = own.trigrams(of, bigrams)
+            word_of = np.zeros(1 + int(of.max()), np.int64)
+            word_of[of] = prints
+            history = found.column("print").to_numpy()[order][np.searchsorted(bigrams, keys >> BITS)]
+            out += _parts(block.column("block")[row].as_py(), [history, word_of[keys & ((1 << BITS) - 1)], n], _GRAM)
+        return pa.Table.from_batches(out, schema=_GRAM)
+
+    return blocks.select("block", "docs", "keys").groupBy("block").cogroup(
+        kept.select(F.col("block").alias("to"), "local", "print").groupBy("to")).applyInArrow(run, GRAM_SCHEMA)
+
+
+def keep_ngrams(counted: DataFrame, min_count: int) -> DataFrame:
+    """(block, local, history, n, leads, print): n-grams seen often enough, with their counts over all blocks."""
+    # a block has one row per n-gram, so a window over a key holds at most one row per block
+    of_key = Window.partitionBy("history", "word")
+    rows = counted.select("*", F.sum("n").over(of_key).alias("all"), F.min("block").over(of_key).alias("first"))
+    return rows.where(F.col("all") >= min_count).select(
+        "block", "local", "history", F.col("all").alias("n"), (F.col("block") == F.col("first")).alias("leads"),
+        F.xxhash64("history", "word").alias("print"))
+
+
+def mass_of(kept: DataFrame, discount: float) -> DataFrame:
+    """(print, mass): what a history's kept n-grams take of it."""
+    return kept.where("leads").groupBy(F.col("history").alias("print")).agg(F.sum(F.col("n") - discount).alias("mass"))
+
+
+def _find(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of wanted values in sorted keys, and whether they are there."""
+    if not len(keys):
+        return np.zeros(len(wanted), np.int64), np.zeros(len(wanted), bool)
+    at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
+    return at, keys[at] == wanted
+
+
+def _arrays(pairs: dict | tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted keys and their values."""
+    if isinstance(pairs, dict):
+        pairs = np.array(list(pairs), np.int64), np.array(list(pairs.values()), np.float64)
+    order = np.argsort(pairs[0])
+    return pairs[0][order], pairs[1][order]
+
+
+def _shorter(history: np.ndarray) -> np.ndarray:
+    """Histories without their first word."""
+    two, one = (1 << (2 * BITS)) - 1, (1 << BITS) - 1
+    return np.where(history > two, history & two, np.where(history > one, history & one, 0))
 
 
 class Automaton:
     """Backoff automaton over kept n-grams; states and arcs are keyed by n-gram keys.
 
     ``counts`` maps n-gram keys to counts, ``mass`` histories to the sum of (count - discount) over
-    their kept n-grams, ``base`` word numbers of the text's own words to log10 of the add-one estimate.
+    their kept n-grams, ``base`` word numbers of the text's own words to log10 of the add-one estimate;
+    each is a dict or a pair of arrays.
     """
 
-    def __init__(self, counts: dict[int, int], mass: dict[int, float], single: dict[int, int],
-                 base: dict[int, float], discount: float) -> None:
-        self.arcs: dict[tuple[int, int], tuple[float, int]] = {}
-        self.base = base
-        low = (1 << BITS) - 1
-        known = {**single, **counts}
-        rest = {h: math.log10(max(1.0 - kept / known[h], 1e-12)) for h, kept in mass.items() if known.get(h)}
-        self.fail: dict[int, tuple[float, int]] = dict.fromkeys(rest, (0.0, 0))
-        for history, weight in rest.items():
-            self.fail[history] = (weight, self._state(_shorter(history)))
-        for key in sorted(counts):  # shorter n-grams have smaller keys, and longer ones build on them
-            history, word = key >> BITS, key & low
-            if history in self.fail:
-                weight, lower = self.fail[history]
-                p = (counts[key] - discount) / known[history] + 10.0 ** (weight + self._log_p(lower, word))
-                self.arcs[history, word] = (math.log10(p), self._state(key))
-        self.after = {w: self._state(w) for w in base}
-        self.start = self._state(BOS)
-
-    def _state(self, history: int) -> int:
-        """The longest end of a history that is a state; 0 is the root."""
-        while history and history not in self.fail:
-            history = _shorter(history)
+    def __init__(self, counts: dict | tuple, mass: dict | tuple, single: dict | tuple, base: dict | tuple,
+                 discount: float) -> None:
+        keys, n = _arrays(counts)
+        history, kept = _arrays(mass)
+        once, n_once = _arrays(single)
+        self.words, self.base = _arrays(base)
+        at, there = _find(np.concatenate([once, keys]), history)
+        known = np.where(there, np.concatenate([n_once, n, [0.0]])[at], 0.0)
+        some = known > 0
+        self.fail, known = history[some], known[some]
+        self.weight = np.log10(np.maximum(1.0 - kept[some] / known, 1e-12))
+        self.lower = self._states(_shorter(self.fail))
+        self.arcs, self.log_p = np.zeros(0, np.int64), np.zeros(0)
+        for size in range(2, ORDER + 1):  # shorter n-grams have smaller keys, and longer ones build on them
+            part = (keys >> (BITS * (size - 1)) > 0) & (keys >> (BITS * size) == 0)
+            at, there = _find(self.fail, keys[part] >> BITS)
+            grams, at = keys[part][there], at[there]
+            p = (n[part][there] - discount) / known[at] + 10.0 ** (
+                self.weight[at] + self._log_ps(self.lower[at], grams & ((1 << BITS) - 1)))
+            self.arcs, self.log_p = np.concatenate([self.arcs, grams]), np.concatenate([self.log_p, np.log10(p)])
+
+    def _states(self, history: np.ndarray) -> np.ndarray:
+        """The longest end of each history that is a state; 0 is the root."""
+        history = history.copy()
+        for _ in range(1, ORDER):
+            off = ~_find(self.fail, history)[1]
+            history[off] = _shorter(history[off])
+        history[~_find(self.fail, history)[1]] = 0
         return history
 
+    def _log_ps(self, states: np.ndarray, words: np.ndarray, base: np.ndarray | None = None) -> np.ndarray:
+        """log10 p of words in states: failure arcs until there is an arc, or the base estimate at the root."""
+        total, state = np.zeros(len(states)), states.copy()
+        for _ in range(1, ORDER):
+            live = np.flatnonzero(state > 0)
+            at, there = _find(self.arcs, (state[live] << BITS) | words[live])
+            hit, miss = live[there], live[~there]
+            total[hit] += self.log_p[at[there]]
+            at = _find(self.fail, state[miss])[0]
+            state[hit] = -1
+            total[miss] += self.weight[at]
+            state[miss] = self.lower[at]
+        root = np.flatnonzero(state == 0)
+        if base is None:
+            total[root] += self.base[_find(self.words, words[root])[0]]
+        else:
+            total[root] += base[root]
+        return total
+
     def _log_p(self, state: int, word: int) -> float:
-        total = 0.0
-        while state:
-            arc = self.arcs.get((state, word))
-            if arc is not None:
-                return total + arc[0]
-            weight, state = self.fail[state]
-            total += weight
-        return total + self.base[word]
+        return float(self._log_ps(np.array([state], np.int64), np.array([word], np.int64))[0])
+
+    def score_rows(self, row: np.ndarray, base: np.ndarray) -> np.ndarray:
+        """log10 p of every token of texts one behind the other, each with ``BOS`` before it (which has 0).
+
+        ``row`` are word numbers (0: without kept n-grams), ``base`` the tokens' base estimates.
+        """
+        history = np.zeros(len(row), np.int64)
+        history[1:] = row[:-1]
+        history[2:] |= np.where(row[1:-1] == BOS, 0, row[:-2] << BITS)
+        out = np.zeros(len(row))
+        token = row != BOS
+        out[token] = self._log_ps(self._states(history[token]), row[token], base[token])
+        return out
 
     def score(self, words: list[int], base: list[float]) -> float:
-        """log10 probability of a token row: word numbers (0: not frequent) and their base estimates."""
-        total, state = 0.0, self.start
-        arcs, fail, after = self.arcs, self.fail, self.after
-        for word, p in zip(words, base):
-            while state:
-                arc = arcs.get((state, word)) if word else None
-                if arc is not None:
-                    total += arc[0]
-                    state = arc[1]
-                    break
-                weight, state = fail[state]
-                total += weight
-            else:
-                total += p
-                state = after.get(word, 0) if word else 0
-        return total
+        """log10 probability of a token row: word numbers and their base estimates."""
+        return math.fsum(self.score_rows(np.array([BOS, *words], np.int64), np.array([0.0, *base])).tolist())
 
 
-def score(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", order: int = ORDER, min_count: int = MIN_COUNT,
-          discount: float = DISCOUNT, frequent_share: float = FREQUENT, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def score(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", min_count: int = MIN_COUNT,
+          discount: float = DISCOUNT, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """One row per document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
     The model learns from all texts whose fold is not held out and scores all.  NULL and empty texts are
@@ -232,68 +348,62 @@ def score(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", order: in
         "block", "local", F.col("w.keys").alias("key"), F.col("w.counts").alias("n"))
     total = blocks.agg(F.coalesce(F.sum(F.aggregate("counts", F.lit(0).cast("long"), lambda a, n: a + n)), F.lit(0))).first()[0]
 
-    # a block has one row per word and per n-gram, so a window over a key holds at most one row per block
+    # a block has one row per word, so a window over a key holds at most one row per block
     of_key = Window.partitionBy("key")
-    everywhere, first_block = F.sum("n").over(of_key), F.min("block").over(of_key)
-    often = (F.col("all") > 0) & (F.col("all") >= frequent_share * total)
+    first_block = F.min("block").over(of_key)
     words = cut_lineage(
-        asked.select("block", F.col("local").cast("int").alias("local"), "key", "n", everywhere.alias("all"),
-                     (F.col("block") == first_block).alias("leads"))
-        .select("block", "local", F.col("all").alias("n"), (F.col("all") != F.col("n")).alias("differs"), "leads",
-                F.when(often | (F.col("key") == F.lit(END_KEY)), F.col("key")).alias("word")))
+        asked.select("block", F.col("local").cast("int").alias("local"), "n", F.sum("n").over(of_key).alias("all"),
+                     (F.col("block") == first_block).alias("leads"),
+                     F.conv(F.hex(F.substring("key", 1, 8)), 16, -10).cast("long").alias("print"))
+        .select("block", "local", F.col("all").alias("n"), (F.col("all") != F.col("n")).alias("differs"), "leads", "print"))
     types = words.where("leads and n > 0").count()
 
-    # at most 1 / frequent_share rows by what frequent means, and the end token
-    named = words.where("leads and word is not null").select("word", "n").orderBy("word").collect()
-    named = {bytes(r["word"]): r["n"] for r in named}
-    chosen = [w for w, n in named.items() if n > 0 and n >= frequent_share * total]
-    frequent = {w: i for i, w in enumerate(chosen, BOS + 1)}
-    single = {BOS: named.get(END_KEY, 0), **{i: named[w] for w, i in frequent.items()}}
-
-    kept = cut_lineage(count_ngrams(blocks, frequent, order).select("block", "key", everywhere.alias("n"))
-                       .where(F.col("n") >= min_count))
-    history = F.shiftright("key", BITS).alias("history")
-    mass = cut_lineage(kept.groupBy("key").agg(F.max("n").alias("n")).groupBy(history).agg(
-        F.sum(F.col("n") - discount).alias("mass")))
-    first = {r["history"]: r["mass"] for r in mass.where(F.col("history") < (1 << BITS)).collect()}  # frequent words
-
-    # a block knows its own counts: it is told those that differ, and which words are frequent
-    of_words = words.where("differs or word is not null").select(
-        F.col("block").alias("to"), "local", F.lit(0).cast("long").alias("key"), "word", "n",
-        F.lit(None).cast("double").alias("mass"))
-    of_ngrams = kept.join(mass.withColumnRenamed("history", "key"), "key", "left").select(
-        F.col("block").alias("to"), F.lit(-1).alias("local"), "key", F.lit(None).cast("binary").alias("word"), "n", "mass")
-    answers = of_words.unionByName(of_ngrams)
+    bigrams = cut_lineage(keep_ngrams(count_bigrams(blocks), min_count))
+    trigrams = cut_lineage(keep_ngrams(count_trigrams(blocks, bigrams), min_count))
+    after_word = cut_lineage(mass_of(bigrams, discount))
+    start = after_word.where(F.col("print") == BOS_PRINT).first()
+    start_mass = start["mass"] if start else None
+
+    # a block knows its own counts: it is told those that differ, and the masses of its histories
+    def answer(found: DataFrame, order: int, mass: Column) -> DataFrame:
+        return found.select(F.col("block").alias("to"), F.lit(order).alias("order"), "local", "n", mass.alias("mass"))
+
+    answers = answer(words.join(after_word, "print", "left").where("differs or mass is not null"), 1, F.col("mass"))
+    answers = answers.unionByName(answer(bigrams.join(mass_of(trigrams, discount), "print", "left"), 2, F.col("mass")))
+    answers = answers.unionByName(answer(trigrams, 3, F.lit(None).cast("double")))
     unseen = math.log10(1 / (total + types + 1))
 
     def run(key: tuple, block: pa.Table, found: pa.Table) -> pa.Table:
-        local, keys = found.column("local").to_numpy(), found.column("key").to_numpy()
-        n = found.column("n").to_numpy()
+        order, local, n = (found.column(c).to_numpy() for c in ("order", "local", "n"))
         masses = found.column("mass").to_numpy(zero_copy_only=False)
-        words = local >= 0
-        name = found.column("word")
-        named_at = np.flatnonzero(name.is_valid().to_numpy())
-        numbers = [frequent.get(w, 0) for w in name.drop_null().to_pylist()]
         out = []
         for row in range(block.num_rows):
             counts = block.column("counts")[row].values.to_numpy().copy()
-            counts[local[words]] = n[words]
+            word, two, three = order == 1, order == 2, order == 3
+            counts[local[word]] = n[word]
             base = np.where(counts > 0, np.log10((counts + 1.0) / (total + types + 1)), unseen)
-            of = np.zeros(len(counts), np.int64)
-            of[local[named_at]] = numbers
-            gram = ~words
-            with_mass = gram & ~np.isnan(masses)
+            own = Block(block.column("docs")[row], len(counts))
+            histories = local[word & ~np.isnan(masses)]
+            of, pairs, sort = _kept_bigrams(own, local[two], histories)
+            pair_n, pair_mass = n[two][sort], masses[two][sort]
+            keys = own.trigrams(of, pairs)[0][local[three]]
+            used = np.flatnonzero(of[:-1])
+            taken = ~np.isnan(pair_mass)
+            mass = [of[histories], pairs[taken]], [masses[word & ~np.isnan(masses)], pair_mass[taken]]
+            if start_mass is not None:
+                mass[0].append(np.array([BOS])), mass[1].append(np.array([start_mass]))
             automaton = Automaton(
-                dict(zip(keys[gram].tolist(), n[gram].tolist())),
-                {**first, **dict(zip(keys[with_mass].tolist(), masses[with_mass].tolist()))}, single,
-                dict(zip(of[of > 0].tolist(), base[of > 0].tolist())), discount)
-            of_list, base_list = of.tolist(), base.tolist()
-            for d in block.column("docs")[row].as_py():
-                ids = np.frombuffer(d["tokens"], np.int32)
-                some = ids.tolist()
-                out.append((d["doc_id"], d["held_out"], len(ids), int((counts[ids] > 0).sum()),
-                            math.fsum(base[ids].tolist()),
-                            automaton.score([of_list[i] for i in some], [base_list[i] for i in some])))
+                (np.concatenate([pairs, keys]), np.concatenate([pair_n, n[three]])),
+                (np.concatenate(mass[0]), np.concatenate(mass[1])),
+                # a text starts as often as one ends
+                (np.append(of[used], BOS), np.append(counts[used], counts[0])), (of[used], base[used]), discount)
+            padded = np.append(base, 0.0)[own.row]
+            scores = automaton.score_rows(of[own.row], padded)
+            known = np.append(counts > 0, False)[own.row]
+            at = np.concatenate([[0], np.cumsum(own.sizes + 1)]).tolist()
+            for i, (a, b) in enumerate(zip(at, at[1:])):
+                out.append((own.doc_ids[i], bool(own.held[i]), b - a - 1, int(known[a:b].sum()),
+                            math.fsum(padded[a:b].tolist()), math.fsum(scores[a:b].tolist())))
         return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(
             zip(*out), [pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64()])],
             names=["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score"])

@@ -2,17 +2,20 @@
 
 Writing.  Payloads of at least ``MIN_REVISIT`` bytes are stored once: the largest page_id of equal
 payloads is a ``response``, the others are ``revisit`` records that point at it.  A record is one row of
-text and the blank lines between records are the line separator, so Spark's text sink writes plain
-``.warc`` files in parallel to any folder it can reach.
+Spark's text sink, which writes archives in parallel to any folder it can reach: as plain text with the
+blank lines between records as line separator, or as one gzip member per record, whose last byte is the
+line separator.
 
 Reading.  Archives are read as binary files.  The reader takes record after record and checks version
 line, headers, length, end marker and block digest.  After a failed check it searches for the next
 version line (or gzip member) that passes all checks, recovers the records behind it, and logs the bytes
-in between as a quarantined gap.  Per-record gzip members and plain records may follow each other.
+in between as a quarantined gap.  Gzip members of any number of records and plain records may follow each
+other; of a damaged member the records inflated before the damage are kept.
 """
 
 from __future__ import annotations
 
+import gzip
 import hashlib
 import re
 import uuid
@@ -34,11 +37,12 @@ ID_PREFIX = "urn:x-page:"
 CAPTURED = "1970-01-01T00:00:00Z"
 
 RECORD_SCHEMA = ("kind string, archive string, start long, stop long, reason string, page_id long, url string, "
-                 "record_type string, refers_to long, payload_bytes long, payload_digest string, payload binary")
+                 "record_type string, refers_to long, payload_bytes long, payload_digest string, payload binary, "
+                 "inner_start long, inner_stop long")
 _FIELDS = [("kind", pa.string()), ("archive", pa.string()), ("start", pa.int64()), ("stop", pa.int64()),
            ("reason", pa.string()), ("page_id", pa.int64()), ("url", pa.string()), ("record_type", pa.string()),
            ("refers_to", pa.int64()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()),
-           ("payload", pa.binary())]
+           ("payload", pa.binary()), ("inner_start", pa.int64()), ("inner_stop", pa.int64())]
 _ARROW = pa.schema(_FIELDS)
 
 
@@ -91,18 +95,37 @@ def record_text(planned: DataFrame) -> DataFrame:
     return rows.select(F.concat(head, "__block").alias("value"))
 
 
+def _members(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each record as a gzip member without its last byte, which is always 0."""
+    for batch in batches:
+        for part in (batch.slice(i, 500) for i in range(0, batch.num_rows, 500)):
+            out = []
+            for value in part.column(0):
+                member = gzip.compress((value.as_py() + RECORD_END).encode(), 6, mtime=0)
+                if member[-1]:  # the size's highest byte, of 16 MB on: an empty member behind it ends in 0
+                    member += gzip.compress(b"", mtime=0)
+                out.append(member[:-1])
+            yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["value"])
+
+
 def write_archives(pages: DataFrame, path: str, compression: str | None = None) -> None:
-    """Write ``.warc`` text archives (or one gzip stream per archive) under ``path``."""
-    writer = record_text(plan_records(pages)).write.option("lineSep", RECORD_END)
-    if compression:
-        writer = writer.option("compression", compression)
-    writer.text(path)
+    """Write ``.warc`` text archives, or with "gzip" archives of one gzip member per record, under ``path``."""
+    records = record_text(plan_records(pages))
+    if compression == "gzip":
+        # the text sink writes a string's bytes as they are
+        members = records.mapInArrow(_members, "value binary").select(F.col("value").cast("string"))
+        members.write.option("lineSep", "\0").text(path)
+    elif compression:
+        raise ValueError(f"no archives with compression {compression}")
+    else:
+        records.write.option("lineSep", RECORD_END).text(path)
 
 
 # ---- reading ----------------------------------------------------------------------------------
 
 _VERSION = re.compile(rb"WARC/1\.[01]\r\n")
 _GZIP = b"\x1f\x8b\x08"
+FEED = 1 << 16  # bytes a gzip member is inflated by
 
 
 class _Bad(Exception):
@@ -158,16 +181,24 @@ def _row(found: dict) -> dict:
             "payload_digest": digest if stored else claimed, "payload": payload if stored else None}
 
 
-def _member(data: bytes, at: int) -> tuple[int, bytes]:
-    """The gzip member at ``at``: where it ends and its content."""
-    inflate = zlib.decompressobj(31)
-    try:
-        content = inflate.decompress(memoryview(data)[at:])
-    except zlib.error as error:
-        raise _Bad(f"gzip: {error}") from error
-    if not inflate.eof:
-        raise _Bad("gzip member is cut off")
-    return len(data) - len(inflate.unused_data), content
+def _member(data: bytes, at: int) -> tuple[int, bytes, str | None]:
+    """The gzip member at ``at``: where it (or what can be read of it) ends, its content and what is wrong."""
+    inflate, pos, step, parts = zlib.decompressobj(31), at, FEED, []
+    while not inflate.eof:
+        if pos >= len(data):
+            return pos, b"".join(parts), "gzip member is cut off"
+        try:
+            parts.append(inflate.decompress(data[pos:pos + step]))
+        except zlib.error as error:
+            if step == 1:
+                return pos, b"".join(parts), f"gzip: {error}"
+            # an error takes its feed's output along: once more up to here, then byte by byte
+            inflate, step = zlib.decompressobj(31), 1
+            for i in range(at, pos, FEED):
+                inflate.decompress(data[i:i + FEED])
+            continue
+        pos += min(step, len(data) - pos)
+    return pos - len(inflate.unused_data), b"".join(parts), None
 
 
 def _next(data: bytes, at: int) -> int:
@@ -180,17 +211,20 @@ def _next(data: bytes, at: int) -> int:
 def salvage(data: bytes, base: int = 0) -> Iterator[dict]:
     """Records and quarantined gaps of an archive, in order.
 
-    ``start`` and ``stop`` are byte positions in the archive; records inside a gzip member carry the
-    member's.  An empty archive gives nothing.
+    ``start`` and ``stop`` are byte positions in the archive.  Records and gaps inside a gzip member carry
+    the member's, with ``inner_start`` and ``inner_stop`` for their positions in its content.  An empty
+    archive gives nothing.
     """
     at, bad_from, reason = 0, None, None
     while at < len(data):
+        wrong = None
         try:
             if data.startswith(_GZIP, at):
-                stop, content = _member(data, at)
-                rows = [dict(r, start=base + at, stop=base + stop) for r in salvage(content)]
-                if not any(r["kind"] == "record" for r in rows):
-                    raise _Bad(rows[0]["reason"] if rows else "empty gzip member")
+                stop, content, wrong = _member(data, at)
+                rows = [dict(r, inner_start=r["start"], inner_stop=r["stop"], start=base + at, stop=base + stop)
+                        for r in salvage(content)] if content else []
+                if (content or wrong) and not any(r["kind"] == "record" for r in rows):
+                    raise _Bad(wrong or rows[0]["reason"])
             else:
                 stop, found = _record(data, at)
                 rows = [{"kind": "record", "start": base + at, "stop": base + stop, "reason": None, **_row(found)}]
@@ -203,8 +237,11 @@ def salvage(data: bytes, base: int = 0) -> Iterator[dict]:
             yield {"kind": "gap", "start": base + bad_from, "stop": base + at, "reason": reason}
             bad_from = None
         yield from rows
+        if wrong:
+            bad_from, reason = stop, wrong
+            stop = _next(data, at + 1)
         at = stop
-    if bad_from is not None:
+    if bad_from is not None and bad_from < len(data):
         yield {"kind": "gap", "start": base + bad_from, "stop": base + len(data), "reason": reason}
 
 
@@ -232,8 +269,8 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
 
 
 def gaps(read: DataFrame) -> DataFrame:
-    """The quarantine log: archive, start, stop, reason."""
-    return read.where("kind = 'gap'").select("archive", "start", "stop", "reason")
+    """The quarantine log: archive, start, stop, reason, and positions inside a gzip member."""
+    return read.where("kind = 'gap'").select("archive", "start", "stop", "reason", "inner_start", "inner_stop")
 
 
 def round_trip(pages: DataFrame) -> DataFrame:

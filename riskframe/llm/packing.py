@@ -13,6 +13,7 @@ powers of two, which need no padding.
 
 from __future__ import annotations
 
+import math
 import os
 import re
 import zlib
@@ -125,8 +126,9 @@ def round_robin(queues: dict[str | None, deque], shares: dict[str | None, float]
                 begin: int, window: int = WINDOW) -> Iterator[tuple[str | None, tuple, int, int, int]]:
     """Deficit round-robin: (source, document, start in it, length, stream position) in stream order.
 
-    ``queues`` hold (key, tokens) documents.  Sources take turns; one that is owed tokens sends its
-    first document, whole or up to the window's end, and may go into debt by it.  When nobody with
+    ``queues`` hold (key, tokens) documents.  Sources take turns; one that is owed tokens sends of
+    its first document what it is owed, rounded up, so a long document is cut and goes on at the source's
+    next turn.  When nobody with
     documents is owed anything, they earn another share, so a window is never left unfilled.
     """
     names = [s for s in queues if queues[s]]
@@ -144,14 +146,13 @@ def round_robin(queues: dict[str | None, deque], shares: dict[str | None, float]
                 break
             turn += 1
         else:
-            # the least indebted source comes back to zero, all others earn in proportion
-            rounds = min((1e-9 - deficits[s]) / shares[s] for s in names)
+            # sources with documents share what is missing to fill the window, debts included
+            missing, whole = room - sum(deficits[s] for s in names), sum(shares[s] for s in names)
             for s in names:
-                deficits[s] += rounds * shares[s]
+                deficits[s] += missing * shares[s] / whole
             s = max(names, key=lambda x: deficits[x])
-            deficits[s] = max(deficits[s], 1e-9)
         doc = queues[s][0]
-        n = min(doc[1] - sent[s], room)
+        n = min(doc[1] - sent[s], room, max(1, math.ceil(deficits[s])))
         yield s, doc, sent[s], n, at
         at, room, sent[s] = at + n, room - n, sent[s] + n
         deficits[s] -= n

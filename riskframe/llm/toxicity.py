@@ -30,7 +30,6 @@ MIN_TEXTS = 8
 FOLDS, HELD_OUT = 3, 1
 THRESHOLD = 0.7
 PREFIXES = (4, 5)
-COMMON, CHI_SQUARE = 0.3, 20.0
 EPOCHS, BATCH, RATE, DECAY = 24, 256, 0.05, 2e-4
 MARKS = b".,;:!?\"'()[]{}<>*#$%&|_-/\\"
 CACHE_WORDS = 400_000
@@ -100,8 +99,8 @@ def fit_machine(texts: list[np.ndarray], labels: np.ndarray, factors: int = FACT
                 seed: int = 5) -> Machine:
     """Logistic loss with weight decay and adaptive steps.
 
-    Terms take part when they are in ``MIN_TEXTS`` texts (fewer in small samples) and either differ
-    between the labels (chi-square) or are common, so that pairs of a telling and a common term remain.
+    Every term in ``MIN_TEXTS`` texts (fewer in small samples) takes part, also one that tells nothing
+    alone: it may tell beside another.
 
     Without texts, or with one class only, the machine is a constant.
     """
@@ -112,11 +111,7 @@ def fit_machine(texts: list[np.ndarray], labels: np.ndarray, factors: int = FACT
     if not 0 < positive < len(labels):
         return m
     seen = np.bincount(np.concatenate(texts), minlength=BUCKETS)
-    with_label = np.bincount(np.concatenate([t for t, y in zip(texts, labels) if y]), minlength=BUCKETS)
-    n, expected = len(texts), seen * positive / len(texts)
-    spread = expected * (1 - positive / n) * np.maximum(n - seen, 1) / n
-    telling = np.divide((with_label - expected) ** 2, spread, out=np.zeros(BUCKETS), where=spread > 0) >= CHI_SQUARE
-    use = (seen >= min(MIN_TEXTS, max(3, n // 60))) & (telling | (seen >= COMMON * n))
+    use = seen >= min(MIN_TEXTS, max(3, len(texts) // 60))
     if not use.any():
         return m
     texts = [t[use[t]] for t in texts]

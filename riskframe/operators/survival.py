@@ -226,7 +226,10 @@ _falling_sums, _falling_squares = _tie_sums()
 
 @dataclass(frozen=True)
 class CoxModel:
-    """Coefficients, covariate means, log-likelihood and the baseline cumulative hazard (t, h0)."""
+    """Coefficients, covariate means, log-likelihood and the baseline cumulative hazard (t, h0).
+
+    A fit tells its Newton steps and whether they ended at the tolerance.
+    """
 
     features: tuple[str, ...]
     beta: tuple[float, ...]
@@ -234,6 +237,8 @@ class CoxModel:
     log_likelihood: float
     baseline: DataFrame
     baseline_rows: int
+    iterations: int = 0
+    converged: bool = True
 
 
 def fit_cox(df: DataFrame, features: Sequence[str], duration: str = DURATION, event: str = EVENT,
@@ -355,11 +360,14 @@ def fit_cox(df: DataFrame, features: Sequence[str], duration: str = DURATION, ev
 
     beta = np.zeros(p)
     loglik, grad, hess = derivatives(beta)
-    for _ in range(max_iter):
+    iterations = 0
+    while True:
         g = grad / n - penalizer * beta
         step = np.linalg.solve(hess / n + penalizer * np.eye(p), g)
-        if float(g @ step) / 2 < tol:
+        converged = float(g @ step) / 2 < tol
+        if converged or iterations >= max_iter:
             break
+        iterations += 1
         size = 1.0
         while True:
             trial = beta + size * step
@@ -371,7 +379,7 @@ def fit_cox(df: DataFrame, features: Sequence[str], duration: str = DURATION, ev
         beta, (loglik, grad, hess) = trial, new
     baseline = cut_lineage(running_sums(
         hazard(risk_table(beta).select(*cols)).select("t", "a"), "t", {"a": "h0"}).select("t", "h0"))
-    return CoxModel(tuple(feats), tuple(beta / sd), tuple(mean), float(loglik), baseline, n_times)
+    return CoxModel(tuple(feats), tuple(beta / sd), tuple(mean), float(loglik), baseline, n_times, iterations, converged)
 
 
 def risk_score(model: CoxModel) -> Column:
@@ -387,11 +395,12 @@ def predict_survival(df: DataFrame, model: CoxModel, id_col: str, times: Sequenc
     if times is not None:
         grid = _hazard_at(model, times)
         points = F.array(*[F.struct(F.lit(float(t)).alias("t"), F.lit(h).alias("h0")) for t, h in grid.items()])
-    else:
-        if model.baseline_rows > SMALL_CURVE_ROWS:
-            raise ValueError("pass times: the baseline has more rows than one curve may hold")
+        long = scored.select("id", "r", F.inline(points))
+    elif model.baseline_rows <= SMALL_CURVE_ROWS:
         points = model.baseline.agg(F.array_sort(F.collect_list(F.struct("t", "h0")))).scalar()
-    long = scored.select("id", "r", F.inline(points))
+        long = scored.select("id", "r", F.inline(points))
+    else:  # too many rows for one array
+        long = scored.crossJoin(model.baseline.select("t", "h0"))
     return long.select("id", "t", F.exp(-F.col("h0") * F.col("r")).alias("surv"))
 
 

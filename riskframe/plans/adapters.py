@@ -126,9 +126,9 @@ def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _select(table(spark, sf_dir, "lineitem"), SCORED)
 
 
-def survival_input(spark: SparkSession, sf_dir: str) -> DataFrame:
+def survival_input(spark: SparkSession, sf_dir: str, keys: dict[str, str] | None = None) -> DataFrame:
     li, o = table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "orders")
-    return _select(li.join(o, F.col("l_orderkey") == F.col("o_orderkey")), SURVIVAL)
+    return _select(li.join(o, F.col("l_orderkey") == F.col("o_orderkey")), {**SURVIVAL, **(keys or {})})
 
 
 def plain(df: DataFrame) -> DataFrame:

@@ -739,6 +739,20 @@ def given_survival_curves(spark, d):
     return A.rounded(V.predict_survival(rows, m, "id"))
 
 
+# the stated grid of times of single curves
+CURVE_TIMES = [12, 24, 36, 48, 60]
+
+
+@query
+def line_survival_curves(spark, d):
+    """Each line item's own curve on a stated grid of times."""
+    _, m = _given_cox(spark, d)
+    # a curve needs no outcome: line items without one have theirs too
+    lines = A.survival_input(spark, d, {"order_key": "l_orderkey", "line_number": "l_linenumber"})
+    lines = lines.withColumn("id", F.struct("order_key", "line_number"))
+    return A.rounded(V.predict_survival(lines, m, "id", CURVE_TIMES).select("id.*", "t", "surv"))
+
+
 # ---- models (no SQL equivalent) ---------------------------------------------------------------
 
 COX_FEATURES = ["quantity", "discount", "tax"]

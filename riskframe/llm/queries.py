@@ -9,11 +9,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from riskframe.llm import (
-    chat_format, exact_dedup, jaccard_join, mixing, ngram_lm, packing, quality_rules, suffix_dedup, toxicity, warc,
+    chat_format, exact_dedup, fill_middle, jaccard_join, mixing, ngram_lm, packing, pii, quality_rules, suffix_dedup,
+    token_align, toxicity, warc,
 )
 
 Query = Callable[[SparkSession, str], DataFrame]
 TOKENIZER = "word_bpe_49k.json"
+BYTE_TOKENIZER, PIECE_TOKENIZER = "byte_bpe_50k.json", "piece_bpe_32k.model"
 LLM_QUERIES: dict[str, Query] = {}
 LLM_ORACLES: dict[str, str] = {}
 
@@ -81,3 +83,83 @@ def op9_chat_formatting(spark: SparkSession, d: str) -> DataFrame:
 @query
 def op10_exact_dedup(spark: SparkSession, d: str) -> DataFrame:
     return exact_dedup.dedup(_table(spark, d, "documents"))
+
+
+@query
+def op11_pii(spark: SparkSession, d: str) -> DataFrame:
+    return pii.report(_table(spark, d, "documents"))
+
+
+@query
+def op12_fill_middle(spark: SparkSession, d: str) -> DataFrame:
+    return fill_middle.digests(fill_middle.transform(_table(spark, d, "documents")))
+
+
+@query
+def op13_token_align(spark: SparkSession, d: str) -> DataFrame:
+    return token_align.align(_table(spark, d, "documents"), public_tokenizers.path(BYTE_TOKENIZER),
+                             public_tokenizers.path(PIECE_TOKENIZER))
+
+
+@query
+def pii_base(spark: SparkSession, d: str) -> DataFrame:
+    """What the base expressions alone give, which SQL can say."""
+    return pii.report(_table(spark, d, "documents")).drop("spans")
+
+
+LLM_ORACLES["op12_fill_middle"] = """
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, length(coalesce(text, '')) AS n,
+                  sha256('1:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h FROM documents),
+     k AS (SELECT *, CAST('0x' || h[1:8] AS BIGINT) % (n + 1) AS c1, CAST('0x' || h[9:16] AS BIGINT) % (n + 1) AS c2,
+                  CAST('0x' || h[17:24] AS BIGINT) % 100 AS p, CAST('0x' || h[25:32] AS BIGINT) % 100 AS o FROM d),
+     f AS (SELECT *, least(c1, c2) AS lo, greatest(c1, c2) AS hi,
+                  CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR p >= 90 THEN 'plain'
+                       WHEN o < 20 THEN 'spm' ELSE 'psm' END AS form FROM k),
+     g AS (SELECT *, '<P>' || substring(t, 1, lo) AS pre, '<S>' || substring(t, hi + 1) AS suf,
+                  '<M>' || substring(t, lo + 1, hi - lo) AS mid FROM f)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN lo END AS prefix_chars,
+       CASE WHEN form <> 'plain' THEN hi - lo END AS middle_chars,
+       sha256(CASE form WHEN 'plain' THEN t WHEN 'spm' THEN suf || pre || mid ELSE pre || suf || mid END) AS output_sha256,
+       sha256(t) AS restored_sha256
+FROM g
+"""
+
+LLM_ORACLES["op10_exact_dedup"] = """
+SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size,
+       doc_id = max(doc_id) OVER same AS kept, sha256(coalesce(text, '')) AS text_sha256
+FROM documents WINDOW same AS (PARTITION BY coalesce(text, ''))
+"""
+
+LLM_ORACLES["pii_base"] = r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+     found AS (
+       SELECT doc_id, t, 0 AS rank, 'email' AS kind, regexp_extract_all(t, '[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+') AS m,
+              string_split_regex(t, '[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+') AS g FROM d
+       UNION ALL
+       SELECT doc_id, t, 1, 'ip', regexp_extract_all(t, '[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+'),
+              string_split_regex(t, '[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+') FROM d
+       UNION ALL
+       SELECT doc_id, t, 2, 'card', regexp_extract_all(t, '[0-9](?:[ -]?[0-9])+'), string_split_regex(t, '[0-9](?:[ -]?[0-9])+') FROM d
+       UNION ALL
+       SELECT doc_id, t, 3, 'phone', regexp_extract_all(t, '\+[0-9][ ().0-9-]+[0-9]'),
+              string_split_regex(t, '\+[0-9][ ().0-9-]+[0-9]') FROM d),
+     spans AS (
+       SELECT doc_id, rank, kind, m[i] AS v, regexp_replace(m[i], '[^0-9]', '', 'g') AS digits,
+              CAST(list_sum(list_transform(g[1:i], lambda x: length(x)))
+                   + coalesce(list_sum(list_transform(m[1:i - 1], lambda x: length(x))), 0) AS BIGINT) AS start
+       FROM (SELECT *, unnest(range(1, len(m) + 1)) AS i FROM found WHERE len(m) > 0)),
+     kept AS (
+       SELECT doc_id, rank, kind, start, kind || ':' || start || ':' || (start + length(v)) AS written FROM spans
+       WHERE kind = 'email'
+          OR kind = 'ip' AND len(list_filter(string_split(v, '.'), lambda p: CAST(p AS HUGEINT) > 255)) = 0
+          OR kind = 'phone' AND length(digits) BETWEEN 9 AND 15
+          OR kind = 'card' AND length(digits) BETWEEN 12 AND 19 AND list_sum(list_transform(range(0, length(digits)), lambda k:
+               CASE WHEN k % 2 = 0 THEN CAST(digits[length(digits) - k] AS INT)
+                    ELSE CAST('0246813579'[CAST(digits[length(digits) - k] AS INT) + 1] AS INT) END)) % 10 = 0),
+     per AS (SELECT doc_id, count(*) FILTER (kind = 'email') AS n_email, count(*) FILTER (kind = 'ip') AS n_ip,
+                    count(*) FILTER (kind = 'card') AS n_card, count(*) FILTER (kind = 'phone') AS n_phone,
+                    sha256(string_agg(written, ',' ORDER BY start, rank)) AS base_sha256 FROM kept GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n_email, 0) AS n_email, coalesce(n_ip, 0) AS n_ip, coalesce(n_card, 0) AS n_card,
+       coalesce(n_phone, 0) AS n_phone, coalesce(base_sha256, sha256('')) AS base_sha256
+FROM d LEFT JOIN per ON d.doc_id IS NOT DISTINCT FROM per.doc_id
+"""

@@ -34,9 +34,9 @@ from pyspark.taskcontext import TaskContext
 
 from riskframe.session import cut_lineage
 
-BLOCK_BYTES = 8 << 20
-SEGMENT = 1 << 18
-PART_CHARS = 1 << 20
+BLOCK_BYTES = 4 << 20
+SEGMENT = 1 << 17
+PART_CHARS = 1 << 18
 CACHE_UNITS = 400_000
 SPACE_MARK = "▁"
 CUT = re.compile(r"(?<=\w) (?=\w)")
@@ -110,37 +110,45 @@ class Tokens:
         self.ids = [np.zeros(0, np.int32)] * 2
         self.begins = [np.zeros(1, np.int64)] * 2
 
-    def _encoded(self, units: list[str]) -> list[list]:
-        """ids of each unit on both sides; units are read many at a time and told apart by their bytes."""
-        joined, sizes = " ".join(units), np.cumsum([len(u.encode()) + 1 for u in units])
-        found = []
-        for encode, lengths, text in zip(self.encoders, self.lengths, (" " + joined, joined)):
-            ids = np.array(encode([text])[0], np.int32)
-            ends = np.cumsum(lengths[ids])
-            cuts = np.searchsorted(ends, sizes) + 1
-            if not len(ids) or not np.array_equal(ends[np.minimum(cuts, len(ids)) - 1], sizes):
-                # a side does not keep all bytes: one unit at a time
-                return [[np.array(x, np.int32) for x in encode([space + u for u in units])]
-                        for encode, space in zip(self.encoders, (" ", ""))]
-            found.append(np.split(ids, cuts[:-1]))
-        return found
+    def _encoded(self, units: list[str]) -> tuple[list[np.ndarray], list[np.ndarray], np.ndarray]:
+        """ids and their numbers per unit on both sides, and whether both keep a unit's bytes.
+
+        Units are read many at a time and told apart by their bytes; if a side does not keep all bytes, one by one.
+        """
+        joined = " ".join(units)
+        want, sizes = (" " + joined).encode(), np.cumsum([len(u.encode()) + 1 for u in units])
+        ids, n = [], []
+        for encode, lengths, raw, text in zip(self.encoders, self.lengths, self.raw, (" " + joined, joined)):
+            found = encode([text])[0]
+            if b"".join([raw[i] for i in found]) != want:
+                break
+            ids.append(np.array(found, np.int32))
+            ends = np.cumsum(lengths[ids[-1]])
+            cuts = np.searchsorted(ends, sizes)
+            if not np.array_equal(ends[cuts], sizes):
+                break
+            n.append(np.diff(np.concatenate([[-1], cuts])))
+        else:
+            return ids, n, np.ones(len(units), bool)
+        found = [encode([space + u for u in units]) for encode, space in zip(self.encoders, (" ", ""))]
+        ok = [all(b"".join([raw[i] for i in x]) == (" " + u).encode() for raw, x in zip(self.raw, pair))
+              for u, *pair in zip(units, *found)]
+        return ([np.array([i for x in side for i in x], np.int32) for side in found],
+                [np.array([len(x) for x in side], np.int64) for side in found], np.array(ok))
 
     def _learn(self, units: list[str]) -> None:
-        found: list[list] = [[], []]
         # one that ends in white space would join the space behind it
         alone = [u for u in units if not u or u[-1].isspace()]
         units = [u for u in units if u and not u[-1].isspace()]
-        for some in [units[at:at + 2_000] for at in range(0, len(units), 2_000)] + [[u] for u in alone]:
-            for side, ids in zip(found, self._encoded(some)):
-                side += ids
+        found = [self._encoded(some) for some in [
+            *(units[at:at + 2_000] for at in range(0, len(units), 2_000)), *([u] for u in alone)]]
         units += alone
         self.number.update(zip(units, range(len(self.number), len(self.number) + len(units))))
-        good = [all(b"".join([raw[i] for i in x.tolist()]) == want for raw, x in zip(self.raw, pair))
-                for want, *pair in zip([(" " + u).encode() for u in units], *found)]
-        self.ok = np.append(self.ok, good)
+        self.ok = np.concatenate([self.ok, *(f[2] for f in found)])
         for side in range(2):
-            self.ids[side] = np.concatenate([self.ids[side], *found[side]])
-            self.begins[side] = np.append(self.begins[side], self.begins[side][-1] + np.cumsum([len(x) for x in found[side]]))
+            self.ids[side] = np.concatenate([self.ids[side], *(f[0][side] for f in found)])
+            n = np.concatenate([f[1][side] for f in found])
+            self.begins[side] = np.append(self.begins[side], self.begins[side][-1] + np.cumsum(n))
 
     def __call__(self, texts: list[str]) -> tuple[list[np.ndarray], list[np.ndarray], list[bool]]:
         """ids of both sides, their numbers per text, and whether both keep the text's bytes (if not, it has none)."""

@@ -212,8 +212,9 @@ def salvage(data: bytes, base: int = 0) -> Iterator[dict]:
     """Records and quarantined gaps of an archive, in order.
 
     ``start`` and ``stop`` are byte positions in the archive.  Records and gaps inside a gzip member carry
-    the member's, with ``inner_start`` and ``inner_stop`` for their positions in its content.  An empty
-    archive gives nothing.
+    the member's, with ``inner_start`` and ``inner_stop`` for their positions in its content.  A last member cut
+    off in its trailer gives its records and a gap from the last byte used to the end.  An empty archive
+    gives nothing.
     """
     at, bad_from, reason = 0, None, None
     while at < len(data):
@@ -241,7 +242,7 @@ def salvage(data: bytes, base: int = 0) -> Iterator[dict]:
             bad_from, reason = stop, wrong
             stop = _next(data, at + 1)
         at = stop
-    if bad_from is not None and bad_from < len(data):
+    if bad_from is not None:  # at the end of the data if all a cut-off member has could be read
         yield {"kind": "gap", "start": base + bad_from, "stop": base + len(data), "reason": reason}
 
 

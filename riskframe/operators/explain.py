@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from riskframe.functions.scalar import differs, direction, format_value
+from riskframe.operators.boosting import HistModel
 from riskframe.session import ensure_checkpoint_dir
 
 FEATURE, VALUE, ATTRIBUTIONS = "feature", "attribution", "attributions"
@@ -104,7 +105,7 @@ def tree_maps(df: DataFrame, model: Any, features: Sequence[str], id_col: str) -
     admit the row, one outside counts with its share of training rows.  Shapley values of that game
     are exact and additive: base + sum of attributions = margin.
     """
-    games = tree_leaves(model, df.sparkSession)
+    games = model.leaves() if isinstance(model, HistModel) else tree_leaves(model, df.sparkSession)
     base = float(sum(v * np.prod(r) for v, _, _, r in games))
     feats, p = list(features), len(features)
     shared = df.sparkSession.sparkContext.broadcast(games)
@@ -121,7 +122,9 @@ def tree_maps(df: DataFrame, model: Any, features: Sequence[str], id_col: str) -
             if m == 0:
                 continue
             w = coalition_weights(m)
-            inside = [((x[:, f] > lo) & (x[:, f] <= hi)).astype(float) for f, (lo, hi) in zip(fs, boxes)]
+            # a box may say whether missing values are in it; otherwise none are
+            inside = [((x[:, f] > box[0]) & (x[:, f] <= box[1]) | (np.isnan(x[:, f]) & (box[2:] == (True,)))).astype(float)
+                      for f, box in zip(fs, boxes)]
             for j in range(m):
                 # poly[s]: sum over coalitions of size s of the other features
                 poly = np.zeros((m, len(x)))

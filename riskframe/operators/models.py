@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from riskframe import schemas as S
 from riskframe.functions.scalar import APPROVAL_THRESHOLD, approved, risk_tier
+from riskframe.operators.boosting import HistModel, fit_hist_boost, score_hist_boost
 from riskframe.operators.metrics import extended_metrics
 from riskframe.operators.prep import (
     CategoryCodes, Imputer, fit_codes, fit_imputer, present, temporal_split,
@@ -99,11 +100,16 @@ class CreditModel:
     codes: CategoryCodes
     model: Any
 
-    def assemble(self, df: DataFrame) -> DataFrame:
+    def prepare(self, df: DataFrame) -> DataFrame:
+        """Features imputed and coded, as columns."""
         ready = self.codes.apply(self.imputer.apply(df))
         missing = [c for c in self.features if c not in ready.columns]
         if missing:
             raise ValueError(f"missing features: {missing}")
+        return ready
+
+    def assemble(self, df: DataFrame) -> DataFrame:
+        ready = self.prepare(df)
         # imputing replaces the feature columns, so scored rows keep their raw attributes aside
         return VectorAssembler(inputCols=list(self.features), outputCol="features",
                                handleInvalid="keep").transform(ready)
@@ -111,7 +117,10 @@ class CreditModel:
     def score(self, df: DataFrame, keep: Sequence[str] = (), out: str = "score") -> DataFrame:
         aside = {c: f"__raw_{c}" for c in keep}
         wide = df.withColumns({tmp: F.col(c) for c, tmp in aside.items()}) if aside else df
-        scored = self.model.transform(self.assemble(wide)).withColumn(out, positive_probability())
+        if isinstance(self.model, HistModel):
+            scored = score_hist_boost(self.prepare(wide), self.model, list(aside.values()), out)
+        else:
+            scored = self.model.transform(self.assemble(wide)).withColumn(out, positive_probability())
         return scored.select(*[F.col(tmp).alias(c) for c, tmp in aside.items()], out)
 
 
@@ -119,11 +128,17 @@ def train_credit_model(train: DataFrame, model_type: str = "gbt", params: dict[s
                        numeric: Sequence[str] = tuple(S.NUMERICAL_FEATURES),
                        categorical: Sequence[str] = tuple(S.CATEGORICAL_FEATURES),
                        target: str = S.TARGET, fit_on: DataFrame | None = None) -> CreditModel:
-    """Medians and codes from the training rows (or ``fit_on`` for parity), then the classifier."""
+    """Medians and codes from the training rows (or ``fit_on`` for parity), then the classifier.
+
+    ``model_type`` is one of ``FITTERS`` or "hist_gbt", histogram boosting on the feature columns.
+    """
     base = train if fit_on is None else fit_on
     imputer, codes = fit_imputer(base, numeric), fit_codes(base, categorical)
     features = tuple(present(train, [*numeric, *categorical]))
     shell = CreditModel(features, imputer, codes, None)
+    if model_type == "hist_gbt":
+        rows = shell.prepare(train).withColumn("__label", F.col(target).cast("double"))
+        return CreditModel(features, imputer, codes, fit_hist_boost(rows, features, "__label", **(params or {})))
     ready = shell.assemble(train).select("features", F.col(target).cast("double").alias("label")).persist()
     try:
         model = fit_model(ready, model_type, params)

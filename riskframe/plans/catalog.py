@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from riskframe import schemas as S
 from riskframe.functions import scalar as X
+from riskframe.operators import boosting as H
 from riskframe.operators import drift as D
 from riskframe.operators import explain as E
 from riskframe.operators import fairness as FA
@@ -814,6 +815,29 @@ def gbt_scores(spark, d):
     return ML.score(rows, ML.fit_gbt(rows), keep=["id"])
 
 
+@query
+def hist_boost_scores(spark, d):
+    """Second-order histogram boosting at its default size."""
+    rows = cut_lineage(_model_rows(spark, d))
+    return H.score_hist_boost(rows, H.fit_hist_boost(rows, MODEL_FEATURES), ["id"])
+
+
+BOOST_CUTS = {"loan_amnt": [50_000.0, 120_000.0, 200_000.0], "dti_eff": [5.0, 15.0, 25.0], "annual_inc": [20_000.0, 60_000.0]}
+
+
+@query
+def hist_boost_tree(spark, d):
+    """One tree of depth 2 over given cuts, from margin 0; NULLs take the side of the higher gain."""
+    rows = _final(spark, d).where("is_default is not null").select(
+        *[F.when(F.col("id") % 5 != i, F.col(f).cast("double")).alias(f) for i, f in enumerate(BOOST_CUTS)],
+        F.col("is_default").cast("double").alias("label"))
+    model = H.fit_hist_boost(cut_lineage(rows), list(BOOST_CUTS), n_trees=1, depth=2, rate=1.0,
+                             cuts=list(BOOST_CUTS.values()), base_margin=0.0)
+    side = F.when(F.col("missing_left"), "left").when(~F.col("missing_left"), "right")
+    return A.rounded(H.describe_trees(model, spark).select(
+        "node", "feature", "cut", side.alias("missing_side"), "gain", "value", "rows", "hessian"))
+
+
 @query
 def training_metrics(spark, d):
     """Split, fit, score and evaluate on the mart."""
@@ -857,6 +881,15 @@ def tree_additivity(spark, d):
     return _additivity(raw, E.tree_maps(rows, model, MODEL_FEATURES, "id"), F.col("raw")[1])
 
 
+@query
+def hist_boost_additivity(spark, d):
+    """Attributions of the boosted trees add up to the margin, missing values included."""
+    rows = cut_lineage(_model_rows(spark, d).withColumn("dti_eff", F.when(F.col("id") % 3 != 0, F.col("dti_eff"))))
+    model = H.fit_hist_boost(rows, MODEL_FEATURES)
+    margins = H.score_hist_boost(rows, model, ["id"], margin="margin")
+    return _additivity(margins, E.tree_maps(rows, model, MODEL_FEATURES, "id"), F.col("margin"))
+
+
 @query
 def top_attributions(spark, d):
     return E.top_attributions(_linear_maps(spark, d), 3)

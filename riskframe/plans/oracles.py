@@ -669,5 +669,40 @@ FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY abs(attribution) DES
 ORACLES["scorecard_importance"] = f"{_ATTR} SELECT feature, round(avg(abs(attribution)), 6) AS importance FROM attr GROUP BY 1"
 ORACLES["scorecard_records"] = f"""{_ATTR}
 SELECT id AS loan_id, 'scorecard' AS model_name, feature, round(attribution, 6) AS attribution FROM attr"""
-for _name in ("linear_additivity", "tree_additivity"):
+for _name in ("linear_additivity", "tree_additivity", "hist_boost_additivity"):
     ORACLES[_name] = f"WITH {FINAL}\nSELECT id, 1 AS adds_up FROM final WHERE is_default IS NOT NULL"
+
+_BOOST = {"loan_amnt": [50000, 120000, 200000], "dti_eff": [5, 15, 25], "annual_inc": [20000, 60000]}
+# every cut, the one above all values (NULL) too, with missing values on either side
+_BOOST_CUTS = ", ".join(f"({i}, '{f}', {k}, CAST({'NULL' if c is None else c} AS DOUBLE), {left})" for i, (f, cuts) in enumerate(_BOOST.items())
+                        for k, c in enumerate([*cuts, None]) for left in ("true", "false"))
+
+
+def _boost_level(rows: str, out: str) -> str:
+    """Best split per node of ``rows``, and the rows moved to the children."""
+    return f"""
+{out}_sums AS (SELECT node, c.*, count(*) AS n, sum(g) AS g, sum(h) AS h, count(*) FILTER (goes) AS nl,
+    coalesce(sum(g) FILTER (goes), 0) AS gl, coalesce(sum(h) FILTER (goes), 0) AS hl
+  FROM (SELECT r.node, r.g, r.h, c.f, c.k, c.missing_left,
+          CASE WHEN x[c.f + 1] IS NULL THEN c.missing_left ELSE c.cut IS NULL OR x[c.f + 1] <= c.cut END AS goes
+        FROM {rows} r, cuts c) JOIN cuts c USING (f, k, missing_left) GROUP BY ALL),
+{out}_best AS (SELECT *, 0.5 * (gl * gl / (hl + 1) + (g - gl) * (g - gl) / (h - hl + 1) - g * g / (h + 1)) AS gain FROM {out}_sums
+  WHERE nl > 0 AND nl < n AND hl >= 1 AND h - hl >= 1
+  QUALIFY row_number() OVER (PARTITION BY node ORDER BY round(gain, 9) DESC, f, missing_left DESC, k) = 1),
+{out}_split AS (SELECT * FROM {out}_best WHERE gain > 0),
+{out} AS (SELECT r.x, r.g, r.h, 2 * r.node + CASE WHEN CASE WHEN x[s.f + 1] IS NULL THEN s.missing_left
+    ELSE s.cut IS NULL OR x[s.f + 1] <= s.cut END THEN 1 ELSE 2 END AS node FROM {rows} r JOIN {out}_split s USING (node))"""
+
+
+_BOOST_X = ", ".join(f"CASE WHEN id % 5 <> {i} THEN CAST({f} AS DOUBLE) END" for i, f in enumerate(_BOOST))
+ORACLES["hist_boost_tree"] = f"""WITH {FINAL},
+cuts(f, feature, k, cut, missing_left) AS (VALUES {_BOOST_CUTS}),
+root AS (SELECT [{_BOOST_X}] AS x, 0.5 - CAST(is_default AS DOUBLE) AS g, CAST(0.25 AS DOUBLE) AS h, 0 AS node FROM final
+  WHERE is_default IS NOT NULL),{_boost_level("root", "one")},{_boost_level("one", "two")},
+every AS (SELECT * FROM root UNION ALL SELECT * FROM one UNION ALL SELECT * FROM two),
+nodes AS (SELECT node, count(*) AS rows, sum(g) AS g, sum(h) AS h FROM every GROUP BY node),
+splits AS (SELECT node, feature, cut, missing_left, gain FROM one_split UNION ALL
+  SELECT node, feature, cut, missing_left, gain FROM two_split)
+SELECT node, feature, round(cut, 6) AS cut, CASE WHEN missing_left THEN 'left' WHEN NOT missing_left THEN 'right' END
+  AS missing_side, round(gain, 6) AS gain,
+  round(-g / (h + 1), 6) AS value, rows, round(h, 6) AS hessian FROM nodes LEFT JOIN splits USING (node)"""

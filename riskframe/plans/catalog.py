@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable, Sequence
-from datetime import UTC, datetime
+from datetime import UTC, datetime, timedelta
 from functools import reduce
 
 from pyspark.ml.feature import VectorAssembler
@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from riskframe import schemas as S
 from riskframe.functions import scalar as X
+from riskframe.operators import asof as AT
 from riskframe.operators import boosting as H
 from riskframe.operators import drift as D
 from riskframe.operators import explain as E
@@ -37,8 +38,9 @@ from riskframe.plans import adapters as A
 from riskframe.plans import mart, rules
 from riskframe.session import cut_lineage, ensure_checkpoint_dir
 from riskframe.sources import files as SRC
+from riskframe.sources.commits import AppendTable, BucketTable
 from riskframe.sources.tables import latest_version
-from riskframe.streaming.incremental import read_stream, stream_snapshot
+from riskframe.streaming.incremental import read_stream, stream_bucket_snapshot, stream_snapshot
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -49,6 +51,11 @@ UPSERT_SPLIT = "1998-07-01"
 SNAPSHOT_WINDOW = (datetime(2024, 1, 5, tzinfo=UTC), datetime(2024, 1, 25, tzinfo=UTC))
 
 
+def _scratch(spark: SparkSession, name: str) -> str:
+    """A new folder in the shared checkpoint folder."""
+    return f"{ensure_checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
 def query(fn: Query) -> Query:
     QUERIES[fn.__name__] = fn
     return fn
@@ -271,6 +278,21 @@ def partial_upsert(spark, d):
     return A.plain(out)
 
 
+@query
+def bucketed_upsert(spark, d):
+    """The same upsert on a bucketed table, whose later loads arrive as two runs, the first delivered twice."""
+    raw = A.loads(spark, d).withColumn("seq", F.struct("loaded_at", *A.LOAD_TIEBREAK))
+    split, later = (F.lit(t).cast("timestamp") for t in (UPSERT_SPLIT, "1998-10-01"))
+    base = dedup_latest(raw.where(F.col("loaded_at") < split), ["loan_id"], ["loaded_at"], A.LOAD_TIEBREAK)
+    table = BucketTable(spark, _scratch(spark, "loans"), ["loan_id"])
+    table.merge(base.select(*UPSERT_COLS), lambda old, batch: batch, "base")
+    now = F.lit("2020-01-01").cast("timestamp")
+    runs = {"a": raw.where((F.col("loaded_at") >= split) & (F.col("loaded_at") < later)), "b": raw.where(F.col("loaded_at") >= later)}
+    for run in ("a", "b", "a"):
+        table.upsert(runs[run], S.LOAN_UPDATE_COLS, "seq", now=now, run_id=run)
+    return A.plain(table.read())
+
+
 @query
 def series_upsert(spark, d):
     """Value-only upsert on (series, date)."""
@@ -439,6 +461,31 @@ def snapshot_stream(spark, d):
     return latest_version(spark, f"{root}/table").drop("ts")
 
 
+@query
+def bucketed_snapshot(spark, d):
+    """The snapshot stream into a bucketed table, delivered twice; a repeated epoch changes nothing."""
+    root, schema = _scratch(spark, "stream"), A.table(spark, d, "events").schema
+    table = BucketTable(spark, f"{root}/table", ["user_id"])
+    for again in ("first", "second"):
+        rows = read_stream(spark, d, schema, options={"pathGlobFilter": "events.parquet"})
+        rows = rows.select("user_id", F.col("ts").cast("timestamp").alias("ts"), "event_id", "event_type", "value")
+        rows = rows.where("user_id is not null and ts is not null")
+        stream_bucket_snapshot(rows, table, "ts", "events", f"{root}/{again}", ["event_id"]).awaitTermination()
+    return table.read().drop("ts")
+
+
+@query
+def feature_asof(spark, d):
+    """Each purchase with its user's last other event at or before it, if not older than twelve hours."""
+    ev = _events(spark, d)
+    requests = ev.where("event_type = 'purchase'").select("event_id", "user_id", F.col("ts").alias("asked_at"))
+    history = ev.where("event_type <> 'purchase'").select(
+        "user_id", "ts", F.col("event_id").alias("last_event"), F.col("event_type").alias("last_type"), F.col("value").alias("last_value"))
+    found = AT.asof_join(requests, history, "user_id", "asked_at", "ts", ["last_event", "last_type", "last_value"], ["last_event"],
+                         timedelta(hours=12))
+    return found.select("event_id", "user_id", F.col("last_event").cast("double").alias("last_event"), "last_type", "last_value")
+
+
 @query
 def feature_lookup(spark, d):
     """Features of every customer key as the requested id; most are not loan ids."""
@@ -649,6 +696,17 @@ def metric_trend(spark, d):
     return A.rounded(P.metric_trend(_model_metrics(spark, d)), 8)
 
 
+@query
+def appended_metrics(spark, d):
+    """Metric rows appended as two runs, one of them delivered twice, and read back."""
+    rows = cut_lineage(_model_metrics(spark, d))
+    table = AppendTable(spark, _scratch(spark, "metrics"))
+    old = F.col("run_ts") < F.lit("1996-01-01").cast("timestamp")
+    for run in ("old", "new", "old"):
+        table.append(rows.where(old if run == "old" else ~old), run)
+    return A.rounded(P.metric_trend(table.read()), 8)
+
+
 @query
 def drift_alerts(spark, d):
     return A.rounded(P.drift_alerts(_feature_drift(spark, d)), 8)

@@ -706,3 +706,14 @@ splits AS (SELECT node, feature, cut, missing_left, gain FROM one_split UNION AL
 SELECT node, feature, round(cut, 6) AS cut, CASE WHEN missing_left THEN 'left' WHEN NOT missing_left THEN 'right' END
   AS missing_side, round(gain, 6) AS gain,
   round(-g / (h + 1), 6) AS value, rows, round(h, 6) AS hessian FROM nodes LEFT JOIN splits USING (node)"""
+
+ORACLES["bucketed_upsert"] = ORACLES["partial_upsert"]
+ORACLES["bucketed_snapshot"] = ORACLES["snapshot_stream"]
+ORACLES["appended_metrics"] = ORACLES["metric_trend"]
+ORACLES["feature_asof"] = """WITH h AS (SELECT user_id, ts, max(event_id) AS last_event, arg_max(event_type, event_id) AS last_type,
+    arg_max(value, event_id) AS last_value FROM events WHERE event_type <> 'purchase' GROUP BY user_id, ts),
+r AS (SELECT event_id, user_id, ts FROM events WHERE event_type = 'purchase'),
+j AS (SELECT r.*, h.* EXCLUDE (user_id, ts), h.ts >= r.ts - INTERVAL 12 HOUR AS alive
+  FROM r ASOF LEFT JOIN h ON r.user_id = h.user_id AND r.ts >= h.ts)
+SELECT event_id, user_id, CASE WHEN alive THEN CAST(last_event AS DOUBLE) END AS last_event,
+  CASE WHEN alive THEN last_type END AS last_type, CASE WHEN alive THEN last_value END AS last_value FROM j"""

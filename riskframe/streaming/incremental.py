@@ -14,6 +14,7 @@ from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
 from riskframe.operators.snapshot import merge_latest
+from riskframe.sources.commits import BucketTable
 from riskframe.sources.tables import latest_version, upsert_table, write_version
 
 
@@ -47,3 +48,26 @@ def stream_upsert(rows: DataFrame, path: str, keys: Sequence[str], update_cols:
 
     return (rows.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint)
             .trigger(availableNow=True).start())
+
+
+def stream_bucket_upsert(rows: DataFrame, table: BucketTable, update_cols: Sequence[str], job: str, checkpoint: str,
+                         order_col: str | None = None, ts_col: str = "loaded_at") -> StreamingQuery:
+    """Partial-column upsert that rewrites only the buckets of arriving keys.
+
+    A micro-batch is committed under the job's name and its epoch, so one that is delivered again is a no-op.
+    """
+    def apply(batch: DataFrame, epoch: int) -> None:
+        table.upsert(batch, update_cols, order_col, ts_col, datetime.now(UTC), run_id=f"{job}-{epoch}")
+
+    return (rows.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint)
+            .trigger(availableNow=True).start())
+
+
+def stream_bucket_snapshot(rows: DataFrame, table: BucketTable, ts: str, job: str, checkpoint: str,
+                           tiebreak: Sequence[str] = ()) -> StreamingQuery:
+    """Snapshot that rewrites only the buckets of arriving entities."""
+    def apply(batch: DataFrame, epoch: int) -> None:
+        table.keep_latest(batch, ts, tiebreak, run_id=f"{job}-{epoch}")
+
+    return (rows.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint)
+            .trigger(availableNow=True).start())

@@ -717,3 +717,9 @@ j AS (SELECT r.*, h.* EXCLUDE (user_id, ts), h.ts >= r.ts - INTERVAL 12 HOUR AS
   FROM r ASOF LEFT JOIN h ON r.user_id = h.user_id AND r.ts >= h.ts)
 SELECT event_id, user_id, CASE WHEN alive THEN CAST(last_event AS DOUBLE) END AS last_event,
   CASE WHEN alive THEN last_type END AS last_type, CASE WHEN alive THEN last_value END AS last_value FROM j"""
+_LINE = {"order_key": "l_orderkey", "line_number": "l_linenumber", **{c: A.SURVIVAL[c] for c in ("quantity", "discount")}}
+ORACLES["line_survival_curves"] = f"""WITH {_GIVEN},
+lines AS (SELECT {_cols(_LINE)} FROM lineitem JOIN orders ON l_orderkey = o_orderkey),
+times AS ({" UNION ALL ".join(f"SELECT CAST({t} AS DOUBLE) AS t, {_h0(t)} AS h0" for t in (12, 24, 36, 48, 60))})
+SELECT order_key, line_number, t, round(exp(-h0 * exp(0.02 * (quantity - 25.0) + -3.0 * (discount - 0.05))), 6) AS surv
+FROM lines CROSS JOIN times"""

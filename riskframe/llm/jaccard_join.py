@@ -4,18 +4,22 @@ The document by n-gram incidence matrix A gives the overlaps of all pairs as A x
 taken column by column, and only the columns that a linked pair must share are multiplied: with
 similarity t, a pair overlaps by at least t times the larger set, so among the first n - ceil(t n) + 1
 n-grams of both (in one common order) there is one they share.  The order puts n-grams seen often
-last, so that these columns are short.  The overlaps these columns give are accumulated
-per pair; pairs that cannot reach the overlap their sizes ask for are discarded, and only the others get
-their full overlap from the two rows.
+last, so that these columns are short.
 
 * Documents with equal sets are one row of the matrix (a class), so copies never multiply.
-* A column of up to ``ALL_PAIRS`` classes gives all its pairs.  A longer one gives the pairs with one
-  leader first; once the components of the links found so far are known, only pairs of classes in
-  different components are left to be compared, and in a column of near copies there are none.
+* Leader rounds come first: in every column a node meets one leader, overlaps are accumulated per
+  (node, leader), pairs below the bounds are discarded, and each node compares its full row with the leader
+  it shares most columns with.  Later rounds take leaders of other components.  So a round makes at most
+  one pair a node, and a group of near copies becomes one component in pairs that grow with its size.
+* What is left are pairs across components.  Their columns are multiplied in blocks of rows inside tasks,
+  and a pair leaves the task only when its sizes, its place in the common order and its parity vectors
+  allow the overlap that it needs.  Whatever the rounds did, this step covers every pair not compared yet.
 * The order only steers the cost, any order gives the same links: frequent n-grams are those that
   scan tasks saw repeatedly, and at most ``MAX_FREQUENT`` of them are told to all tasks.
 
-N-grams are 64-bit fingerprints, sets are compared by 128-bit digests.
+N-grams are 64-bit fingerprints, sets are compared by 128-bit digests.  A parity vector has one bit for
+each of ``BITS`` hash buckets, set when the set has an odd number of n-grams there: two sets differ in at
+least as many n-grams as their vectors differ in bits, which bounds their overlap from above.
 """
 
 from __future__ import annotations
@@ -33,7 +37,9 @@ from riskframe.session import cut_lineage
 
 WORDS = 5
 PERCENT = 75
-ALL_PAIRS = 8
+BITS = 512
+ROUNDS = 4
+BLOCK = 4096
 FREQUENT_FROM = 8
 MAX_FREQUENT = 1 << 18
 CACHE_WORDS = 400_000
@@ -71,6 +77,12 @@ def digest(grams: np.ndarray) -> bytes:
     return xxhash.xxh3_128_digest(grams.tobytes())
 
 
+def parity(grams: np.ndarray) -> np.ndarray:
+    """``BITS`` parities of the n-gram counts by bucket, as 64-bit words."""
+    odd = np.bincount(grams & (BITS - 1), minlength=BITS) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64)
+
+
 def node(key: bytes) -> int:
     """Short name of a class in candidate rows; links are made between full digests."""
     return int.from_bytes(key[:8], "little", signed=True)
@@ -82,23 +94,28 @@ def prefix_length(n: int, percent: int = PERCENT) -> int:
 
 
 def _survey(docs: DataFrame, doc_id: str, text: str, words: int) -> DataFrame:
-    """Per document (doc_id, n, digest), and per task (gram, seen) of n-grams seen twice or more there."""
-    schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("digest", pa.binary()), ("node", pa.int64()),
-                        ("gram", pa.int64()), ("seen", pa.int64())])
+    """Per document (doc_id, key, n, digest, node, bits), and per task (gram, seen) of n-grams seen twice or more there.
+
+    ``key`` is a hash of the text that Spark computes, by which rows are found again.
+    """
+    schema = pa.schema([("doc_id", pa.int64()), ("key", pa.int64()), ("n", pa.int64()), ("digest", pa.binary()),
+                        ("node", pa.int64()), ("bits", pa.list_(pa.int64())), ("gram", pa.int64()), ("seen", pa.int64())])
 
     def repeated(held: list[np.ndarray]) -> pa.RecordBatch:
         grams, seen = np.unique(np.concatenate(held), return_counts=True)
         some = seen > 1
         k = int(some.sum())
-        return pa.record_batch([*(pa.nulls(k, f.type) for f in list(schema)[:4]), pa.array(grams[some]), pa.array(seen[some])], schema=schema)
+        return pa.record_batch([*(pa.nulls(k, f.type) for f in list(schema)[:6]), pa.array(grams[some]), pa.array(seen[some])], schema=schema)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingles, held, size, done = shingler(words), [], 0, set()
         for batch in batches:
-            sets = [shingles(t) for t in batch.column(1).to_pylist()]
+            sets = [shingles(t) for t in batch.column(2).to_pylist()]
             keys = [digest(s) for s in sets]
-            yield pa.record_batch([batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(keys, pa.binary()),
-                                   pa.array([node(k) for k in keys], pa.int64()), pa.nulls(len(sets), pa.int64()), pa.nulls(len(sets), pa.int64())], schema=schema)
+            none = pa.nulls(len(sets), pa.int64())
+            yield pa.record_batch([batch.column(0), batch.column(1), pa.array([len(s) for s in sets], pa.int64()),
+                                   pa.array(keys, pa.binary()), pa.array([node(k) for k in keys], pa.int64()),
+                                   pa.array([parity(s) for s in sets], pa.list_(pa.int64())), none, none], schema=schema)
             for s, k in zip(sets, keys):
                 if k not in done:  # copies do not make an n-gram frequent
                     done.add(k)
@@ -110,8 +127,12 @@ def _survey(docs: DataFrame, doc_id: str, text: str, words: int) -> DataFrame:
         if held:
             yield repeated(held)
 
-    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, n long, digest binary, node long, gram long, seen long")
+    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), _text_key(text), F.col(text).cast("string").alias("text"))
+    return rows.mapInArrow(run, "doc_id long, key long, n long, digest binary, node long, bits array<long>, gram long, seen long")
+
+
+def _text_key(text: str) -> Column:
+    return F.xxhash64(F.col(text).cast("string")).alias("key")
 
 
 def _frequent(survey: DataFrame) -> tuple[np.ndarray, np.ndarray]:
@@ -136,15 +157,20 @@ def prefix(grams: np.ndarray, frequent: np.ndarray, level: np.ndarray, percent:
 
 
 def _columns(docs: DataFrame, text: str, words: int, percent: int, frequent: tuple[np.ndarray, np.ndarray]) -> DataFrame:
-    """(gram, node): the columns to multiply, one entry per class and task."""
+    """(gram, node, pos): the columns to multiply, one entry per class and task, with its place in the row's order."""
     shipped = docs.sparkSession.sparkContext.broadcast(frequent)
-    schema = pa.schema([("gram", pa.int64()), ("node", pa.int64())])
+    schema = pa.schema([("gram", pa.int64()), ("node", pa.int64()), ("pos", pa.int32())])
+
+    def out(parts: list[np.ndarray], nodes: list[int]) -> pa.RecordBatch:
+        sizes = [len(p) for p in parts]
+        return pa.record_batch([pa.array(np.concatenate(parts)), pa.array(np.repeat(np.array(nodes, np.int64), sizes)),
+                                pa.array(np.concatenate([np.arange(k, dtype=np.int32) for k in sizes]))], schema=schema)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingles, done = shingler(words), set()
         often, level = shipped.value
         for batch in batches:
-            grams, nodes, size = [], [], 0
+            parts, nodes, size = [], [], 0
             for t in batch.column(0).to_pylist():
                 s = shingles(t)
                 key = digest(s)
@@ -152,114 +178,195 @@ def _columns(docs: DataFrame, text: str, words: int, percent: int, frequent: tup
                     continue
                 if len(done) < 2_000_000:
                     done.add(key)
-                p = prefix(s, often, level, percent)
-                grams.append(p)
-                nodes.append(np.full(len(p), node(key)))
-                size += len(p)
+                parts.append(prefix(s, often, level, percent))
+                nodes.append(node(key))
+                size += len(parts[-1])
                 if size > 200_000:
-                    yield pa.record_batch([pa.array(np.concatenate(grams)), pa.array(np.concatenate(nodes))], schema=schema)
-                    grams, nodes, size = [], [], 0
-            if grams:
-                yield pa.record_batch([pa.array(np.concatenate(grams)), pa.array(np.concatenate(nodes))], schema=schema)
+                    yield out(parts, nodes)
+                    parts, nodes, size = [], [], 0
+            if parts:
+                yield out(parts, nodes)
 
-    return docs.select(F.col(text).cast("string").alias("text")).mapInArrow(run, "gram long, node long")
+    return docs.select(F.col(text).cast("string").alias("text")).mapInArrow(run, "gram long, node long, pos int")
 
 
-def column_pairs(grams: np.ndarray, nodes: np.ndarray, most: int = ALL_PAIRS) -> list[tuple[np.ndarray, ...]]:
-    """(a, b, column) of sorted (gram, node) entries: all pairs of short columns (column 0 is not
-    told, -1 marks it absent), pairs with the leader of long ones."""
-    if not len(grams):
-        return []
+def meetings(grams: np.ndarray, nodes: np.ndarray, pos: np.ndarray) -> tuple[np.ndarray, ...]:
+    """(gram, node, pos, lead) of sorted entries in columns of two or more nodes; lead is a column's least node."""
     new = np.concatenate([[True], (grams[1:] != grams[:-1]) | (nodes[1:] != nodes[:-1])])
-    grams, nodes = grams[new], nodes[new]
+    grams, nodes, pos = grams[new], nodes[new], pos[new]
     start = np.flatnonzero(np.concatenate([[True], grams[1:] != grams[:-1]]))
     size = np.diff(np.concatenate([start, [len(grams)]]))
-    of_row, first = np.repeat(size, size), np.repeat(start, size)
-    place = np.arange(len(grams))
-    out = []
-    for k in range(1, most):
-        left = np.flatnonzero((of_row <= most) & (place - first + k < of_row))
-        if not len(left):
-            break
-        out.append((nodes[left], nodes[left + k], np.zeros(len(left), np.int64), np.zeros(len(left), bool)))
-    member = np.flatnonzero((of_row > most) & (place > first))
-    if len(member):
-        out.append((nodes[first[member]], nodes[member], grams[member], np.ones(len(member), bool)))
-    return out
+    met = np.repeat(size, size) > 1
+    return grams[met], nodes[met], pos[met], np.repeat(nodes[start], size)[met]
 
 
-def _multiply(columns: DataFrame, most: int = ALL_PAIRS) -> DataFrame:
-    """(a, b, column, long): candidate pairs of the columns, read in column order."""
-    schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("column", pa.int64()), ("long", pa.bool_())])
-
-    def emit(grams: np.ndarray, nodes: np.ndarray) -> Iterator[pa.RecordBatch]:
-        for part in column_pairs(grams, nodes, most):
-            for at in range(0, len(part[0]), 100_000):
-                yield pa.record_batch([pa.array(v[at:at + 100_000]) for v in part], schema=schema)
+def _meetings(columns: DataFrame) -> DataFrame:
+    """(gram, node, pos, lead) of all columns where nodes meet, read in column order."""
+    schema = pa.schema([("gram", pa.int64()), ("node", pa.int64()), ("pos", pa.int32()), ("lead", pa.int64())])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[np.ndarray, np.ndarray]] = []
-        size = 0
+        held: list[tuple[np.ndarray, ...]] = []
+        size, told = 0, 0  # told: leading entries of the buffer that went out with an earlier one
         for batch in batches:
-            held.append((batch.column(0).to_numpy(), batch.column(1).to_numpy()))
+            held.append(tuple(c.to_numpy() for c in batch.columns))
             size += batch.num_rows
             if size < BUFFER:
                 continue
-            grams, nodes = (np.concatenate(c) for c in zip(*held))
-            cut = int(np.searchsorted(grams, grams[-1]))
+            entries = tuple(np.concatenate(c) for c in zip(*held))
+            cut = int(np.searchsorted(entries[0], entries[0][-1]))
             if cut == 0:
-                # one column fills the buffer: its pairs with the leader go out, the leader stays,
-                # with enough others to be seen as a long column again
-                yield from emit(grams, nodes)
-                keep = np.unique(nodes)[:most + 1]
-                held = [(np.full(len(keep), grams[0]), keep)]
+                # one column fills the buffer: its entries go out, leader and last entry stay for what follows
+                found = meetings(*entries)
+                keep = [0, len(entries[0]) - 1]
+                held, fresh = [tuple(c[keep] for c in entries)], told
+                told = 2 if len(found[0]) else 0
             else:
-                yield from emit(grams[:cut], nodes[:cut])
-                held = [(grams[cut:], nodes[cut:])]
+                found = meetings(*(c[:cut] for c in entries))
+                held, fresh, told = [tuple(c[cut:] for c in entries)], told, 0
             size = len(held[0][0])
+            yield from emit(found, fresh)
         if held:
-            yield from emit(*(np.concatenate(c) for c in zip(*held)))
+            yield from emit(meetings(*(np.concatenate(c) for c in zip(*held))), told)
+
+    def emit(found: tuple[np.ndarray, ...], told: int) -> Iterator[pa.RecordBatch]:
+        for at in range(told, len(found[0]), 100_000):
+            yield pa.record_batch([pa.array(c[at:at + 100_000]) for c in found], schema=schema)
 
     dealt = columns.repartition("gram").sortWithinPartitions("gram", "node")
-    return dealt.mapInArrow(run, "a long, b long, column long, long boolean")
+    return dealt.mapInArrow(run, "gram long, node long, pos int, lead long")
 
 
 def _rows(docs: DataFrame, wanted: DataFrame, doc_id: str, text: str, words: int) -> DataFrame:
-    """(digest, node, grams) of the wanted (doc_id, digest) documents: rows of the matrix."""
-    schema = pa.schema([("digest", pa.binary()), ("node", pa.int64()), ("grams", pa.list_(pa.int64()))])
-    some = docs.select(F.col(doc_id).cast("long").alias("__id"), F.col(text).cast("string").alias("__text"))
-    some = some.join(wanted.select(F.col("doc_id").alias("__want")).distinct(), F.col("__id") == F.col("__want"), "left_semi")
+    """(digest, grams) of the wanted (doc_id, key, digest) classes: rows of the matrix, one per class."""
+    schema = pa.schema([("digest", pa.binary()), ("grams", pa.list_(pa.int64()))])
+    some = docs.select(F.col(doc_id).cast("long").alias("__id"), _text_key(text).alias("__key"), F.col(text).cast("string").alias("__text"))
+    some = some.join(wanted.select("doc_id", "key"), F.col("__id").eqNullSafe(F.col("doc_id")) & (F.col("__key") == F.col("key")), "left_semi")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingles = shingler(words)
         for batch in batches:
             for part in (batch.slice(i, 500) for i in range(0, batch.num_rows, 500)):
                 sets = [shingles(t) for t in part.column(0).to_pylist()]
-                keys = [digest(s) for s in sets]
-                yield pa.record_batch([pa.array(keys, pa.binary()), pa.array([node(k) for k in keys], pa.int64()),
-                                       pa.array(sets, pa.list_(pa.int64()))], schema=schema)
+                yield pa.record_batch([pa.array([digest(s) for s in sets], pa.binary()), pa.array(sets, pa.list_(pa.int64()))], schema=schema)
 
-    return some.select("__text").mapInArrow(run, "digest binary, node long, grams array<long>")
+    rows = cut_lineage(some.select("__text").mapInArrow(run, "digest binary, grams array<long>"))
+    if rows.count() > wanted.count():  # rows repeated with id and text
+        rows = cut_lineage(rows.dropDuplicates(["digest"]))
+    return rows
 
 
 def _fits(small: Column, large: Column, percent: int) -> Column:
     return 100 * F.least(small, large) >= percent * F.greatest(small, large)
 
 
-def _within_bounds(products: DataFrame, classes: DataFrame, entries: DataFrame, percent: int) -> DataFrame:
-    """(a, b) pairs whose accumulated overlap can still reach what their sizes ask for.
+def _possible(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """The (a, b) pairs whose sizes and parity vectors allow the overlap that they need."""
+    side = classes.select("node", "n", "bits")
+    sized = pairs.join(side.toDF("a", "na", "va"), "a").join(side.toDF("b", "nb", "vb"), "b")
+    differ = sum((F.bit_count(F.col("va")[i].bitwiseXOR(F.col("vb")[i])) for i in range(BITS // 64)), F.lit(0))
+    total = F.col("na") + F.col("nb")
+    return sized.where(_fits(F.col("na"), F.col("nb"), percent) & ((100 + percent) * (total - differ) >= 2 * percent * total)).select(
+        *pairs.columns)
 
-    Of the shared n-grams up to the end of the shorter prefix all but those of long columns are counted
-    in the products; behind it lie at most ceil(t n) - 1 of either set.
+
+def _best(met: DataFrame, classes: DataFrame, tried: DataFrame | None, percent: int) -> DataFrame:
+    """(a, b): each node with the leader it shares most columns with, of (node, lead) entries."""
+    counted = met.groupBy(F.col("node").alias("a"), F.col("lead").alias("b")).agg(F.count(F.lit(1)).alias("shared"))
+    if tried is not None:
+        both = tried.unionByName(tried.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        counted = counted.join(both, ["a", "b"], "left_anti")
+    best = _possible(counted, classes, percent).groupBy("a").agg(F.max_by("b", F.struct("shared", "b")).alias("b"))
+    return cut_lineage(best.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+
+
+def _mixed(met: DataFrame, labels: DataFrame) -> DataFrame:
+    """(gram, node, pos, label) of the columns where components still meet."""
+    named = met.select("gram", "node", "pos").join(labels, "node")
+    several = named.groupBy("gram").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("gram")
+    return cut_lineage(named.join(several, "gram"))
+
+
+def _other_leads(mixed: DataFrame) -> DataFrame:
+    """(node, lead): each entry with the column's least node of another component, or its greatest."""
+    who = F.struct("label", "node")
+    ends = mixed.groupBy("gram").agg(F.min(who).alias("lo"), F.max(who).alias("hi"))
+    return mixed.join(ends, "gram").select("node", F.when(F.col("label") == F.col("lo.label"), F.col("hi.node")).otherwise(
+        F.col("lo.node")).alias("lead"))
+
+
+def block_pairs(group: np.ndarray, nodes: np.ndarray, n: np.ndarray, pos: np.ndarray, label: np.ndarray, block: np.ndarray,
+                bits: np.ndarray, percent: int = PERCENT) -> np.ndarray:
+    """(a, b) rows: pairs across components within the groups of entries sorted by (group, n).
+
+    ``block`` is -1 where a group is one block against itself; else only pairs of different blocks are
+    taken.  A linked pair passes all bounds in the first column it shares: no n-gram before it is common.
+    """
+    bits = np.ascontiguousarray(bits).view(np.uint64)  # numpy counts the bits of a signed number's magnitude
+    last = np.searchsorted(group, group, "right")
+    left, k, out = np.arange(len(group)), 1, []
+    while len(left):
+        left = left[left + k < last[left]]
+        left = left[100 * n[left] >= percent * n[left + k]]  # sizes rise, so the rest of the group fails too
+        right = left + k
+        ok = (label[left] != label[right]) & ((block[left] < 0) | (block[left] != block[right]))
+        a, b = left[ok], right[ok]
+        total = n[a] + n[b]
+        ok = (100 + percent) * np.minimum(n[a] - pos[a], n[b] - pos[b]) >= percent * total
+        a, b, total = a[ok], b[ok], total[ok]
+        differ = np.bitwise_count(bits[a] ^ bits[b]).sum(1, dtype=np.int64)
+        ok = (100 + percent) * (total - differ) >= 2 * percent * total
+        a, b = nodes[a[ok]], nodes[b[ok]]
+        out.append(np.stack([np.minimum(a, b), np.maximum(a, b)], 1))
+        k += 1
+    return np.unique(np.concatenate(out), axis=0) if out else np.zeros((0, 2), np.int64)
+
+
+def _across(mixed: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """(a, b) pairs of different components that their bounds allow, from the product of the mixed columns.
+
+    A column of more than ``BLOCK`` entries is cut into row blocks, and each two of them are a group of their own.
     """
-    counted = products.groupBy("a", "b").agg(F.count(F.lit(1)).alias("shared"))
-    in_long = entries.groupBy("node").agg(F.count(F.lit(1)).alias("long"))
-    sizes = classes.select("node", "n").join(in_long, "node", "left").select("node", "n", F.coalesce("long", F.lit(0)))
-    sized = counted.join(sizes.toDF("a", "na", "la"), "a").join(sizes.toDF("b", "nb", "lb"), "b")
-    behind = F.ceil(F.greatest("na", "nb") * percent / 100) - 1
-    most = F.col("shared") + F.least("la", "lb") + behind
-    return sized.where(_fits(F.col("na"), F.col("nb"), percent)
-                       & ((100 + percent) * most >= percent * (F.col("na") + F.col("nb")))).select("a", "b")
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+    sizes = mixed.groupBy("gram").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
+    entries = mixed.join(sizes, "gram").join(classes.select("node", "n", "bits"), "node")
+    own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
+    entries = entries.withColumn("block", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    entries = entries.select("gram", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "n", "node", "pos", "label",
+                             "block", "bits")
+
+    def product(batch: pa.Table) -> Iterator[pa.RecordBatch]:
+        gram, i, j, n, nodes, pos, label, block = (batch.column(c).to_numpy() for c in range(8))
+        new = (gram[1:] != gram[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])
+        group = np.concatenate([[0], np.cumsum(new)])
+        bits = batch.column(8).combine_chunks().flatten().to_numpy().reshape(-1, BITS // 64)
+        found = block_pairs(group, nodes, n, pos, label, np.where(i == j, -1, block), bits, percent)
+        for at in range(0, len(found), 100_000):
+            yield pa.record_batch([pa.array(found[at:at + 100_000, c].copy()) for c in (0, 1)], schema=schema)
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+        for batch in batches:
+            held.append(batch)
+            size += batch.num_rows
+            if size < BUFFER // 5:
+                continue
+            table = pa.Table.from_batches(held)
+            cut = _last_group([table.column(c).to_numpy() for c in range(3)])
+            if cut:
+                yield from product(table.slice(0, cut))
+                held = table.slice(cut).to_batches()
+                size = table.num_rows - cut
+        if size:
+            yield from product(pa.Table.from_batches(held))
+
+    dealt = entries.repartition("gram", "i", "j").sortWithinPartitions("gram", "i", "j", "n")
+    return dealt.mapInArrow(run, "a long, b long").distinct()
+
+
+def _last_group(keys: list[np.ndarray]) -> int:
+    """Where the last group of sorted entries begins."""
+    other = np.flatnonzero(np.any([k != k[-1] for k in keys], axis=0))
+    return int(other[-1]) + 1 if len(other) else 0
 
 
 def _links(pairs: DataFrame, classes: DataFrame, rows: DataFrame, percent: int) -> DataFrame:
@@ -274,65 +381,78 @@ def _links(pairs: DataFrame, classes: DataFrame, rows: DataFrame, percent: int)
         F.col("da").alias("a"), F.col("db").alias("b"))
 
 
+def _labels(classes: DataFrame, links: DataFrame | None) -> DataFrame:
+    """(node, label): each class with the short name of its component so far."""
+    if links is None:
+        return classes.select("node", F.col("node").alias("label"))
+    found = components(links).select(F.col("node").alias("digest"), F.col("label").alias("__label"))
+    names = classes.select(F.col("digest").alias("__label"), F.col("node").alias("label"))
+    return cut_lineage(classes.select("node", "digest").join(found, "digest", "left").join(names, "__label", "left").select(
+        "node", F.coalesce("label", "node").alias("label")))
+
+
+def _grouped(docs: DataFrame, text: str, doc_id: str, words: int, percent: int) -> DataFrame:
+    """Per document (doc_id, key, n, component_id, first): ``first`` says the (doc_id, key) that stands for its group."""
+    survey = cut_lineage(_survey(docs, doc_id, text, words))
+    each = survey.where("digest is not null").select("doc_id", "key", "n", "digest", "node", "bits")
+    # the row that stands for a class: the least id, then the least key; NULL ids only where there is no other
+    stands = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")
+    classes = cut_lineage(each.where("n > 0").groupBy("digest").agg(
+        F.min(stands).alias("s"), F.max("n").alias("n"), F.max("node").alias("node"), F.first("bits").alias("bits")).select(
+        "digest", "s", F.col("s.doc_id").alias("doc_id"), F.col("s.key").alias("key"), "n", "node", "bits"))
+
+    met = cut_lineage(_meetings(_columns(docs, text, words, percent, _frequent(survey))))
+    wanted = cut_lineage(classes.join(met.select("node").distinct(), "node", "left_semi").select("doc_id", "key", "digest"))
+    rows = _rows(docs, wanted, doc_id, text, words)
+
+    tried = links = None
+    mixed = None
+    for _ in range(ROUNDS):
+        if mixed is None:
+            pairs = _best(met.where("node != lead"), classes, None, percent)
+        else:
+            pairs = _best(_other_leads(mixed), classes, tried, percent)
+        tried = pairs if tried is None else tried.unionByName(pairs)
+        more = cut_lineage(_links(pairs, classes, rows, percent))
+        found = more.limit(1).count()
+        if found:
+            links = more if links is None else links.unionByName(more)
+        if found or mixed is None:
+            mixed = _mixed(met if mixed is None else mixed, _labels(classes, links))
+        if not found or not mixed.limit(1).count():
+            break
+    across = cut_lineage(_across(mixed, classes, percent).join(tried, ["a", "b"], "left_anti"))
+    more = cut_lineage(_links(across, classes, rows, percent))
+    labels = components(more if links is None else links.unionByName(more))
+
+    found = classes.join(labels.toDF("digest", "label"), "digest", "left").select("digest", "s", F.coalesce("label", "digest").alias("label"))
+    least = found.groupBy("label").agg(F.min("s").alias("first"))
+    group = found.join(least, "label").select(F.col("digest").alias("__digest"), "first")
+    some = each.where("n > 0").join(group, F.col("digest") == F.col("__digest")).select("doc_id", "key", "n", "first")
+    return some.unionByName(each.where("n = 0").select("doc_id", "key", "n", stands.alias("first"))).select(
+        "doc_id", "key", "n", F.col("first.doc_id").alias("component_id"), "first")
+
+
 def join(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id (least doc_id reachable by links).
 
     NULL and empty texts, and texts of white space, have the empty set and are linked with nothing;
     texts under ``words`` words have their whole word sequence as one n-gram.  Repeated rows have equal
-    sets and are linked.  A NULL doc_id is never the least one while the component has another; an
-    empty table gives an empty result.
+    sets and are linked.  Rows without doc_id are linked like others; NULL is the least id only where a
+    component has no other.  An empty table gives an empty result.
     """
-    survey = cut_lineage(_survey(docs, doc_id, text, words))
-    each = survey.where("digest is not null").select("doc_id", "n", "digest", "node")
-    classes = each.where("n > 0").groupBy("digest").agg(F.min("doc_id").alias("doc_id"), F.max("n").alias("n"),
-                                                         F.max("node").alias("node"))
-    classes = cut_lineage(classes)
-
-    products = cut_lineage(_multiply(_columns(docs, text, words, percent, _frequent(survey))))
-    long = products.where("long")
-    entries = long.select("column", F.col("b").alias("node")).unionByName(
-        long.select("column", F.col("a").alias("node"))).distinct()
-    entries = cut_lineage(entries)
-    pairs = cut_lineage(_within_bounds(products, classes, entries, percent))
-    asked = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).unionByName(
-        entries.select("node")).distinct()
-    # a class without any id has no row to fetch by id; its documents have none to reach either
-    wanted = classes.where("doc_id is not null").join(asked, "node", "left_semi")
-    rows = cut_lineage(_rows(docs, wanted, doc_id, text, words))
-    links = cut_lineage(_links(pairs, classes, rows, percent))
-    labels = components(links)
-
-    # long columns: pairs of classes in different components were not all compared yet
-    named = classes.join(labels.toDF("digest", "label"), "digest", "left").select(
-        "node", "n", F.coalesce("label", "digest").alias("label"))
-    entries = cut_lineage(entries.join(named, "node"))
-    mixed = entries.groupBy("column").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo != hi").select("column")
-    left = entries.join(mixed, "column")
-    right = left.select("column", F.col("node").alias("node2"), F.col("n").alias("n2"), F.col("label").alias("label2"))
-    rest = left.join(right, (left["column"] == right["column"]) & (F.col("label") < F.col("label2"))
-                     & _fits(F.col("n"), F.col("n2"), percent)).select(
-        F.least("node", "node2").alias("a"), F.greatest("node", "node2").alias("b")).distinct()
-    rest = cut_lineage(rest.join(pairs, ["a", "b"], "left_anti"))
-    if rest.limit(1).count():
-        more = _links(rest, classes, rows, percent)
-        labels = components(cut_lineage(links.unionByName(more)))
-
-    found = classes.join(labels.toDF("digest", "label"), "digest", "left").select(
-        F.col("digest").alias("__digest"), "doc_id", F.coalesce("label", "digest").alias("label"))
-    least = found.groupBy("label").agg(F.min("doc_id").alias("component_id"))
-    group = found.select("__digest", "label").join(least, "label").select("__digest", "component_id")
-    some = each.where("n > 0").join(group, F.col("digest") == F.col("__digest")).select(
-        "doc_id", F.col("n").alias("n_shingles"), "component_id")
-    none = each.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
-    return some.unionByName(none)
-
-
-def keep(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", **settings) -> DataFrame:
+    return _grouped(docs, text, doc_id, words, percent).select("doc_id", F.col("n").alias("n_shingles"), "component_id")
+
+
+def keep(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """One document of each group, the one with the least doc_id; documents without words all stay.
 
-    Rows that repeat doc_id and text are one document; NULL ids stay only where the whole group has none.
+    Of different texts with that id in one group, one stays.  Rows that repeat doc_id and text are one
+    document; a NULL id stays only where the whole group has no other.
     """
-    stay = join(docs, text, doc_id, **settings).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(
-        F.coalesce("doc_id", F.lit(0)).cast("long").alias("__id"), F.col("doc_id").isNull().alias("__no_id")).distinct()
-    rows = docs.withColumns({"__id": F.coalesce(F.col(doc_id).cast("long"), F.lit(0)), "__no_id": F.col(doc_id).isNull()})
-    return rows.join(stay, ["__id", "__no_id"], "left_semi").dropDuplicates(["__id", "__no_id", text]).select(*docs.columns)
+    found = _grouped(docs, text, doc_id, words, percent).where(
+        F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("key") == F.col("first.key")))
+    stay = found.select(F.coalesce("doc_id", F.lit(0)).alias("__id"), F.col("doc_id").isNull().alias("__no_id"), F.col("key").alias("__key")).distinct()
+    rows = docs.withColumns({"__id": F.coalesce(F.col(doc_id).cast("long"), F.lit(0)), "__no_id": F.col(doc_id).isNull(), "__key": _text_key(text)})
+    names = ["__id", "__no_id", "__key"]
+    return rows.join(stay, names, "left_semi").dropDuplicates([*names, text]).select(*docs.columns)

@@ -226,11 +226,51 @@ def test_jaccard_components(docs, rows):
     assert Counter(map(tuple, jaccard_join.join(docs).collect())) == want
 
 
-def test_long_columns_and_buffers(monkeypatch):
-    grams = np.repeat(np.arange(3), [2, 20, 4])
-    nodes = np.concatenate([np.arange(2), np.arange(20), np.arange(4)])
-    parts = jaccard_join.column_pairs(grams, nodes)
-    assert sum(len(p[0]) for p in parts) == 1 + 19 + 6
+def test_meetings_and_blocks(monkeypatch):
+    grams = np.repeat(np.arange(4), [2, 20, 4, 1])
+    nodes = np.concatenate([np.arange(5, 7), np.arange(20), np.arange(4), [9]])
+    met = jaccard_join.meetings(grams, nodes, np.zeros(27, np.int32))
+    assert len(met[0]) == 26 and set(zip(met[0].tolist(), met[3].tolist())) == {(0, 5), (1, 0), (2, 0)}
+    rng = np.random.default_rng(5)
+    base = rng.integers(-2**60, 2**60, 100)
+    sets = [np.unique(np.concatenate([base[:100 - e], rng.integers(-2**60, 2**60, e)])) for e in rng.integers(0, 40, 30)]
+    bits, n, at = np.stack([jaccard_join.parity(s) for s in sets]), np.array([len(s) for s in sets]), np.arange(30)
+    got = set(map(tuple, jaccard_join.block_pairs(np.zeros(30, int), at, n, np.zeros(30, int), at, np.full(30, -1), bits).tolist()))
+    linked = {(i, j) for j in range(30) for i in range(j)
+              if 100 * len(np.intersect1d(sets[i], sets[j])) >= 75 * len(np.union1d(sets[i], sets[j]))}
+    assert linked <= got < {(i, j) for j in range(30) for i in range(j)}
+    halves = set(map(tuple, jaccard_join.block_pairs(np.zeros(30, int), at, n, np.zeros(30, int), at, at % 2, bits).tolist()))
+    assert halves == {(i, j) for i, j in got if (i + j) % 2}
+
+
+@pytest.mark.parametrize("block, buffer", [(4096, 500_000), (7, 300)])
+def test_jaccard_against_brute_force(spark, monkeypatch, block, buffer):
+    """Near copies round the threshold, chains of them, rows without id and repeated ids with other texts."""
+    monkeypatch.setattr(jaccard_join, "BLOCK", block)
+    monkeypatch.setattr(jaccard_join, "BUFFER", buffer)
+    rng, rows = np.random.default_rng(3), []
+    for g in range(6):
+        words_ = [f"g{g}w{k}" for k in range(90)]
+        for _ in range(30):
+            if rng.random() < 0.3:
+                words_ = [w if rng.random() > 0.02 else f"x{rng.integers(10**9)}" for w in words_]
+            text = " ".join(w if rng.random() > 0.015 else f"y{rng.integers(10**9)}" for w in words_)
+            rows.append((None if rng.random() < 0.1 else int(rng.integers(150)), text))
+    rows += rows[:3]
+    sets = [{tuple(w[i:i + 5]) for i in range(len(w) - 4)} for w in (t.split() for _, t in rows)]
+    label = list(range(len(rows)))
+    for i, a in enumerate(sets):
+        for j in range(i):
+            both = len(a & sets[j])
+            if 100 * both >= 75 * (len(a) + len(sets[j]) - both):
+                old, new = label[i], label[j]
+                label = [new if x == old else x for x in label]
+    least = {x: min((r[0] for r, y in zip(rows, label) if x == y and r[0] is not None), default=None) for x in label}
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = Counter(map(tuple, jaccard_join.join(docs).collect()))
+    assert got == Counter((r[0], len(s), least[x]) for r, s, x in zip(rows, sets, label))
+    kept = Counter(r.doc_id for r in jaccard_join.keep(docs).collect())
+    assert kept == Counter(least[x] for x in set(label))
 
 
 def test_near_copies_in_a_long_column(spark):

@@ -38,7 +38,7 @@ from riskframe.session import cut_lineage
 WORDS = 5
 PERCENT = 75
 BITS = 512
-ROUNDS = 4
+ROUNDS = 3
 BLOCK = 4096
 FREQUENT_FROM = 8
 MAX_FREQUENT = 1 << 18
@@ -381,10 +381,8 @@ def _links(pairs: DataFrame, classes: DataFrame, rows: DataFrame, percent: int)
         F.col("da").alias("a"), F.col("db").alias("b"))
 
 
-def _labels(classes: DataFrame, links: DataFrame | None) -> DataFrame:
+def _labels(classes: DataFrame, links: DataFrame) -> DataFrame:
     """(node, label): each class with the short name of its component so far."""
-    if links is None:
-        return classes.select("node", F.col("node").alias("label"))
     found = components(links).select(F.col("node").alias("digest"), F.col("label").alias("__label"))
     names = classes.select(F.col("digest").alias("__label"), F.col("node").alias("label"))
     return cut_lineage(classes.select("node", "digest").join(found, "digest", "left").join(names, "__label", "left").select(
@@ -402,28 +400,29 @@ def _grouped(docs: DataFrame, text: str, doc_id: str, words: int, percent: int)
         "digest", "s", F.col("s.doc_id").alias("doc_id"), F.col("s.key").alias("key"), "n", "node", "bits"))
 
     met = cut_lineage(_meetings(_columns(docs, text, words, percent, _frequent(survey))))
-    wanted = cut_lineage(classes.join(met.select("node").distinct(), "node", "left_semi").select("doc_id", "key", "digest"))
-    rows = _rows(docs, wanted, doc_id, text, words)
-
-    tried = links = None
-    mixed = None
-    for _ in range(ROUNDS):
-        if mixed is None:
-            pairs = _best(met.where("node != lead"), classes, None, percent)
-        else:
-            pairs = _best(_other_leads(mixed), classes, tried, percent)
-        tried = pairs if tried is None else tried.unionByName(pairs)
-        more = cut_lineage(_links(pairs, classes, rows, percent))
-        found = more.limit(1).count()
-        if found:
-            links = more if links is None else links.unionByName(more)
-        if found or mixed is None:
-            mixed = _mixed(met if mixed is None else mixed, _labels(classes, links))
-        if not found or not mixed.limit(1).count():
+
+    def compare(pairs: DataFrame) -> DataFrame:
+        # only the rows of nodes in these pairs are fetched and shuffled
+        asked = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
+        wanted = cut_lineage(classes.join(asked, "node", "left_semi").select("doc_id", "key", "digest"))
+        return cut_lineage(_links(pairs, classes, _rows(docs, wanted, doc_id, text, words), percent))
+
+    tried = _best(met.where("node != lead"), classes, None, percent)
+    links = compare(tried)
+    mixed = _mixed(met, _labels(classes, links))
+    for _ in range(1, ROUNDS):
+        pairs = _best(_other_leads(mixed), classes, tried, percent)
+        if not pairs.limit(1).count():
+            break
+        tried, more = tried.unionByName(pairs), compare(pairs)
+        if not more.limit(1).count():
             break
+        links = links.unionByName(more)
+        mixed = _mixed(mixed, _labels(classes, links))
     across = cut_lineage(_across(mixed, classes, percent).join(tried, ["a", "b"], "left_anti"))
-    more = cut_lineage(_links(across, classes, rows, percent))
-    labels = components(more if links is None else links.unionByName(more))
+    if across.limit(1).count():
+        links = links.unionByName(compare(across))
+    labels = components(links)
 
     found = classes.join(labels.toDF("digest", "label"), "digest", "left").select("digest", "s", F.coalesce("label", "digest").alias("label"))
     least = found.groupBy("label").agg(F.min("s").alias("first"))

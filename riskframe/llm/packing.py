@@ -1,29 +1,33 @@
 """Mixture-controlled packing of tokenised documents.
 
-Documents become ids once (a written table of 16-bit ids), are dealt into segments of about
-``SEGMENT_TOKENS`` tokens by a hash, and every segment runs deficit round-robin over its source queues:
-at each window a source earns tokens by its target share, pays for what it puts in, and what it is
-owed (or owes) is carried to the next window.  Segments follow each other in one global token stream:
-the position a segment starts at, and the deficit each source brings along, are sums over the segments
-before it, so windows run on across segments and no task waits for another.
-
-Sequences are cut from that stream at multiples of the window; only the last, unfilled one is cut at
-powers of two, which need no padding.
+Documents become ids once (a written table of 16-bit ids).  Each source is a stream of tokens in the order
+of that table: a task that tokenises also counts each source's tokens before a document, and sums over
+tasks give where its part of the stream begins.  Segment e of about ``SEGMENT_TOKENS`` tokens takes from
+every source the slice of its stream that the source's target rate owes the segment, so a segment has
+its target proportions by construction and is known without looking at other segments.  Inside, deficit
+round-robin fills the windows: at each window a source earns tokens by its share, pays for what it puts
+in, and what it is owed (or owes) is carried to the next window; into the next segment it carries the
+part of a token that rounding its slice left.
+
+Segments follow each other in one global token stream, so windows run on across segments and no task
+waits for another.  Sequences are cut from that stream at multiples of the window; only the last,
+unfilled one is cut at powers of two, which need no padding.
 """
 
 from __future__ import annotations
 
 import math
 import os
-import re
 import zlib
 from collections import deque
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from riskframe.session import cut_lineage
@@ -32,11 +36,12 @@ WINDOW = 2048
 END_ID = 1
 SEGMENT_TOKENS = 1 << 19
 CACHE_WORDS = 500_000
-SPACE = re.compile("[ \\t\\n\\r]+")  # a stretch may be empty and has no ids then
-TOKEN_SCHEMA = "doc_id long, source string, n long, ids binary"
+GROUP = 4096  # segments whose beginnings are summed in one task
+TOKEN_SCHEMA = "doc_id long, source string, n long, ids binary, part int, before long"
 PIECE_SCHEMA = ("doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, "
                 "offset long, source string")
-_TOKENS = pa.schema([("doc_id", pa.int64()), ("source", pa.string()), ("n", pa.int64()), ("ids", pa.binary())])
+_TOKENS = pa.schema([("doc_id", pa.int64()), ("source", pa.string()), ("n", pa.int64()), ("ids", pa.binary()),
+                     ("part", pa.int32()), ("before", pa.int64())])
 _PIECES = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()),
                      ("doc_tokens", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64()),
                      ("source", pa.string())])
@@ -71,29 +76,37 @@ def word_encoder(path: str):
         nonlocal known, older
         if len(known) > CACHE_WORDS:  # words met again since the last turn stay
             known, older = {}, known
-        parts = [SPACE.split(t) for t in texts]
+        parts = [t.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t in texts]  # "" has no ids
         missing = []
-        for w in {w for p in parts for w in p if w not in known}:
+        for w in set(chain.from_iterable(parts)).difference(known):
             if w in older:
                 known[w] = older[w]
             else:
                 missing.append(w)
         for at in range(0, len(missing), 2_000):
             learn(missing[at:at + 2_000])
-        return [b"".join([known[w] for w in p]) for p in parts]
+        return [b"".join(map(known.__getitem__, p)) for p in parts]
 
     return encode
 
 
 def tokenise(docs: DataFrame, tokenizer_path: str, text: str = "text") -> DataFrame:
-    """(doc_id, source, n, ids): whole texts as ids with the end id behind; NULL is empty."""
+    """(doc_id, source, n, ids, part, before): whole texts as ids with the end id behind; NULL is empty.
+
+    ``before`` counts the tokens of the same source before a row in its task, ``part`` names the task.
+    """
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, end = word_encoder(tokenizer_path), np.array([END_ID], "<u2").tobytes()
+        task, counted = TaskContext.get().partitionId(), {}
         for batch in batches:
             for part in (batch.slice(i, 500) for i in range(0, batch.num_rows, 500)):
                 ids = [i + end for i in encode([t or "" for t in part.column(2).to_pylist()])]
-                yield pa.record_batch([part.column(0), part.column(1), pa.array([len(i) // 2 for i in ids], pa.int64()),
-                                       pa.array(ids, pa.binary())], schema=_TOKENS)
+                sizes, before = [len(i) // 2 for i in ids], []
+                for source, n in zip(part.column(1).to_pylist(), sizes):
+                    before.append(counted.get(source, 0))
+                    counted[source] = before[-1] + n
+                yield pa.record_batch([part.column(0), part.column(1), pa.array(sizes, pa.int64()), pa.array(ids, pa.binary()),
+                                       pa.array([task] * len(ids), pa.int32()), pa.array(before, pa.int64())], schema=_TOKENS)
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"),
                        F.col(text).cast("string").alias("text"))
@@ -127,101 +140,155 @@ def round_robin(queues: dict[str | None, deque], shares: dict[str | None, float]
     """Deficit round-robin: (source, document, start in it, length, stream position) in stream order.
 
     ``queues`` hold (key, tokens) documents.  Sources take turns; one that is owed tokens sends of
-    its first document what it is owed, rounded up, so a long document is cut and goes on at the source's
-    next turn.  When nobody with
-    documents is owed anything, they earn another share, so a window is never left unfilled.
+    its first documents what it is owed, so a long document is cut and goes on at the source's next
+    turn.  Amounts are rounded up or down by what the turns before in this window sent too much or too
+    little, so rounding does not add up on the last source.  When nobody with documents is owed a token,
+    they earn another share, so a window is never left unfilled.
     """
     names = [s for s in queues if queues[s]]
     sent = {s: 0 for s in names}  # tokens already taken of a queue's first document
     at, turn = begin, 0
-    room = 0
+    room, over, plan = 0, 0.0, 0  # over: tokens that turns of this window sent beyond what was owed
     while names:
         if room == 0:
-            room = window - at % window
+            room, over, plan = window - at % window, 0.0, 0
             for s in names:
                 deficits[s] = deficits.get(s, 0.0) + shares[s] * room
-        for _ in range(len(names)):
-            s = names[turn % len(names)]
-            if deficits[s] > 0:
-                break
-            turn += 1
-        else:
-            # sources with documents share what is missing to fill the window, debts included
-            missing, whole = room - sum(deficits[s] for s in names), sum(shares[s] for s in names)
-            for s in names:
-                deficits[s] += missing * shares[s] / whole
-            s = max(names, key=lambda x: deficits[x])
+        if not plan:
+            for _ in range(len(names)):
+                s = names[turn % len(names)]
+                plan = math.ceil(deficits[s]) if over <= 0 else math.floor(deficits[s])
+                if plan > 0:
+                    break
+                over -= deficits[s]
+                turn += 1
+            else:
+                # sources with documents share what is missing to fill the window, debts included
+                missing, whole = room - sum(deficits[s] for s in names), sum(shares[s] for s in names)
+                for s in names:
+                    deficits[s] += missing * shares[s] / whole
+                s = max(names, key=lambda x: deficits[x])
+                turn, plan, over = names.index(s), max(1, math.floor(deficits[s])), 0.0
         doc = queues[s][0]
-        n = min(doc[1] - sent[s], room, max(1, math.ceil(deficits[s])))
+        n = min(doc[1] - sent[s], room, plan)
         yield s, doc, sent[s], n, at
-        at, room, sent[s] = at + n, room - n, sent[s] + n
+        at, room, sent[s], plan = at + n, room - n, sent[s] + n, plan - n
         deficits[s] -= n
         if sent[s] == doc[1]:
             queues[s].popleft()
             sent[s] = 0
             if not queues[s]:
+                plan, turn = 0, turn % len(names)
                 names.remove(s)
                 continue
-        if deficits[s] <= 0:
+        if not plan:
+            over -= deficits[s]
             turn += 1
 
 
+def _linear(x: Column, points: list[tuple[float, float]]) -> Column:
+    """The rising line through the points, level beyond them."""
+    out = F.lit(points[-1][1])
+    for (x0, y0), (x1, y1) in reversed([p for p in zip(points, points[1:]) if p[0][0] < p[1][0]]):
+        inside = F.lit(y0) + (x - x0) * ((y1 - y0) / (x1 - x0))
+        out = F.when(x < x1, F.least(F.greatest(inside, F.lit(y0)), F.lit(y1))).otherwise(out)
+    return out
+
+
+def clock(total: int, weighted: list[tuple[float, int]]) -> list[tuple[float, float]]:
+    """(time, tokens sent by then) where the rate changes: ``weighted`` are (weight, tokens), the rest sends its token share.
+
+    A source sends its weight of tokens per unit of time until it runs out, so from then on the others
+    share the windows in the proportions of their own weights.
+    """
+    plain = total - sum(n for _, n in weighted)
+    flows = [(w, n) for w, n in [*weighted, (plain / max(total, 1), plain)] if n]
+    times = sorted({0.0, *(n / w for w, n in flows)})
+    return [(t, float(sum(n if t >= n / w else w * t for w, n in flows))) for t in times]
+
+
 def pack(docs: DataFrame, tokenizer_path: str, window: int = WINDOW, segment_tokens: int = SEGMENT_TOKENS,
          weights: dict[str | None, float] | None = None) -> DataFrame:
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, source.
 
-    Target proportions are the sources' shares of all tokens, or ``weights`` (sources without one
-    keep their token share).  Every document, empty and NULL texts included, has at least the end
-    id.  Repeated rows are packed one by one; a NULL source is a source of its own; an empty table
-    gives an empty result.
+    Target proportions are the sources' shares of all tokens, or positive ``weights`` (sources without
+    one keep their token share); a source that has run out leaves its share to the others.  Every
+    document, empty and NULL texts included, has at least the end id.  Repeated rows are packed one by
+    one; a NULL source is a source of its own; an empty table gives an empty result.
     """
     tokens = cut_lineage(tokenise(docs, tokenizer_path))
-    total = tokens.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    # sums per task and source; windows see these sums, not documents
+    parts = cut_lineage(tokens.groupBy("part", "source").agg(F.sum("n").alias("n")))
+    total = parts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     n_segments = max(1, -(-total // segment_tokens))
-    segment = F.pmod(F.xxhash64(F.lit(11), "doc_id", "n"), F.lit(n_segments)).cast("long")
-    dealt = tokens.withColumn("segment", segment)
-
-    # sums per (segment, source); the windows below see these sums, not documents
-    per = dealt.groupBy("segment", "source").agg(F.sum("n").alias("n"))
-    shares = per.groupBy("source").agg(F.sum("n").alias("__n"))
-    wish = F.lit(None).cast("double")
+    sizes = parts.groupBy("source").agg(F.sum("n").alias("size"))
+    named, wish = [], F.lit(None).cast("double")
     for name, weight in (weights or {}).items():
-        wish = F.when(F.col("source").eqNullSafe(F.lit(name)), float(weight)).otherwise(wish)
-    shares = shares.select(F.col("source").alias("__source"), F.coalesce(wish, F.col("__n") / F.lit(max(total, 1)))
-                           .alias("__share"))
-    earlier = Window.partitionBy(F.lit(0)).orderBy("segment").rowsBetween(Window.unboundedPreceding, -1)
-    begins = per.groupBy("segment").agg(F.sum("n").alias("__n")).select(
-        F.col("segment").alias("__segment"), F.coalesce(F.sum("__n").over(earlier), F.lit(0)).alias("begin"))
-    # what a source has sent before a segment; sources without documents there take no part in it
-    before = Window.partitionBy("source").orderBy("segment").rowsBetween(Window.unboundedPreceding, -1)
-    served = per.withColumn("__served", F.coalesce(F.sum("n").over(before), F.lit(0)))
-    state = served.join(begins, F.col("segment") == F.col("__segment")).join(
-        shares, F.col("source").eqNullSafe(F.col("__source"))).select("__segment", "begin", F.struct(
-            "source", F.col("__share").alias("share"),
-            (F.col("__share") * F.col("begin") - F.col("__served")).alias("owed")).alias("s"))
-    state = state.groupBy("__segment").agg(F.first("begin").alias("begin"), F.collect_list("s").alias("sources"))
+        this = F.col("source").eqNullSafe(F.lit(name))
+        named.append((float(weight), sizes.where(this).agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]))
+        wish = F.when(this, float(weight)).otherwise(wish)
+    points = clock(total, named)
+    rates = sizes.select(F.col("source").alias("__rated"), "size",
+                         F.coalesce(wish, F.col("size") / F.lit(max(total, 1))).alias("rate"))
+    earlier = Window.partitionBy("source").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    begins = parts.withColumn("begin", F.coalesce(F.sum("n").over(earlier), F.lit(0))).join(
+        rates, F.col("source").eqNullSafe(F.col("__rated")))
+    # written, so that Spark knows its size: told to all tasks if small, else joined by shuffle
+    begins = cut_lineage(begins.select(F.col("source").alias("__source"), F.col("part").alias("__part"), "begin", "size", "rate"))
+    placed = tokens.join(begins, F.col("source").eqNullSafe(F.col("__source")) & (F.col("part") == F.col("__part"))).withColumn(
+        "at", F.col("begin") + F.col("before"))
+
+    def owed(segment: Column) -> Column:
+        """Tokens that a source should have sent before a segment."""
+        time = _linear(segment * (total / n_segments), [(y, x) for x, y in points])
+        return F.when(segment >= n_segments, F.col("size").cast("double")).otherwise(
+            F.least(F.col("size").cast("double"), F.col("rate") * time))
+
+    def about(at: Column) -> Column:
+        return F.floor(_linear(at / F.col("rate"), points) / F.lit(max(total, 1) / n_segments))
+
+    # the segments that a document may reach, one more on both sides for rounding; the slices decide
+    reach = F.sequence(F.greatest(about(F.col("at")) - 1, F.lit(0)),
+                       F.least(about(F.col("at") + F.col("n")) + 1, F.lit(n_segments - 1)))
+    cut = placed.withColumn("segment", F.explode(reach)).withColumns(
+        {"owed": owed(F.col("segment")), "to": F.floor(owed(F.col("segment") + 1))}).withColumns(
+        {"low": F.greatest("at", F.floor("owed")), "high": F.least(F.col("at") + F.col("n"), "to")}).where("low < high")
+    cut = cut.select(
+        "segment", "source", "doc_id", F.col("n").alias("doc_tokens"), (F.col("low") - F.col("at")).alias("start"),
+        (F.col("high") - F.col("low")).alias("length"), "low", (F.col("owed") - F.floor("owed")).alias("owed"),
+        F.substring("ids", (2 * (F.col("low") - F.col("at")) + 1).cast("int"), (2 * (F.col("high") - F.col("low"))).cast("int")).alias("ids"))
+
+    # where segments begin in the global stream: sums over groups of segments, then inside a group
+    lengths = cut_lineage(cut.groupBy("segment").agg(F.sum("length").alias("n"))).withColumn("group", F.floor(F.col("segment") / GROUP))
+    ahead = Window.partitionBy(F.lit(0)).orderBy("group").rowsBetween(Window.unboundedPreceding, -1)
+    groups = lengths.groupBy("group").agg(F.sum("n").alias("n")).select(
+        F.col("group").alias("__group"), F.coalesce(F.sum("n").over(ahead), F.lit(0)).alias("ahead"))
+    inside = Window.partitionBy("group").orderBy("segment").rowsBetween(Window.unboundedPreceding, -1)
+    state = lengths.withColumn("inside", F.coalesce(F.sum("n").over(inside), F.lit(0))).join(
+        groups, F.col("group") == F.col("__group")).select(F.col("segment").alias("__segment"), (F.col("ahead") + F.col("inside")).alias("begin"))
     stream = Stream(total, window)
 
     def run(key: tuple, docs_in: pa.Table, state_in: pa.Table) -> pa.Table:
-        ids = docs_in.column("ids").to_pylist()
-        order = sorted(range(len(ids)), key=lambda i: (docs_in.column("doc_id")[i].as_py() or 0, ids[i][:64]))
-        sources, sizes = docs_in.column("source").to_pylist(), docs_in.column("n").to_pylist()
-        doc_ids = docs_in.column("doc_id").to_pylist()
-        known = {s["source"]: s for s in state_in.column("sources")[0].as_py()}
+        rows = docs_in.sort_by("low").to_pydict()
+        ids, doc_ids, starts = rows["ids"], rows["doc_id"], rows["start"]
         queues: dict = {}
-        for i in order:
-            queues.setdefault(sources[i], deque()).append((i, sizes[i]))
+        deficits: dict = {}
+        for i, (source, length, rest) in enumerate(zip(rows["source"], rows["length"], rows["owed"])):
+            queues.setdefault(source, deque()).append((i, length))
+            deficits[source] = rest
         queues = {s: queues[s] for s in sorted(queues, key=lambda x: (x is None, x or ""))}
+        shares = {s: sum(n for _, n in q) / sum(rows["length"]) for s, q in queues.items()}
+        # slices are rounded down, so the segment begins early by as much; what remains are debts among sources
+        early = sum(deficits.values())
+        deficits = {s: deficits[s] - shares[s] * early for s in queues}
         out = []
-        for s, (i, n), start, length, at in round_robin(
-                queues, {s: max(known[s]["share"], 1e-12) for s in queues}, {s: known[s]["owed"] for s in queues},
-                state_in.column("begin")[0].as_py(), window):
+        for s, (i, _), start, length, at in round_robin(queues, shares, deficits, state_in.column("begin")[0].as_py(), window):
             while length:  # the stream's tail is cut at powers of two
                 sequence, offset, left = stream.place(at)
                 take = min(length, left)
                 piece = np.frombuffer(ids[i], "<u2", take, 2 * start).astype("<u4").tobytes()
-                out.append((doc_ids[i], start, take, zlib.crc32(piece), n, sequence, offset, s))
+                out.append((doc_ids[i], starts[i] + start, take, zlib.crc32(piece), rows["doc_tokens"][i], sequence, offset, s))
                 start, length, at = start + take, length - take, at + take
         return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), _PIECES)], schema=_PIECES)
 
-    return dealt.groupBy("segment").cogroup(state.groupBy("__segment")).applyInArrow(run, PIECE_SCHEMA)
+    return cut.groupBy("segment").cogroup(state.groupBy("__segment")).applyInArrow(run, PIECE_SCHEMA)

@@ -126,3 +126,44 @@ def test_model_type_of_the_training_run(spark):
     model = ML.train_credit_model(df, "hist_gbt", {"n_trees": 2, "depth": 2}, ["a", "b", "c"], ["kind"], target="label")
     got = model.score(df, ["label"])
     assert got.columns == ["label", "score"] and got.count() == 600
+
+
+def test_a_tree_level_is_one_job_without_a_shuffle(spark):
+    x, y = rows_of(3000)
+    cuts = [[-0.5, 0.0, 0.5], [0.0], [0.1]]
+    df = frame(spark, x, y).select("a", "b", "c", "label")
+    state, sizes = H._state(df, ["a", "b", "c"], "label", cuts, 0.0), [5, 3, 3]
+    tree = H.HistTree.empty(2)
+    tree.feature[0], tree.cut[0], tree.missing_left[0] = 2, 0, True
+    sc = spark.sparkContext
+    top = H.level_sums(state, [], tree, 0, sizes)
+    tree.rows[0] = top[0, :5, 2].sum()
+    tree.rows[2] = top[0, 8 + 1, 2]
+    tree.rows[1] = tree.rows[0] - tree.rows[2]
+    sc.setJobGroup("one-level", "one-level")
+    try:
+        less = H.level_sums(state, [], tree, 1, sizes, top)
+    finally:
+        sc.setLocalProperty("spark.jobGroup.id", None)
+    jobs = sc.statusTracker().getJobIdsForGroup("one-level")
+    assert len(jobs) == 1 and len(sc.statusTracker().getJobInfo(jobs[0]).stageIds) == 1
+    # the child that is not summed has what its parent's sums leave, exactly
+    assert (less == H.level_sums(state, [], tree, 1, sizes)).all() and less[:, :5, 2].sum() == len(y)
+
+
+@pytest.mark.parametrize("depth", [3, 6, 7])
+def test_leaf_masks_are_the_walked_trees(depth):
+    rng = np.random.default_rng(depth)
+    trees = []
+    for _ in range(3):
+        t = H.HistTree.empty(depth)
+        inner = (1 << depth) - 1
+        t.feature[:inner], t.cut[:inner] = rng.integers(0, 3, inner), rng.integers(0, 9, inner)
+        t.missing_left[:inner] = rng.random(inner) < 0.5
+        t.feature[rng.integers(1, inner, 2)] = -1
+        t.value[:] = rng.normal(size=len(t.value))
+        trees.append(t)
+    bins = rng.integers(0, 10, (500, 3)).astype(np.uint8)
+    rows = np.where(bins == 9, H.MISSING, bins).astype(np.uint8)
+    want = sum(t.values(rows) for t in trees)
+    assert (H.tree_total(trees, np.ascontiguousarray(bins.T), [9] * 3) == want).all()

@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 from datetime import UTC, datetime
+from functools import cache
 from typing import Any
 
 import numpy as np
@@ -21,6 +22,8 @@ from riskframe.operators.boosting import HistModel
 from riskframe.session import ensure_checkpoint_dir
 
 FEATURE, VALUE, ATTRIBUTIONS = "feature", "attribution", "attributions"
+# tests whose outcomes are tabled together: 2^10 values a feature
+GROUP_TESTS = 10
 
 
 # ---- attributions -----------------------------------------------------------------------------
@@ -98,6 +101,96 @@ def tree_leaves(model: Any, spark: SparkSession) -> list[tuple]:
     return leaves
 
 
+def _coalition_weights(m: int) -> np.ndarray:
+    """Shapley weights |S|! (m - |S| - 1)! / m! for |S| = 0..m-1."""
+    fact = np.cumprod([1.0, *range(1, m + 1)])
+    return fact[:m] * fact[:m][::-1] / fact[m]
+
+
+def _game_table(value: float, shares: Sequence[float]) -> np.ndarray:
+    """(2^m x m): the Shapley values of a leaf's game, by which of its m features admit the row."""
+    m = len(shares)
+    inside = (np.arange(1 << m)[:, None] >> np.arange(m) & 1).astype(float)
+    w, out = _coalition_weights(m), np.zeros((1 << m, m))
+    for j in range(m):
+        # poly[s]: sum over coalitions of size s of the other features
+        poly = np.zeros((m, 1 << m))
+        poly[0] = 1.0
+        for k in range(m):
+            if k == j:
+                continue
+            grown = poly * shares[k]
+            grown[1:] += poly[:-1] * inside[:, k]
+            poly = grown
+        out[:, j] = value * (w @ poly) * (inside[:, j] - shares[j])
+    return out
+
+
+def shapley_games(games: Sequence[tuple], p: int) -> Callable[[np.ndarray], np.ndarray]:
+    """Function (rows x p values) -> (rows x p Shapley values), summed over leaves (value, features, boxes, shares).
+
+    A leaf's values depend on the row only by which of its boxes admit the row.  Neighbouring leaves test few
+    cuts between them, so their values together are worked out once for every outcome of up to ``GROUP_TESTS``
+    tests: (feature, cut) for values at most the cut, (feature, None) for missing ones where a batch has any.
+    """
+    tables = [_game_table(value, shares) for value, _, _, shares in games]
+
+    def tests_of(fs: Sequence[int], boxes: Sequence[tuple], gone: frozenset) -> list[tuple]:
+        found = [(f, float(cut)) for f, box in zip(fs, boxes) for cut, free in zip(box, (-np.inf, np.inf)) if cut != free]
+        return found + [(f, None) for f in fs if f in gone]
+
+    def group(members: list[int], tests: dict[tuple, int], gone: frozenset) -> tuple:
+        """(tests, {feature: values by outcome})"""
+        outcome = np.arange(1 << len(tests))
+        true = {t: (outcome >> k & 1).astype(bool) for t, k in tests.items()}
+        sums: dict[int, np.ndarray] = {}
+        for i in members:
+            _, fs, boxes, _ = games[i]
+            which = np.zeros(len(outcome), np.intp)
+            for j, (f, box) in enumerate(zip(fs, boxes)):
+                inside = np.ones(len(outcome), bool)
+                if box[0] != -np.inf:
+                    inside &= ~true[f, float(box[0])]
+                if box[1] != np.inf:
+                    inside &= true[f, float(box[1])]
+                if f in gone:  # a box may say whether missing values are in it; otherwise none are
+                    inside = np.where(true[f, None], box[2:] == (True,), inside)
+                which += inside.astype(np.intp) << j
+            for f, column in zip(fs, tables[i].T):
+                sums[f] = sums.get(f, 0.0) + column.take(which)
+        return list(tests), sums
+
+    @cache
+    def groups(gone: frozenset) -> list[tuple]:
+        out, members, tests = [], [], {}
+        for i, (_, fs, boxes, _) in enumerate(games):
+            own = tests_of(fs, boxes, gone)
+            if members and len({*tests, *own}) > GROUP_TESTS:
+                out.append(group(members, tests, gone))
+                members, tests = [], {}
+            members.append(i)
+            for t in own:
+                tests.setdefault(t, len(tests))
+        return [*out, group(members, tests, gone)] if members else out
+
+    def shapley(x: np.ndarray) -> np.ndarray:
+        nan = np.isnan(x)
+        parts = groups(frozenset(np.flatnonzero(nan.any(0)).tolist()))
+        passed = {t: (nan[:, t[0]] if t[1] is None else x[:, t[0]] <= t[1]).astype(np.uint32)
+                  for t in {t for tests, _ in parts for t in tests}}
+        phi = np.zeros((p, len(x)))
+        for tests, sums in parts:
+            which = np.zeros(len(x), np.uint32)
+            for k, t in enumerate(tests):
+                which |= passed[t] << np.uint32(k)
+            at = which.astype(np.intp)
+            for f, values in sums.items():
+                phi[f] += values.take(at)
+        return phi.T
+
+    return shapley
+
+
 def tree_maps(df: DataFrame, model: Any, features: Sequence[str], id_col: str) -> DataFrame:
     """(id, attributions, base_value) for boosted trees, on the margin scale.
 
@@ -110,37 +203,11 @@ def tree_maps(df: DataFrame, model: Any, features: Sequence[str], id_col: str) -
     feats, p = list(features), len(features)
     shared = df.sparkSession.sparkContext.broadcast(games)
 
-    def coalition_weights(m: int) -> np.ndarray:
-        """Shapley weights |S|! (m - |S| - 1)! / m! for |S| = 0..m-1."""
-        fact = np.cumprod([1.0, *range(1, m + 1)])
-        return fact[:m] * fact[:m][::-1] / fact[m]
-
-    def shapley(x: np.ndarray) -> np.ndarray:
-        phi = np.zeros((len(x), p))
-        for value, fs, boxes, shares in shared.value:
-            m = len(fs)
-            if m == 0:
-                continue
-            w = coalition_weights(m)
-            # a box may say whether missing values are in it; otherwise none are
-            inside = [((x[:, f] > box[0]) & (x[:, f] <= box[1]) | (np.isnan(x[:, f]) & (box[2:] == (True,)))).astype(float)
-                      for f, box in zip(fs, boxes)]
-            for j in range(m):
-                # poly[s]: sum over coalitions of size s of the other features
-                poly = np.zeros((m, len(x)))
-                poly[0] = 1.0
-                for k in range(m):
-                    if k == j:
-                        continue
-                    grown = poly * shares[k]
-                    grown[1:] += poly[:-1] * inside[k]
-                    poly = grown
-                phi[:, fs[j]] += value * (w @ poly) * (inside[j] - shares[j])
-        return phi
-
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        shapley = shapley_games(shared.value, p)
         for pdf in batches:
-            phi = shapley(pdf[feats].to_numpy(float))
+            x = pdf[feats].to_numpy(float)
+            phi = np.concatenate([np.zeros((0, p)), *(shapley(x[at:at + 4096]) for at in range(0, len(x), 4096))])
             yield pd.DataFrame({"id": pdf["id"], "phi": list(phi)})
 
     rows = df.select(F.col(id_col).alias("id"), *[F.col(f).cast("double").alias(f) for f in feats])

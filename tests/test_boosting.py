@@ -1,5 +1,8 @@
 """Histogram boosting against a plain numpy version, and its edges."""
 
+from itertools import combinations
+from math import factorial
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -167,3 +170,28 @@ def test_leaf_masks_are_the_walked_trees(depth):
     rows = np.where(bins == 9, H.MISSING, bins).astype(np.uint8)
     want = sum(t.values(rows) for t in trees)
     assert (H.tree_total(trees, np.ascontiguousarray(bins.T), [9] * 3) == want).all()
+
+
+def test_grouped_leaves_have_the_shapley_values_of_each_leaf():
+    rng = np.random.default_rng(5)
+    games = [(rng.normal(), [], [], [])]
+    for _ in range(60):
+        fs = sorted(rng.choice(6, rng.integers(1, 6), replace=False).tolist())
+        ends = [(-np.inf, -0.5, 0.0, 0.5, np.inf)[k:k + 2] for k in rng.integers(0, 4, len(fs))]
+        ends = [(np.inf, np.inf) if rng.random() < 0.1 else e for e in ends]  # admits missing values only
+        games.append((rng.normal(), fs, [(*e, bool(rng.integers(2))) for e in ends], rng.random(len(fs)).tolist()))
+    x = rng.normal(size=(40, 6))
+    x[rng.random(x.shape) < 0.2] = np.nan
+    want = np.zeros((len(x), 6))
+    for value, fs, boxes, shares in games:
+        inside = np.array([[b[2] if np.isnan(r[f]) else b[0] < r[f] <= b[1] for f, b in zip(fs, boxes)] for r in x], float)
+        for j, f in enumerate(fs):
+            others = [k for k in range(len(fs)) if k != j]
+            for size in range(len(fs)):
+                for s in combinations(others, size):
+                    weight = factorial(size) * factorial(len(fs) - size - 1) / factorial(len(fs))
+                    part = np.prod([inside[:, k] if k in s else np.full(len(x), shares[k]) for k in others], axis=0)
+                    want[:, f] += weight * value * part * (inside[:, j] - shares[j])
+    assert E.shapley_games(games, 6)(x) == pytest.approx(want, abs=1e-9)
+    whole = np.nan_to_num(x)
+    assert E.shapley_games(games, 6)(np.concatenate([whole, x]))[len(x):] == pytest.approx(want, abs=1e-9)

@@ -9,7 +9,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable, Sequence
 from datetime import UTC, datetime, timedelta
-from functools import reduce
+from functools import reduce, wraps
 
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
@@ -36,7 +36,7 @@ from riskframe.operators import timeseries as W
 from riskframe.operators.upsert import dedup_latest, upsert
 from riskframe.plans import adapters as A
 from riskframe.plans import mart, rules
-from riskframe.session import cut_lineage, ensure_checkpoint_dir
+from riskframe.session import cut_lineage, ensure_checkpoint_dir, split_huge_methods
 from riskframe.sources import files as SRC
 from riskframe.sources.commits import AppendTable, BucketTable
 from riskframe.sources.tables import latest_version
@@ -57,8 +57,14 @@ def _scratch(spark: SparkSession, name: str) -> str:
 
 
 def query(fn: Query) -> Query:
-    QUERIES[fn.__name__] = fn
-    return fn
+    """Registers a query; it runs under the library's method limit in any session."""
+    @wraps(fn)
+    def run(spark: SparkSession, d: str) -> DataFrame:
+        split_huge_methods(spark)
+        return fn(spark, d)
+
+    QUERIES[fn.__name__] = run
+    return run
 
 
 # ---- shared stages ----------------------------------------------------------------------------

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
@@ -45,6 +45,20 @@ def require(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     return df.na.drop(subset=list(cols))
 
 
+MONTHS = ["Jan", "Feb", "Mar", "Apr", "May", "Jun", "Jul", "Aug", "Sep", "Oct", "Nov", "Dec"]
+
+
+def month_date(source: Column) -> Column:
+    """First day of a month written as ``S.CSV_DATE_FORMAT``.
+
+    Plainly written months are taken apart; whatever else the format allows takes the dearer parser.
+    """
+    month = ((F.instr(F.lit("".join(MONTHS)), F.substring(source, 1, 3)) + 2) / 3).cast("int")
+    day = F.make_date(F.substring(source, 5, 4).cast("int"), month, F.lit(1))
+    plain = source.rlike(f"^({'|'.join(MONTHS)})-[1-9][0-9]{{3}}$")
+    return F.when(plain, day).otherwise(F.try_to_date(source, S.CSV_DATE_FORMAT))
+
+
 def clean_loans(df: DataFrame) -> DataFrame:
     """Typed loan rows from CSV text: dates, numbers, NULL and zero defaults, table names.
 
@@ -61,8 +75,7 @@ def clean_loans(df: DataFrame) -> DataFrame:
         source = F.col(S.CSV_RENAMES.get(name, name))
         if kind == "date":
             # the first character tells the format: a failed parse is much dearer than this test
-            value = F.when(source.rlike("^[0-9]"), F.try_to_date(source, "yyyy-MM-dd")).otherwise(
-                F.try_to_date(source, S.CSV_DATE_FORMAT))
+            value = F.when(source.rlike("^[0-9]"), F.try_to_date(source, "yyyy-MM-dd")).otherwise(month_date(source))
         elif kind in ("int", "bigint"):
             # most integers are written plainly; "5.0" takes the slower decimal route
             value = F.coalesce(source.try_cast(kind), source.try_cast("decimal(38,4)").try_cast(kind))

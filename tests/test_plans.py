@@ -2,12 +2,17 @@
 
 import pytest
 from pyspark.ml.linalg import DenseVector
+from pyspark.sql import functions as F
 
 from riskframe.operators import explain as E
 from riskframe.operators.ordered import exact_quantiles
 from riskframe.operators.quality import QualityError
 from riskframe.plans import rules
+from riskframe.plans.catalog import QUERIES
 from riskframe.session import cut_lineage
+from riskframe.sources import files
+
+SMOKE = "/root/testdata/sf0.001"
 
 
 def executed(df):
@@ -43,3 +48,24 @@ def test_broken_rules_stop(spark):
     assert rules.require(series.where("observation_date is not null"), "raw_series").count() == 1
     with pytest.raises(ValueError):
         rules.table_rules("unknown")
+
+
+def test_queries_split_huge_methods_in_any_session(spark):
+    key = "spark.sql.codegen.hugeMethodLimit"
+    before = spark.conf.get(key)
+    try:
+        spark.conf.set(key, "65535")
+        QUERIES["clean_loans"](spark, SMOKE)
+        assert spark.conf.get(key) == "8000"
+    finally:
+        spark.conf.set(key, before)
+
+
+def test_months_are_read_as_the_parser_reads_them(spark):
+    texts = ["Jan-2020", "dec-1999", "DEC-1999", "Feb-0000", "Mar-0001", "May-10000", "Jun-99", "XXX-2020", "Jan-2020 ", "Anf-2020", "", None]
+    df = spark.createDataFrame([(t,) for t in texts], "s string")
+    rows = df.select(files.month_date(F.col("s")).cast("string").alias("a"), F.try_to_date("s", "MMM-yyyy").cast("string").alias("b")).collect()
+    assert [r.a for r in rows] == [r.b for r in rows] and rows[0].a is not None
+    # plainly written months do not reach the parser
+    plan = df.select(files.month_date(F.col("s")))._jdf.queryExecution().optimizedPlan().toString()
+    assert "make_date" in plan

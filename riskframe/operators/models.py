@@ -21,6 +21,7 @@ from riskframe.operators.metrics import extended_metrics
 from riskframe.operators.prep import (
     CategoryCodes, Imputer, fit_codes, fit_imputer, present, temporal_split,
 )
+from riskframe.session import cut_lineage
 
 # fixed values: default model parameters
 GBT_PARAMS = {"maxIter": 100, "maxDepth": 5, "stepSize": 0.05, "seed": 42}
@@ -139,12 +140,9 @@ def train_credit_model(train: DataFrame, model_type: str = "gbt", params: dict[s
     if model_type == "hist_gbt":
         rows = shell.prepare(train).withColumn("__label", F.col(target).cast("double"))
         return CreditModel(features, imputer, codes, fit_hist_boost(rows, features, "__label", **(params or {})))
-    ready = shell.assemble(train).select("features", F.col(target).cast("double").alias("label")).persist()
-    try:
-        model = fit_model(ready, model_type, params)
-    finally:
-        ready.unpersist()
-    return CreditModel(features, imputer, codes, model)
+    # the fitters cache rows in a form of their own: a written table spares imputing again without a second copy in memory
+    ready = cut_lineage(shell.assemble(train).select("features", F.col(target).cast("double").alias("label")))
+    return CreditModel(features, imputer, codes, fit_model(ready, model_type, params))
 
 
 def run_training(df: DataFrame, model_type: str = "gbt", params: dict[str, Any] | None = None,
@@ -153,5 +151,5 @@ def run_training(df: DataFrame, model_type: str = "gbt", params: dict[str, Any]
     """Split by time, fit on train, evaluate on test: (model, one metric row)."""
     train, test = temporal_split(df, date_col, target, cutoff)
     model = train_credit_model(train, model_type, params, target=target, **kwargs)
-    scored = model.score(test, keep=[target])
+    scored = cut_lineage(model.score(test, keep=[target]))  # the metrics read it several times
     return model, extended_metrics(scored, target, "score")

@@ -5,6 +5,7 @@ from pyspark.ml.linalg import DenseVector
 from pyspark.sql import functions as F
 
 from riskframe.operators import explain as E
+from riskframe.operators import models
 from riskframe.operators.ordered import exact_quantiles
 from riskframe.operators.quality import QualityError
 from riskframe.plans import rules
@@ -69,3 +70,25 @@ def test_months_are_read_as_the_parser_reads_them(spark):
     # plainly written months do not reach the parser
     plan = df.select(files.month_date(F.col("s")))._jdf.queryExecution().optimizedPlan().toString()
     assert "make_date" in plan
+
+
+def test_training_reads_written_rows(spark, monkeypatch):
+    seen = {}
+
+    def fit(train, *args):
+        seen["fit"] = train
+        return fit_model(train, *args)
+
+    def measure(scored, *args):
+        seen["metrics"] = scored
+        return scored
+
+    fit_model = models.fit_model
+    monkeypatch.setattr(models, "fit_model", fit)
+    monkeypatch.setattr(models, "extended_metrics", measure)
+    rows = spark.range(80).selectExpr("date_add(date'2020-01-01', cast(id as int)) as issue_d", "cast(id * 7 % 11 as double) as x",
+                                      "cast(id % 3 as string) as c", "cast(id % 2 as int) as is_default")
+    models.run_training(rows, "logistic_regression", {"maxIter": 3}, target="is_default", cutoff="2020-02-15", numeric=["x"], categorical=["c"])
+    for df in seen.values():
+        # neither imputed nor coded again in each pass, and not held in memory beside the fitter's own copy
+        assert "Join" not in df._jdf.queryExecution().optimizedPlan().toString() and not df.is_cached

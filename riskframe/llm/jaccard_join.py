@@ -7,13 +7,16 @@ n-grams of both (in one common order) there is one they share.  The order puts n
 last, so that these columns are short.
 
 * Documents with equal sets are one row of the matrix (a class), so copies never multiply.
-* Leader rounds come first: in every column a node meets one leader, overlaps are accumulated per
+* A leader round comes first: in every column a node meets one leader, overlaps are accumulated per
   (node, leader), pairs below the bounds are discarded, and each node compares its full row with the leader
-  it shares most columns with.  Later rounds take leaders of other components.  So a round makes at most
-  one pair a node, and a group of near copies becomes one component in pairs that grow with its size.
+  it shares most columns with.
 * What is left are pairs across components.  Their columns are multiplied in blocks of rows inside tasks,
-  and a pair leaves the task only when its sizes, its place in the common order and its parity vectors
-  allow the overlap that it needs.  Whatever the rounds did, this step covers every pair not compared yet.
+  and a pair is found only when its sizes, its place in the common order and its parity vectors allow the
+  overlap that it needs.  A task that finds more pairs than nodes gives one pair for each node, with the
+  component that leads in this turn; when these are compared, components have grown and the product is
+  taken again.  So a turn makes about a pair a node, and a group of near copies becomes one component in
+  pairs that grow with its size.  The last turn gives every pair that no turn compared, however many.
+* Two texts meet at one of them, so a text is shuffled once a pair, and n-grams are made where they are compared.
 * The order only steers the cost, any order gives the same links: frequent n-grams are those that
   scan tasks saw repeatedly, and at most ``MAX_FREQUENT`` of them are told to all tasks.
 
@@ -24,7 +27,7 @@ least as many n-grams as their vectors differ in bits, which bounds their overla
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable, Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -33,44 +36,45 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from riskframe.llm.components import components
+from riskframe.llm.text import split_words
 from riskframe.session import cut_lineage
 
 WORDS = 5
 PERCENT = 75
 BITS = 512
-ROUNDS = 3
+ROUNDS = 10
 BLOCK = 4096
 FREQUENT_FROM = 8
 MAX_FREQUENT = 1 << 18
-CACHE_WORDS = 400_000
 TASK_GRAMS = 3_000_000
 BUFFER = 500_000
+HUB = 256  # texts that one task compares with the same other text
 _K = np.uint64(0x9E3779B97F4A7C15)
 
 
-def shingler(words: int = WORDS) -> Callable[[str | None], np.ndarray]:
-    """Function text -> sorted distinct fingerprints of its n-grams (all words when there are fewer)."""
-    known: dict[bytes, int] = {}
-
-    def shingles(text: str | None) -> np.ndarray:
-        found = (text or "").encode().lower().split()
-        if not found:
-            return np.zeros(0, np.int64)
-        if len(known) > CACHE_WORDS:
-            known.clear()
-        for w in set(found):
-            if w not in known:
-                known[w] = xxhash.xxh3_64_intdigest(w)
-        ids = np.array([known[w] for w in found], np.uint64)
-        width = min(words, len(ids))
-        n = len(ids) - width + 1
-        h = np.full(n, width, np.uint64)
-        for k in range(width):
-            h = (h ^ ids[k:k + n]) * _K
+def shingles(texts: pa.Array, words: int = WORDS) -> list[np.ndarray]:
+    """Sorted distinct fingerprints of each text's n-grams (all words when there are fewer)."""
+    names, numbers, bounds = split_words(texts, lower=True)
+    ids = np.array([xxhash.xxh3_64_intdigest(w) for w in names], np.uint64)[numbers]
+
+    def mixed(of: np.ndarray, width: int) -> np.ndarray:
+        n = len(of) - width + 1
+        h = np.full(max(n, 0), width, np.uint64)
+        for k in range(width if n > 0 else 0):
+            h = (h ^ of[k:k + n]) * _K
             h ^= h >> np.uint64(29)
-        return np.unique(h.view(np.int64))
+        return h.view(np.int64)
+
+    every = mixed(ids, words)  # those across two texts are in no slice
+    out = []
+    for i, j in zip(bounds.tolist(), bounds[1:].tolist()):
+        h = every[i:j - words + 1] if j - i >= words else mixed(ids[i:j], max(j - i, 1))
+        out.append(np.unique(h))
+    return out
 
-    return shingles
+
+def _slices(batch: pa.RecordBatch, rows: int = 2_000) -> Iterator[pa.RecordBatch]:
+    return (batch.slice(at, rows) for at in range(0, batch.num_rows, rows))
 
 
 def digest(grams: np.ndarray) -> bytes:
@@ -108,9 +112,9 @@ def _survey(docs: DataFrame, doc_id: str, text: str, words: int) -> DataFrame:
         return pa.record_batch([*(pa.nulls(k, f.type) for f in list(schema)[:6]), pa.array(grams[some]), pa.array(seen[some])], schema=schema)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingles, held, size, done = shingler(words), [], 0, set()
-        for batch in batches:
-            sets = [shingles(t) for t in batch.column(2).to_pylist()]
+        held, size, done = [], 0, set()
+        for batch in (part for whole in batches for part in _slices(whole)):
+            sets = shingles(batch.column(2), words)
             keys = [digest(s) for s in sets]
             none = pa.nulls(len(sets), pa.int64())
             yield pa.record_batch([batch.column(0), batch.column(1), pa.array([len(s) for s in sets], pa.int64()),
@@ -157,22 +161,22 @@ def prefix(grams: np.ndarray, frequent: np.ndarray, level: np.ndarray, percent:
 
 
 def _columns(docs: DataFrame, text: str, words: int, percent: int, frequent: tuple[np.ndarray, np.ndarray]) -> DataFrame:
-    """(gram, node, pos): the columns to multiply, one entry per class and task, with its place in the row's order."""
+    """(gram, node, pos, n): the columns to multiply, one entry per class and task, with its place in the row's order and the row's size."""
     shipped = docs.sparkSession.sparkContext.broadcast(frequent)
-    schema = pa.schema([("gram", pa.int64()), ("node", pa.int64()), ("pos", pa.int32())])
+    schema = pa.schema([("gram", pa.int64()), ("node", pa.int64()), ("pos", pa.int32()), ("n", pa.int32())])
 
-    def out(parts: list[np.ndarray], nodes: list[int]) -> pa.RecordBatch:
+    def out(parts: list[np.ndarray], nodes: list[int], whole: list[int]) -> pa.RecordBatch:
         sizes = [len(p) for p in parts]
         return pa.record_batch([pa.array(np.concatenate(parts)), pa.array(np.repeat(np.array(nodes, np.int64), sizes)),
-                                pa.array(np.concatenate([np.arange(k, dtype=np.int32) for k in sizes]))], schema=schema)
+                                pa.array(np.concatenate([np.arange(k, dtype=np.int32) for k in sizes])),
+                                pa.array(np.repeat(np.array(whole, np.int32), sizes))], schema=schema)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingles, done = shingler(words), set()
+        done = set()
         often, level = shipped.value
-        for batch in batches:
-            parts, nodes, size = [], [], 0
-            for t in batch.column(0).to_pylist():
-                s = shingles(t)
+        for batch in (part for whole in batches for part in _slices(whole)):
+            parts, nodes, whole, size = [], [], [], 0
+            for s in shingles(batch.column(0), words):
                 key = digest(s)
                 if not len(s) or key in done:
                     continue
@@ -180,29 +184,36 @@ def _columns(docs: DataFrame, text: str, words: int, percent: int, frequent: tup
                     done.add(key)
                 parts.append(prefix(s, often, level, percent))
                 nodes.append(node(key))
+                whole.append(len(s))
                 size += len(parts[-1])
                 if size > 200_000:
-                    yield out(parts, nodes)
-                    parts, nodes, size = [], [], 0
+                    yield out(parts, nodes, whole)
+                    parts, nodes, whole, size = [], [], [], 0
             if parts:
-                yield out(parts, nodes)
+                yield out(parts, nodes, whole)
+
+    return docs.select(F.col(text).cast("string").alias("text")).mapInArrow(run, "gram long, node long, pos int, n int")
 
-    return docs.select(F.col(text).cast("string").alias("text")).mapInArrow(run, "gram long, node long, pos int")
 
+def meetings(grams: np.ndarray, nodes: np.ndarray, pos: np.ndarray, n: np.ndarray | None = None) -> tuple[np.ndarray, ...]:
+    """(gram, node, pos, lead) of sorted entries in columns of two or more nodes; lead is a column's least node.
 
-def meetings(grams: np.ndarray, nodes: np.ndarray, pos: np.ndarray) -> tuple[np.ndarray, ...]:
-    """(gram, node, pos, lead) of sorted entries in columns of two or more nodes; lead is a column's least node."""
+    With the rows' sizes ``n``: (gram, node, pos, n, lead, the lead's pos and n).
+    """
     new = np.concatenate([[True], (grams[1:] != grams[:-1]) | (nodes[1:] != nodes[:-1])])
-    grams, nodes, pos = grams[new], nodes[new], pos[new]
+    more = [c[new] for c in ((nodes, pos) if n is None else (nodes, pos, n))]
+    grams = grams[new]
     start = np.flatnonzero(np.concatenate([[True], grams[1:] != grams[:-1]]))
     size = np.diff(np.concatenate([start, [len(grams)]]))
     met = np.repeat(size, size) > 1
-    return grams[met], nodes[met], pos[met], np.repeat(nodes[start], size)[met]
+    lead = np.repeat(start, size)[met]
+    return grams[met], *(c[met] for c in more), *(c[lead] for c in (more[:1] if n is None else more))
 
 
 def _meetings(columns: DataFrame) -> DataFrame:
-    """(gram, node, pos, lead) of all columns where nodes meet, read in column order."""
-    schema = pa.schema([("gram", pa.int64()), ("node", pa.int64()), ("pos", pa.int32()), ("lead", pa.int64())])
+    """(gram, node, pos, n, lead, lead_pos, lead_n) of all columns where nodes meet, read in column order."""
+    schema = pa.schema([("gram", pa.int64()), ("node", pa.int64()), ("pos", pa.int32()), ("n", pa.int32()), ("lead", pa.int64()),
+                        ("lead_pos", pa.int32()), ("lead_n", pa.int32())])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, ...]] = []
@@ -233,67 +244,40 @@ def _meetings(columns: DataFrame) -> DataFrame:
             yield pa.record_batch([pa.array(c[at:at + 100_000]) for c in found], schema=schema)
 
     dealt = columns.repartition("gram").sortWithinPartitions("gram", "node")
-    return dealt.mapInArrow(run, "gram long, node long, pos int, lead long")
-
+    return dealt.mapInArrow(run, "gram long, node long, pos int, n int, lead long, lead_pos int, lead_n int")
 
-def _rows(docs: DataFrame, wanted: DataFrame, doc_id: str, text: str, words: int) -> DataFrame:
-    """(digest, grams) of the wanted (doc_id, key, digest) classes: rows of the matrix, one per class."""
-    schema = pa.schema([("digest", pa.binary()), ("grams", pa.list_(pa.int64()))])
-    some = docs.select(F.col(doc_id).cast("long").alias("__id"), _text_key(text).alias("__key"), F.col(text).cast("string").alias("__text"))
-    some = some.join(wanted.select("doc_id", "key"), F.col("__id").eqNullSafe(F.col("doc_id")) & (F.col("__key") == F.col("key")), "left_semi")
-
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingles = shingler(words)
-        for batch in batches:
-            for part in (batch.slice(i, 500) for i in range(0, batch.num_rows, 500)):
-                sets = [shingles(t) for t in part.column(0).to_pylist()]
-                yield pa.record_batch([pa.array([digest(s) for s in sets], pa.binary()), pa.array(sets, pa.list_(pa.int64()))], schema=schema)
 
-    rows = cut_lineage(some.select("__text").mapInArrow(run, "digest binary, grams array<long>"))
-    if rows.count() > wanted.count():  # rows repeated with id and text
-        rows = cut_lineage(rows.dropDuplicates(["digest"]))
-    return rows
+def _could(pos_a: Column, a: Column, pos_b: Column, b: Column, percent: int) -> Column:
+    """Whether sizes and places in the first column that two rows share allow the overlap they need.
 
-
-def _fits(small: Column, large: Column, percent: int) -> Column:
-    return 100 * F.least(small, large) >= percent * F.greatest(small, large)
-
-
-def _possible(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
-    """The (a, b) pairs whose sizes and parity vectors allow the overlap that they need."""
-    side = classes.select("node", "n", "bits")
-    sized = pairs.join(side.toDF("a", "na", "va"), "a").join(side.toDF("b", "nb", "vb"), "b")
-    differ = sum((F.bit_count(F.col("va")[i].bitwiseXOR(F.col("vb")[i])) for i in range(BITS // 64)), F.lit(0))
-    total = F.col("na") + F.col("nb")
-    return sized.where(_fits(F.col("na"), F.col("nb"), percent) & ((100 + percent) * (total - differ) >= 2 * percent * total)).select(
-        *pairs.columns)
+    Of a linked pair at least that column passes.
+    """
+    a, b = a.cast("long"), b.cast("long")
+    return (100 * F.least(a, b) >= percent * F.greatest(a, b)) & ((100 + percent) * F.least(a - pos_a, b - pos_b) >= percent * (a + b))
 
 
 def _best(met: DataFrame, classes: DataFrame, tried: DataFrame | None, percent: int) -> DataFrame:
-    """(a, b): each node with the leader it shares most columns with, of (node, lead) entries."""
-    counted = met.groupBy(F.col("node").alias("a"), F.col("lead").alias("b")).agg(F.count(F.lit(1)).alias("shared"))
+    """(a, b, hub): each node with the leader it shares most columns with, of (node, lead) entries; the leader is the hub."""
+    counted = met.groupBy(F.col("node").alias("a"), F.col("lead").alias("b")).agg(
+        F.count(F.lit(1)).alias("shared"), F.first(F.col("n") + F.col("lead_n")).alias("total"))
     if tried is not None:
-        both = tried.unionByName(tried.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        both = tried.select("a", "b").unionByName(tried.select(F.col("b").alias("a"), F.col("a").alias("b")))
         counted = counted.join(both, ["a", "b"], "left_anti")
-    best = _possible(counted, classes, percent).groupBy("a").agg(F.max_by("b", F.struct("shared", "b")).alias("b"))
-    return cut_lineage(best.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    side = classes.select("node", "bits")
+    sized = counted.join(side.toDF("a", "va"), "a").join(side.toDF("b", "vb"), "b")
+    differ = sum((F.bit_count(F.col("va")[i].bitwiseXOR(F.col("vb")[i])) for i in range(BITS // 64)), F.lit(0))
+    possible = sized.where((100 + percent) * (F.col("total") - differ) >= 2 * percent * F.col("total"))
+    best = possible.groupBy("a").agg(F.max_by("b", F.struct("shared", "b")).alias("b"))
+    return cut_lineage(best.groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.max("b").alias("hub")))
 
 
 def _mixed(met: DataFrame, labels: DataFrame) -> DataFrame:
-    """(gram, node, pos, label) of the columns where components still meet."""
-    named = met.select("gram", "node", "pos").join(labels, "node")
+    """(gram, node, pos, n, label) of the columns where components still meet."""
+    named = met.select("gram", "node", "pos", "n").join(labels, "node")
     several = named.groupBy("gram").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("gram")
     return cut_lineage(named.join(several, "gram"))
 
 
-def _other_leads(mixed: DataFrame) -> DataFrame:
-    """(node, lead): each entry with the column's least node of another component, or its greatest."""
-    who = F.struct("label", "node")
-    ends = mixed.groupBy("gram").agg(F.min(who).alias("lo"), F.max(who).alias("hi"))
-    return mixed.join(ends, "gram").select("node", F.when(F.col("label") == F.col("lo.label"), F.col("hi.node")).otherwise(
-        F.col("lo.node")).alias("lead"))
-
-
 def block_pairs(group: np.ndarray, nodes: np.ndarray, n: np.ndarray, pos: np.ndarray, label: np.ndarray, block: np.ndarray,
                 bits: np.ndarray, percent: int = PERCENT) -> np.ndarray:
     """(a, b) rows: pairs across components within the groups of entries sorted by (group, n).
@@ -321,14 +305,30 @@ def block_pairs(group: np.ndarray, nodes: np.ndarray, n: np.ndarray, pos: np.nda
     return np.unique(np.concatenate(out), axis=0) if out else np.zeros((0, 2), np.int64)
 
 
-def _across(mixed: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+def one_each(pairs: np.ndarray, nodes: np.ndarray, label: np.ndarray, turn: int) -> np.ndarray:
+    """Of many pairs, one for each node: with the component that comes first in the turn's order, and in it with
+    the node that does, so that nodes of a group meet the same one."""
+    names, at = np.unique(nodes, return_index=True)
+    ends = np.concatenate([pairs, pairs[:, ::-1]])
+    other = ends[:, 1]
+    draws = []
+    for keys in (label[at][np.searchsorted(names, other)], other):
+        h = (keys.view(np.uint64) ^ np.uint64(turn)) * _K
+        draws.append((h ^ (h >> np.uint64(29))) * _K)
+    order = np.lexsort((draws[1], draws[0], ends[:, 0]))
+    chosen = ends[order[np.unique(ends[order, 0], return_index=True)[1]]]
+    return np.unique(np.sort(chosen, axis=1), axis=0)
+
+
+def _across(mixed: DataFrame, classes: DataFrame, percent: int, turn: int | None = None) -> DataFrame:
     """(a, b) pairs of different components that their bounds allow, from the product of the mixed columns.
 
     A column of more than ``BLOCK`` entries is cut into row blocks, and each two of them are a group of their own.
+    In a ``turn``, a task that finds more pairs than nodes gives one pair for each node only, and a row of NULLs.
     """
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
     sizes = mixed.groupBy("gram").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
-    entries = mixed.join(sizes, "gram").join(classes.select("node", "n", "bits"), "node")
+    entries = mixed.join(sizes, "gram").join(classes.select("node", "bits"), "node")
     own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
     entries = entries.withColumn("block", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     entries = entries.select("gram", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "n", "node", "pos", "label",
@@ -340,6 +340,9 @@ def _across(mixed: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
         group = np.concatenate([[0], np.cumsum(new)])
         bits = batch.column(8).combine_chunks().flatten().to_numpy().reshape(-1, BITS // 64)
         found = block_pairs(group, nodes, n, pos, label, np.where(i == j, -1, block), bits, percent)
+        if turn is not None and len(found) > len(np.unique(nodes)):
+            found = one_each(found, nodes, label, turn)
+            yield pa.record_batch([pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64())], schema=schema)
         for at in range(0, len(found), 100_000):
             yield pa.record_batch([pa.array(found[at:at + 100_000, c].copy()) for c in (0, 1)], schema=schema)
 
@@ -369,16 +372,45 @@ def _last_group(keys: list[np.ndarray]) -> int:
     return int(other[-1]) + 1 if len(other) else 0
 
 
-def _links(pairs: DataFrame, classes: DataFrame, rows: DataFrame, percent: int) -> DataFrame:
-    """(a, b) digests of the node pairs whose sets are similar enough."""
-    sizes = classes.select("node", "digest", "n")
-    sized = pairs.join(sizes.toDF("a", "da", "na"), "a").join(sizes.toDF("b", "db", "nb"), "b")
-    sized = sized.where(_fits(F.col("na"), F.col("nb"), percent)).select("da", "db", "na", "nb")
-    sets = rows.select("digest", "grams")
-    full = sized.join(sets.toDF("da", "ga"), "da").join(sets.toDF("db", "gb"), "db")
-    overlap = F.size(F.array_intersect("ga", "gb"))
-    return full.where(100 * overlap >= percent * (F.col("na") + F.col("nb") - overlap)).select(
-        F.col("da").alias("a"), F.col("db").alias("b"))
+def _links(pairs: DataFrame, classes: DataFrame, docs: DataFrame, doc_id: str, text: str, words: int, percent: int) -> DataFrame:
+    """(a, b) digests of the (a, b, hub) node pairs whose sets are similar enough.
+
+    The texts of a pair meet at its hub, of which a text of many pairs has one copy per ``HUB`` others; each
+    text travels once a pair, and sets are made where they are compared.
+    """
+    other = F.when(F.col("a") == F.col("hub"), F.col("b")).otherwise(F.col("a")).alias("node")
+    spokes = pairs.select("hub", other)
+    dealt = spokes.join(spokes.groupBy("hub").agg(F.ceil(F.count(F.lit(1)) / HUB).cast("int").alias("parts")), "hub")
+    part = F.pmod(F.xxhash64("node"), F.col("parts")).cast("int").alias("part")
+    spokes = cut_lineage(dealt.select("hub", part, "node"))
+    visits = spokes.select("node", "hub", "part").unionByName(spokes.select(F.col("hub").alias("node"), "hub", "part").distinct())
+    named = cut_lineage(classes.select("node", "doc_id", "key").join(visits, "node").select(
+        F.col("doc_id").alias("__doc"), F.col("key").alias("__asked"), "node", "hub", "part"))
+    some = docs.select(F.col(doc_id).cast("long").alias("__id"), _text_key(text).alias("__key"), F.col(text).cast("string").alias("__text"))
+    there = some.join(named, F.col("__id").eqNullSafe(F.col("__doc")) & (F.col("__key") == F.col("__asked")))
+    schema = pa.schema([("a", pa.binary()), ("b", pa.binary())])
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, middle, name = None, None, None
+        for batch in (part for whole in batches for part in _slices(whole, 500)):
+            hubs, parts, nodes = (batch.column(c).to_pylist() for c in range(3))
+            a, b = [], []
+            for hub, part, own, s in zip(hubs, parts, nodes, shingles(batch.column(4), words)):
+                key = digest(s)
+                if node(key) != own:
+                    continue
+                if own == hub:  # sorted first
+                    at, middle, name = (hub, part), s, key
+                    continue
+                if at != (hub, part):
+                    raise ValueError(f"node {hub} is not among its pairs")
+                overlap = len(np.intersect1d(s, middle, assume_unique=True))
+                if 100 * overlap >= percent * (len(s) + len(middle) - overlap):
+                    a.append(min(key, name)), b.append(max(key, name))
+            yield pa.record_batch([pa.array(a, pa.binary()), pa.array(b, pa.binary())], schema=schema)
+
+    met = there.select("hub", "part", "node", (F.col("node") != F.col("hub")).alias("spoke"), "__text").repartition("hub", "part")
+    return met.sortWithinPartitions("hub", "part", "spoke").mapInArrow(run, "a binary, b binary").distinct()
 
 
 def _labels(classes: DataFrame, links: DataFrame) -> DataFrame:
@@ -402,26 +434,20 @@ def _grouped(docs: DataFrame, text: str, doc_id: str, words: int, percent: int)
     met = cut_lineage(_meetings(_columns(docs, text, words, percent, _frequent(survey))))
 
     def compare(pairs: DataFrame) -> DataFrame:
-        # only the rows of nodes in these pairs are fetched and shuffled
-        asked = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
-        wanted = cut_lineage(classes.join(asked, "node", "left_semi").select("doc_id", "key", "digest"))
-        return cut_lineage(_links(pairs, classes, _rows(docs, wanted, doc_id, text, words), percent))
+        return cut_lineage(_links(pairs, classes, docs, doc_id, text, words, percent))
 
-    tried = _best(met.where("node != lead"), classes, None, percent)
+    near = _could(F.col("pos"), F.col("n"), F.col("lead_pos"), F.col("lead_n"), percent)
+    tried = _best(met.where(F.col("node") != F.col("lead")).where(near), classes, None, percent)
     links = compare(tried)
     mixed = _mixed(met, _labels(classes, links))
-    for _ in range(1, ROUNDS):
-        pairs = _best(_other_leads(mixed), classes, tried, percent)
-        if not pairs.limit(1).count():
-            break
-        tried, more = tried.unionByName(pairs), compare(pairs)
-        if not more.limit(1).count():
+    for turn in range(1, ROUNDS + 1):
+        found = cut_lineage(_across(mixed, classes, percent, turn if turn < ROUNDS else None).join(tried, ["a", "b"], "left_anti"))
+        pairs = found.where("a is not null").select("a", "b", F.col("a").alias("hub"))
+        if pairs.limit(1).count():
+            tried, links = tried.unionByName(pairs), links.unionByName(compare(pairs))
+        if not found.where("a is null").limit(1).count():
             break
-        links = links.unionByName(more)
         mixed = _mixed(mixed, _labels(classes, links))
-    across = cut_lineage(_across(mixed, classes, percent).join(tried, ["a", "b"], "left_anti"))
-    if across.limit(1).count():
-        links = links.unionByName(compare(across))
     labels = components(links)
 
     found = classes.join(labels.toDF("digest", "label"), "digest", "left").select("digest", "s", F.coalesce("label", "digest").alias("label"))

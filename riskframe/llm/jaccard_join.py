@@ -387,7 +387,9 @@ def _links(pairs: DataFrame, classes: DataFrame, docs: DataFrame, doc_id: str, t
     named = cut_lineage(classes.select("node", "doc_id", "key").join(visits, "node").select(
         F.col("doc_id").alias("__doc"), F.col("key").alias("__asked"), "node", "hub", "part"))
     some = docs.select(F.col(doc_id).cast("long").alias("__id"), _text_key(text).alias("__key"), F.col(text).cast("string").alias("__text"))
-    there = some.join(named, F.col("__id").eqNullSafe(F.col("__doc")) & (F.col("__key") == F.col("__asked")))
+    # texts that no pair asks for stay where they are: a table of keys alone is told to all tasks while Spark finds it small
+    keys = cut_lineage(named.select(F.col("__asked").alias("__key")).distinct())
+    there = some.join(keys, "__key", "left_semi").join(named, F.col("__id").eqNullSafe(F.col("__doc")) & (F.col("__key") == F.col("__asked")))
     schema = pa.schema([("a", pa.binary()), ("b", pa.binary())])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

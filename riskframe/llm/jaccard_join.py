@@ -13,10 +13,12 @@ last, so that these columns are short.
 * What is left are pairs across components.  Their columns are multiplied in blocks of rows inside tasks,
   and a pair is found only when its sizes, its place in the common order and its parity vectors allow the
   overlap that it needs.  A task that finds more pairs than nodes gives one pair for each node, with the
-  component that leads in this turn; when these are compared, components have grown and the product is
-  taken again.  So a turn makes about a pair a node, and a group of near copies becomes one component in
-  pairs that grow with its size.  The last turn gives every pair that no turn compared, however many.
-* Two texts meet at one of them, so a text is shuffled once a pair, and n-grams are made where they are compared.
+  component that leads in this turn, and names the columns it found pairs in; when these are compared,
+  components have grown and the product of those columns is taken again.  So a turn makes about a pair a node,
+  and a group of near copies becomes one component in pairs that grow with its size.  The last turn gives
+  every pair that no turn compared, however many.
+* Two texts meet at one of them, so a text is shuffled once a pair, compressed, and n-grams are made where they
+  are compared.  Other texts stay where they are: a bitmap of the asked keys (``SLOTS`` bits a key) is told to all tasks.
 * The order only steers the cost, any order gives the same links: frequent n-grams are those that
   scan tasks saw repeatedly, and at most ``MAX_FREQUENT`` of them are told to all tasks.
 
@@ -32,7 +34,7 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from riskframe.llm.components import components
@@ -49,6 +51,10 @@ MAX_FREQUENT = 1 << 18
 TASK_GRAMS = 3_000_000
 BUFFER = 500_000
 HUB = 256  # texts that one task compares with the same other text
+PAIRS = 1 << 20  # pairs that a product holds before it drops those found before
+SLOTS = 32  # bits of the key bitmap for each key, at least
+MORE = 16  # pairs a node that a task may give grow by this factor from turn to turn, so that they end
+PAGE = 15  # a row of the bitmap has 2^15 bits
 _K = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -272,22 +278,25 @@ def _best(met: DataFrame, classes: DataFrame, tried: DataFrame | None, percent:
 
 
 def _mixed(met: DataFrame, labels: DataFrame) -> DataFrame:
-    """(gram, node, pos, n, label) of the columns where components still meet."""
+    """(gram, node, pos, n, label, size) of the columns where components still meet, with the column's size."""
     named = met.select("gram", "node", "pos", "n").join(labels, "node")
-    several = named.groupBy("gram").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("gram")
-    return cut_lineage(named.join(several, "gram"))
+    column = Window.partitionBy("gram")
+    sized = named.select("*", F.count(F.lit(1)).over(column).alias("size"), F.min("label").over(column).alias("lo"),
+                         F.max("label").over(column).alias("hi"))
+    return cut_lineage(sized.where("lo < hi").drop("lo", "hi"))
 
 
 def block_pairs(group: np.ndarray, nodes: np.ndarray, n: np.ndarray, pos: np.ndarray, label: np.ndarray, block: np.ndarray,
-                bits: np.ndarray, percent: int = PERCENT) -> np.ndarray:
+                bits: np.ndarray, percent: int = PERCENT, hit: np.ndarray | None = None) -> np.ndarray:
     """(a, b) rows: pairs across components within the groups of entries sorted by (group, n).
 
     ``block`` is -1 where a group is one block against itself; else only pairs of different blocks are
     taken.  A linked pair passes all bounds in the first column it shares: no n-gram before it is common.
+    ``hit`` (by group) is set where a group has pairs.
     """
     bits = np.ascontiguousarray(bits).view(np.uint64)  # numpy counts the bits of a signed number's magnitude
     last = np.searchsorted(group, group, "right")
-    left, k, out = np.arange(len(group)), 1, []
+    left, k, out, held, most = np.arange(len(group)), 1, [], 0, PAIRS
     while len(left):
         left = left[left + k < last[left]]
         left = left[100 * n[left] >= percent * n[left + k]]  # sizes rise, so the rest of the group fails too
@@ -299,8 +308,14 @@ def block_pairs(group: np.ndarray, nodes: np.ndarray, n: np.ndarray, pos: np.nda
         a, b, total = a[ok], b[ok], total[ok]
         differ = np.bitwise_count(bits[a] ^ bits[b]).sum(1, dtype=np.int64)
         ok = (100 + percent) * (total - differ) >= 2 * percent * total
+        if hit is not None:
+            hit[group[a[ok]]] = True
         a, b = nodes[a[ok]], nodes[b[ok]]
         out.append(np.stack([np.minimum(a, b), np.maximum(a, b)], 1))
+        held += len(a)
+        if held > most:  # columns of a group of near copies find the same pairs again and again
+            out = [np.unique(np.concatenate(out), axis=0)]
+            held, most = len(out[0]), max(PAIRS, 2 * len(out[0]))
         k += 1
     return np.unique(np.concatenate(out), axis=0) if out else np.zeros((0, 2), np.int64)
 
@@ -321,14 +336,15 @@ def one_each(pairs: np.ndarray, nodes: np.ndarray, label: np.ndarray, turn: int)
 
 
 def _across(mixed: DataFrame, classes: DataFrame, percent: int, turn: int | None = None) -> DataFrame:
-    """(a, b) pairs of different components that their bounds allow, from the product of the mixed columns.
+    """(a, b, gram): pairs of different components that their bounds allow, from the product of the mixed columns.
 
     A column of more than ``BLOCK`` entries is cut into row blocks, and each two of them are a group of their own.
-    In a ``turn``, a task that finds more pairs than nodes gives one pair for each node only, and a row of NULLs.
+    In a ``turn``, a task that finds many more pairs than nodes (``MORE``) gives one pair for each node only, and
+    the columns that have pairs as rows of their ``gram`` alone.
     """
-    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
-    sizes = mixed.groupBy("gram").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
-    entries = mixed.join(sizes, "gram").join(classes.select("node", "bits"), "node")
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("gram", pa.int64())])
+    blocks = F.ceil(F.col("size") / BLOCK).cast("int")
+    entries = mixed.withColumn("blocks", blocks).join(classes.select("node", "bits"), "node")
     own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
     entries = entries.withColumn("block", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     entries = entries.select("gram", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "n", "node", "pos", "label",
@@ -339,12 +355,16 @@ def _across(mixed: DataFrame, classes: DataFrame, percent: int, turn: int | None
         new = (gram[1:] != gram[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])
         group = np.concatenate([[0], np.cumsum(new)])
         bits = batch.column(8).combine_chunks().flatten().to_numpy().reshape(-1, BITS // 64)
-        found = block_pairs(group, nodes, n, pos, label, np.where(i == j, -1, block), bits, percent)
-        if turn is not None and len(found) > len(np.unique(nodes)):
+        hit = np.zeros(int(group[-1]) + 1, bool)
+        found = block_pairs(group, nodes, n, pos, label, np.where(i == j, -1, block), bits, percent, hit)
+        if turn is not None and len(found) > MORE ** (turn - 1) * len(np.unique(nodes)):
             found = one_each(found, nodes, label, turn)
-            yield pa.record_batch([pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64())], schema=schema)
+            again = np.unique(gram[hit[group]])
+            none = pa.nulls(len(again), pa.int64())
+            yield pa.record_batch([none, none, pa.array(again)], schema=schema)
         for at in range(0, len(found), 100_000):
-            yield pa.record_batch([pa.array(found[at:at + 100_000, c].copy()) for c in (0, 1)], schema=schema)
+            part = found[at:at + 100_000]
+            yield pa.record_batch([pa.array(part[:, 0].copy()), pa.array(part[:, 1].copy()), pa.nulls(len(part), pa.int64())], schema=schema)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
@@ -363,7 +383,7 @@ def _across(mixed: DataFrame, classes: DataFrame, percent: int, turn: int | None
             yield from product(pa.Table.from_batches(held))
 
     dealt = entries.repartition("gram", "i", "j").sortWithinPartitions("gram", "i", "j", "n")
-    return dealt.mapInArrow(run, "a long, b long").distinct()
+    return dealt.mapInArrow(run, "a long, b long, gram long").distinct()
 
 
 def _last_group(keys: list[np.ndarray]) -> int:
@@ -372,6 +392,40 @@ def _last_group(keys: list[np.ndarray]) -> int:
     return int(other[-1]) + 1 if len(other) else 0
 
 
+def _bitmap(keys: DataFrame) -> tuple[DataFrame, int]:
+    """(page, map): a bitmap of the written ``__key`` values by their remainders, and the number of its bits."""
+    slots = 1 << max(PAGE, (SLOTS * keys.count()).bit_length())
+    slot = F.pmod(F.col("__key"), F.lit(slots))
+    pages = keys.groupBy(F.shiftright(slot, PAGE).alias("page")).agg(
+        F.bitmap_construct_agg(slot.bitwiseAND(F.lit((1 << PAGE) - 1))).alias("map"))
+    return pages, slots
+
+
+def _maybe(rows: DataFrame, bitmap: tuple[DataFrame, int]) -> DataFrame:
+    """``rows`` with ``__maybe``: whether their ``__key`` may be one of the bitmap's; every one that is has true."""
+    pages, slots = bitmap
+    slot = F.pmod(F.col("__key"), F.lit(slots))
+    bit = slot.bitwiseAND(F.lit((1 << PAGE) - 1)).cast("int")
+    byte = F.conv(F.hex(F.substring(F.col("map"), F.shiftright(bit, 3) + 1, F.lit(1))), 16, 10).cast("int")
+    is_set = F.call_function("shiftright", byte, bit.bitwiseAND(F.lit(7))).bitwiseAND(F.lit(1)) == 1
+    return rows.join(F.broadcast(pages), F.shiftright(slot, PAGE) == F.col("page"), "left").withColumn(
+        "__maybe", F.coalesce(is_set, F.lit(False))).drop("page", "map")
+
+
+def _packed(rows: DataFrame) -> DataFrame:
+    """(id, key, size, packed): texts in few bytes."""
+    schema = pa.schema([("__id", pa.int64()), ("__key", pa.int64()), ("__size", pa.int64()), ("__packed", pa.binary())])
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codec = pa.Codec("zstd")
+        for batch in (part for whole in batches for part in _slices(whole)):
+            texts = [t.encode() for t in batch.column(2).to_pylist()]
+            yield pa.record_batch([batch.column(0), batch.column(1), pa.array([len(t) for t in texts], pa.int64()),
+                                   pa.array([codec.compress(t, asbytes=True) for t in texts], pa.binary())], schema=schema)
+
+    return rows.select("__id", "__key", "__text").mapInArrow(run, "__id long, __key long, __size long, __packed binary")
+
+
 def _links(pairs: DataFrame, classes: DataFrame, docs: DataFrame, doc_id: str, text: str, words: int, percent: int) -> DataFrame:
     """(a, b) digests of the (a, b, hub) node pairs whose sets are similar enough.
 
@@ -387,17 +441,17 @@ def _links(pairs: DataFrame, classes: DataFrame, docs: DataFrame, doc_id: str, t
     named = cut_lineage(classes.select("node", "doc_id", "key").join(visits, "node").select(
         F.col("doc_id").alias("__doc"), F.col("key").alias("__asked"), "node", "hub", "part"))
     some = docs.select(F.col(doc_id).cast("long").alias("__id"), _text_key(text).alias("__key"), F.col(text).cast("string").alias("__text"))
-    # texts that no pair asks for stay where they are: a table of keys alone is told to all tasks while Spark finds it small
-    keys = cut_lineage(named.select(F.col("__asked").alias("__key")).distinct())
-    there = some.join(keys, "__key", "left_semi").join(named, F.col("__id").eqNullSafe(F.col("__doc")) & (F.col("__key") == F.col("__asked")))
+    asked = _packed(_maybe(some.where("__text is not null"), _bitmap(named.select(F.col("__asked").alias("__key")))).where("__maybe"))
+    there = asked.join(named, F.col("__id").eqNullSafe(F.col("__doc")) & (F.col("__key") == F.col("__asked")))
     schema = pa.schema([("a", pa.binary()), ("b", pa.binary())])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, middle, name = None, None, None
+        at, middle, name, codec = None, None, None, pa.Codec("zstd")
         for batch in (part for whole in batches for part in _slices(whole, 500)):
             hubs, parts, nodes = (batch.column(c).to_pylist() for c in range(3))
+            texts = [codec.decompress(z, n, asbytes=True) for n, z in zip(*(batch.column(c).to_pylist() for c in (4, 5)))]
             a, b = [], []
-            for hub, part, own, s in zip(hubs, parts, nodes, shingles(batch.column(4), words)):
+            for hub, part, own, s in zip(hubs, parts, nodes, shingles(pa.array(texts, pa.binary()).cast(pa.string()), words)):
                 key = digest(s)
                 if node(key) != own:
                     continue
@@ -411,7 +465,7 @@ def _links(pairs: DataFrame, classes: DataFrame, docs: DataFrame, doc_id: str, t
                     a.append(min(key, name)), b.append(max(key, name))
             yield pa.record_batch([pa.array(a, pa.binary()), pa.array(b, pa.binary())], schema=schema)
 
-    met = there.select("hub", "part", "node", (F.col("node") != F.col("hub")).alias("spoke"), "__text").repartition("hub", "part")
+    met = there.select("hub", "part", "node", (F.col("node") != F.col("hub")).alias("spoke"), "__size", "__packed").repartition("hub", "part")
     return met.sortWithinPartitions("hub", "part", "spoke").mapInArrow(run, "a binary, b binary").distinct()
 
 
@@ -447,9 +501,10 @@ def _grouped(docs: DataFrame, text: str, doc_id: str, words: int, percent: int)
         pairs = found.where("a is not null").select("a", "b", F.col("a").alias("hub"))
         if pairs.limit(1).count():
             tried, links = tried.unionByName(pairs), links.unionByName(compare(pairs))
-        if not found.where("a is null").limit(1).count():
+        again = found.where("a is null").select("gram").distinct()
+        if not again.limit(1).count():
             break
-        mixed = _mixed(mixed, _labels(classes, links))
+        mixed = _mixed(mixed.join(again, "gram", "left_semi"), _labels(classes, links))
     labels = components(links)
 
     found = classes.join(labels.toDF("digest", "label"), "digest", "left").select("digest", "s", F.coalesce("label", "digest").alias("label"))
@@ -477,9 +532,14 @@ def keep(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", words: int
     Of different texts with that id in one group, one stays.  Rows that repeat doc_id and text are one
     document; a NULL id stays only where the whole group has no other.
     """
-    found = _grouped(docs, text, doc_id, words, percent).where(
-        F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("key") == F.col("first.key")))
-    stay = found.select(F.coalesce("doc_id", F.lit(0)).alias("__id"), F.col("doc_id").isNull().alias("__no_id"), F.col("key").alias("__key")).distinct()
-    rows = docs.withColumns({"__id": F.coalesce(F.col(doc_id).cast("long"), F.lit(0)), "__no_id": F.col(doc_id).isNull(), "__key": _text_key(text)})
+    found = cut_lineage(_grouped(docs, text, doc_id, words, percent))
+    stays = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("key") == F.col("first.key"))
+    each = found.groupBy(F.coalesce("doc_id", F.lit(0)).alias("__id"), F.col("doc_id").isNull().alias("__no_id"), F.col("key").alias("__key")).agg(
+        F.count(F.lit(1)).alias("rows"), F.max(stays).alias("stays"))
+    # only texts that may go or repeat are moved, to be told apart by id and key; all others are there once and stay
+    doubtful = cut_lineage(each.where("rows > 1 or not stays").select("__key").distinct())
     names = ["__id", "__no_id", "__key"]
-    return rows.join(stay, names, "left_semi").dropDuplicates([*names, text]).select(*docs.columns)
+    rows = _maybe(docs.withColumns({"__id": F.coalesce(F.col(doc_id).cast("long"), F.lit(0)), "__no_id": F.col(doc_id).isNull(),
+                                    "__key": _text_key(text)}), _bitmap(doubtful))
+    told = rows.where("__maybe").join(each.where("stays").select(names), names, "left_semi").dropDuplicates([*names, text])
+    return rows.where("not __maybe").unionByName(told).select(*docs.columns)

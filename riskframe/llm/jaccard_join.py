@@ -339,7 +339,7 @@ def _across(mixed: DataFrame, classes: DataFrame, percent: int, turn: int | None
     """(a, b, gram): pairs of different components that their bounds allow, from the product of the mixed columns.
 
     A column of more than ``BLOCK`` entries is cut into row blocks, and each two of them are a group of their own.
-    In a ``turn``, a task that finds many more pairs than nodes (``MORE``) gives one pair for each node only, and
+    In a ``turn``, a task that finds more pairs than nodes in them (``MORE`` times as many from turn to turn) gives one pair for each node only, and
     the columns that have pairs as rows of their ``gram`` alone.
     """
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("gram", pa.int64())])
@@ -357,7 +357,7 @@ def _across(mixed: DataFrame, classes: DataFrame, percent: int, turn: int | None
         bits = batch.column(8).combine_chunks().flatten().to_numpy().reshape(-1, BITS // 64)
         hit = np.zeros(int(group[-1]) + 1, bool)
         found = block_pairs(group, nodes, n, pos, label, np.where(i == j, -1, block), bits, percent, hit)
-        if turn is not None and len(found) > MORE ** (turn - 1) * len(np.unique(nodes)):
+        if turn is not None and len(found) > MORE ** (turn - 1) * len(np.unique(found)):
             found = one_each(found, nodes, label, turn)
             again = np.unique(gram[hit[group]])
             none = pa.nulls(len(again), pa.int64())
@@ -469,12 +469,18 @@ def _links(pairs: DataFrame, classes: DataFrame, docs: DataFrame, doc_id: str, t
     return met.sortWithinPartitions("hub", "part", "spoke").mapInArrow(run, "a binary, b binary").distinct()
 
 
-def _labels(classes: DataFrame, links: DataFrame) -> DataFrame:
-    """(node, label): each class with the short name of its component so far."""
-    found = components(links).select(F.col("node").alias("digest"), F.col("label").alias("__label"))
-    names = classes.select(F.col("digest").alias("__label"), F.col("node").alias("label"))
-    return cut_lineage(classes.select("node", "digest").join(found, "digest", "left").join(names, "__label", "left").select(
-        "node", F.coalesce("label", "node").alias("label")))
+def _merged(components_of: DataFrame, links: DataFrame) -> DataFrame:
+    """(digest, node, label): components after more links, of which only those across components count, once a pair of them."""
+    of = components_of.select("digest", "label")
+    across = links.join(of.toDF("a", "la"), "a").join(of.toDF("b", "lb"), "b").where("la != lb")
+    joined = components(across.select(F.least("la", "lb").alias("a"), F.greatest("la", "lb").alias("b")).distinct())
+    return cut_lineage(components_of.join(joined.toDF("label", "above"), "label", "left").select(
+        "digest", "node", F.coalesce("above", "label").alias("label")))
+
+
+def _names(components_of: DataFrame) -> DataFrame:
+    """(node, label): each class with a short name of its component."""
+    return components_of.select("node", F.xxhash64("label").alias("label"))
 
 
 def _grouped(docs: DataFrame, text: str, doc_id: str, words: int, percent: int) -> DataFrame:
@@ -494,20 +500,20 @@ def _grouped(docs: DataFrame, text: str, doc_id: str, words: int, percent: int)
 
     near = _could(F.col("pos"), F.col("n"), F.col("lead_pos"), F.col("lead_n"), percent)
     tried = _best(met.where(F.col("node") != F.col("lead")).where(near), classes, None, percent)
-    links = compare(tried)
-    mixed = _mixed(met, _labels(classes, links))
+    parts = _merged(classes.select("digest", "node", F.col("digest").alias("label")), compare(tried))
+    mixed = _mixed(met, _names(parts))
     for turn in range(1, ROUNDS + 1):
         found = cut_lineage(_across(mixed, classes, percent, turn if turn < ROUNDS else None).join(tried, ["a", "b"], "left_anti"))
         pairs = found.where("a is not null").select("a", "b", F.col("a").alias("hub"))
         if pairs.limit(1).count():
-            tried, links = tried.unionByName(pairs), links.unionByName(compare(pairs))
-        again = found.where("a is null").select("gram").distinct()
+            tried, parts = tried.unionByName(pairs), _merged(parts, compare(pairs))
+        again = found.where("a is null").select("gram")
         if not again.limit(1).count():
             break
-        mixed = _mixed(mixed.join(again, "gram", "left_semi"), _labels(classes, links))
-    labels = components(links)
+        some = _maybe(mixed.withColumn("__key", F.col("gram")), _bitmap(again.withColumnRenamed("gram", "__key"))).where("__maybe")
+        mixed = _mixed(some.join(again.distinct(), "gram", "left_semi"), _names(parts))
 
-    found = classes.join(labels.toDF("digest", "label"), "digest", "left").select("digest", "s", F.coalesce("label", "digest").alias("label"))
+    found = classes.select("digest", "s").join(parts.select("digest", "label"), "digest")
     least = found.groupBy("label").agg(F.min("s").alias("first"))
     group = found.join(least, "label").select(F.col("digest").alias("__digest"), "first")
     some = each.where("n > 0").join(group, F.col("digest") == F.col("__digest")).select("doc_id", "key", "n", "first")

@@ -13,47 +13,60 @@ arc leads to the state of h' with log b(h).  Reading a text leaves the automaton
 that is a state, so the states before all tokens of a block are looked up at once.
 
 Spark.  Texts are tokenised once, in blocks (one per scan task up to ``BLOCK_BYTES`` of text): a written
-table of token numbers local to the block, with each block's dictionary and training counts.  Counting is
-one window per order over the blocks' counts by a key of two longs: the history's fingerprint and the last
-word's.  A trigram is counted only where both its bigrams are kept, which it needs to be kept itself.  For
-scoring every block is told the counts of just its own words (where they differ from what the block
-counted itself) and n-grams: its part of the automaton, which gives the same scores as the whole one.
+table, bucketed by block, of token numbers local to the block, with its dictionary and training counts.
+Words and n-grams are counted by 64-bit fingerprints (words by 96 bits): a block sends its distinct ones in
+fingerprint order, packed, one row per range of fingerprints (``PART`` n-grams of the whole table on
+average); a range is summed in one task, and the answer to a block says in the same order which are kept,
+how often they are there and which the block leads, so that each is led by one block.  Leaders send
+what an n-gram takes of its history in the same way, and every block asks for the histories it has.
+A trigram is counted only where both its bigrams are kept, which it needs to be kept itself.  So a block
+has its part of the automaton, which gives the same scores as the whole one; blocks are not shuffled.
 Neither vocabulary nor n-grams are ever broadcast or collected.
 """
 
 from __future__ import annotations
 
 import math
+import uuid
 from array import array
 from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.taskcontext import TaskContext
 
 from riskframe.llm.text import id_remainder
-from riskframe.session import cut_lineage
+from riskframe.session import cut_lineage, ensure_checkpoint_dir
 
 ORDER = 3
 MIN_COUNT = 3
 DISCOUNT = 0.75
 FOLDS, HELD_OUT = 7, 2
-BLOCK_BYTES = 24 << 20
+BLOCK_BYTES = 9 << 20
 # word numbers inside a block's n-gram keys: 0 is none, 1 the text start, 2 on words with kept n-grams
 BITS = 21
 BOS = 1
 # fingerprint of the text start; the end token's is 0
 BOS_PRINT = 1
 END_KEY = b"\0" * 12
-BLOCK_SCHEMA = ("block long, docs array<struct<doc_id:long,held_out:boolean,tokens:binary>>, keys array<binary>, "
-                "counts array<long>")
+# n-grams of all blocks that one task sums at a time, on average
+PART = 1 << 20
+BLOCK_SCHEMA = ("block long, doc_ids array<long>, held array<boolean>, sizes array<int>, tokens binary, "
+                "keys binary, counts binary, n_tokens long, n_train long")
 _BLOCK = pa.schema([
-    ("block", pa.int64()),
-    ("docs", pa.list_(pa.struct([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("tokens", pa.binary())]))),
-    ("keys", pa.list_(pa.binary())), ("counts", pa.list_(pa.int64()))])
+    ("block", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("held", pa.list_(pa.bool_())), ("sizes", pa.list_(pa.int32())),
+    ("tokens", pa.binary()), ("keys", pa.binary()), ("counts", pa.binary()), ("n_tokens", pa.int64()), ("n_train", pa.int64())])
+# what rows between blocks and ranges are about
+WORD, BIGRAM, TRIGRAM, WORD_MASS, BIGRAM_MASS, HISTORIES = range(1, 7)
+ITEM_SCHEMA = "block long, kind int, part int, n int, prints binary, more binary, counts binary, others binary"
+_ITEM = pa.schema([("block", pa.int64()), ("kind", pa.int32()), ("part", pa.int32()), ("n", pa.int32()), ("prints", pa.binary()),
+                   ("more", pa.binary()), ("counts", pa.binary()), ("others", pa.binary())])
+ANSWER_SCHEMA = "block long, kind int, part int, n int, kept binary, leads binary, counts binary, others binary, types long"
+_ANSWER = pa.schema([("block", pa.int64()), ("kind", pa.int32()), ("part", pa.int32()), ("n", pa.int32()), ("kept", pa.binary()),
+                     ("leads", pa.binary()), ("counts", pa.binary()), ("others", pa.binary()), ("types", pa.int64())])
 SCORE_SCHEMA = "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double"
 
 
@@ -65,10 +78,11 @@ def word_key(word: bytes) -> bytes:
 def tokenise(rows: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """Blocks of (doc_id, held_out, text) rows; token 0 of every block is the end token."""
     def block(number: int, docs: list, words: dict, counts: np.ndarray) -> pa.RecordBatch:
-        keys = [END_KEY, *(word_key(w) for w in words if w is not None)]
-        return pa.RecordBatch.from_arrays([
-            pa.array([number], pa.int64()), pa.array([docs], _BLOCK.field("docs").type),
-            pa.array([keys], pa.list_(pa.binary())), pa.array([counts[:len(keys)]], pa.list_(pa.int64()))], schema=_BLOCK)
+        keys = b"".join([END_KEY, *(word_key(w) for w in words if w is not None)])
+        doc_ids, held, tokens = zip(*docs)
+        sizes, counts = [len(t) // 4 for t in tokens], counts[:len(words)]
+        row = [number, doc_ids, held, sizes, b"".join(tokens), keys, counts.tobytes(), sum(sizes), int(counts.sum())]
+        return pa.RecordBatch.from_arrays([pa.array([x], f.type) for x, f in zip(row, _BLOCK)], schema=_BLOCK)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = TaskContext.get().partitionId() << 24
@@ -92,7 +106,7 @@ def tokenise(rows: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
                 if not held.as_py():
                     some, n = np.unique(ids, return_counts=True)
                     counts[some] += n
-                docs.append({"doc_id": doc_id.as_py(), "held_out": held.as_py(), "tokens": ids.tobytes()})
+                docs.append((doc_id.as_py(), held.as_py(), ids.tobytes()))
                 size += 8 * len(found) + 64
         if docs:
             yield block(number, docs, words, counts)
@@ -100,46 +114,173 @@ def tokenise(rows: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     return rows.mapInArrow(run, BLOCK_SCHEMA)
 
 
-def _prints(keys: pa.Array) -> np.ndarray:
-    """64-bit fingerprints of a block's words, and the text start's behind them."""
-    raw = np.frombuffer(b"".join(keys.to_pylist()), np.uint8).reshape(-1, len(END_KEY))[:, :8]
-    return np.append(np.ascontiguousarray(raw).view(">i8").ravel().astype(np.int64), BOS_PRINT)
+def _bucketed(blocks: DataFrame) -> DataFrame:
+    """Blocks written once, bucketed by number, so that answers come to them and they stay."""
+    spark = blocks.sparkSession
+    name = f"blocks_{uuid.uuid4().hex}"
+    (blocks.write.bucketBy(int(spark.conf.get("spark.sql.shuffle.partitions")), "block").option("compression", "zstd")
+     .option("path", f"{ensure_checkpoint_dir(spark)}/{name}").saveAsTable(name))
+    return spark.table(name)
+
+
+def _joint(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Fingerprints of what two fingerprints name one behind the other."""
+    h = a.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    h ^= h >> np.uint64(32)
+    h = (h ^ b.view(np.uint64)) * np.uint64(0xBF58476D1CE4E5B9)
+    h ^= h >> np.uint64(29)
+    h *= np.uint64(0x94D049BB133111EB)
+    return h ^ (h >> np.uint64(32))
+
+
+def _pack(values: np.ndarray) -> bytes:
+    """Numbers of 4 or 8 bytes, all first bytes first, then all second ones: small numbers leave little."""
+    values = np.ascontiguousarray(values)
+    planes = values.view(np.uint8).reshape(-1, values.itemsize).T
+    return pa.compress(planes.tobytes(), "zstd", asbytes=True)
+
+
+def _unpack(data: bytes, n: int, kind: type) -> np.ndarray:
+    size = np.dtype(kind).itemsize
+    planes = np.frombuffer(pa.decompress(data, n * size, "zstd"), np.uint8).reshape(size, n)
+    return np.ascontiguousarray(planes.T).view(kind).ravel()
+
+
+def _items(number: int, kind: int, parts: int, prints: np.ndarray, counts: np.ndarray, others: np.ndarray | None = None,
+           more: np.ndarray | None = None) -> Iterator[tuple]:
+    """Rows of a block's sorted fingerprints, one per range that has some."""
+    part = (((prints >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)).astype(np.int64)
+    at = np.searchsorted(part, np.arange(parts + 1))
+    for i in np.flatnonzero(at[1:] > at[:-1]).tolist():
+        own = slice(int(at[i]), int(at[i + 1]))
+        steps = np.diff(prints[own], prepend=np.uint64(0))
+        yield (number, kind, i, own.stop - own.start, _pack(steps), None if more is None else more[own].tobytes(),
+               _pack(counts[own]), None if others is None else _pack(others[own]))
+
+
+def _batches(rows: Iterable[tuple], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+    held: list[tuple] = []
+    for row in rows:
+        held.append(row)
+        if len(held) == 64:
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*held), schema)], schema=schema)
+            held = []
+    if held:
+        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*held), schema)], schema=schema)
+
+
+def _summed(items: DataFrame, min_count: int) -> DataFrame:
+    """The answers to items of all blocks: of each the sum over blocks, where it is kept, and whether the block leads it.
+
+    Words are all kept, n-grams from ``min_count`` on, and masses where there are some.
+    """
+    def run(key: tuple, rows: pa.Table) -> pa.Table:
+        rows = rows.sort_by("block")
+        kind, sizes = key[0].as_py(), rows.column("n").to_numpy()
+
+        def column(name: str, dtype: type) -> np.ndarray:
+            return np.concatenate([_unpack(x.as_buffer(), int(n), dtype) for x, n in zip(rows.column(name), sizes)])
+
+        prints = np.concatenate([np.cumsum(_unpack(x.as_buffer(), int(n), np.uint64), dtype=np.uint64)
+                                 for x, n in zip(rows.column("prints"), sizes)])
+        if kind == WORD:
+            more = np.concatenate([np.frombuffer(x.as_buffer(), np.uint32) for x in rows.column("more")])
+            order = np.lexsort((more, prints))
+            new = np.append(True, (np.diff(prints[order]) != 0) | (np.diff(more[order].astype(np.int64)) != 0))
+        else:
+            order = np.argsort(prints)
+            new = np.append(True, np.diff(prints[order]) != 0)
+        start, group = np.flatnonzero(new), np.empty(len(order), np.int32)
+        group[order] = np.cumsum(new) - 1
+        total = np.add.reduceat(column("counts", np.int64)[order], start)
+        other = None
+        if kind in (WORD_MASS, BIGRAM_MASS):
+            other = np.add.reduceat(column("others", np.int64)[order], start)
+            keep = other > 0
+        else:
+            keep = total >= (0 if kind == WORD else min_count)
+        leads = np.zeros(len(order), bool)
+        leads[order[start]] = True
+        out, at = [], 0
+        for block, n in zip(rows.column("block").to_pylist(), sizes.tolist()):
+            own, first = group[at:at + n], leads[at:at + n]
+            kept = keep[own]
+            own, first = own[kept], first[kept]
+            out.append((block, kind, key[1].as_py(), n, np.packbits(kept).tobytes(), np.packbits(first).tobytes(),
+                        _pack(total[own]), None if other is None else _pack(other[own]),
+                        int((total[own][first] > 0).sum()) if kind == WORD else 0))
+            at += n
+        return pa.Table.from_batches(_batches(out, _ANSWER), schema=_ANSWER)
+
+    return items.groupBy("kind", "part").applyInArrow(run, ANSWER_SCHEMA)
+
+
+class Answers:
+    """A block's answers, by kind in the order of the block's items."""
+
+    def __init__(self, found: pa.Table) -> None:
+        self.rows: dict[int, list[dict]] = {}
+        for row in found.sort_by("part").to_pylist():
+            self.rows.setdefault(row["kind"], []).append(row)
+
+    def of(self, kind: int) -> tuple[np.ndarray, ...]:
+        """(kept, leads, counts, others): ``kept`` for all items, the rest for kept ones."""
+        parts: list[list[np.ndarray]] = [[np.zeros(0, bool)], [np.zeros(0, bool)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]]
+        for row in self.rows.get(kind, []):
+            kept = np.unpackbits(np.frombuffer(row["kept"], np.uint8), count=row["n"]).astype(bool)
+            k = int(kept.sum())
+            parts[0].append(kept)
+            parts[1].append(np.unpackbits(np.frombuffer(row["leads"], np.uint8), count=k).astype(bool))
+            parts[2].append(_unpack(row["counts"], k, np.int64))
+            parts[3].append(np.zeros(k, np.int64) if row["others"] is None else _unpack(row["others"], k, np.int64))
+        return tuple(np.concatenate(p) for p in parts)
 
 
 class Block:
-    """A block's token row with its n-grams in a fixed order, by which Spark's answers name them."""
-
-    def __init__(self, docs: pa.Array, n_words: int) -> None:
-        docs = docs.values if isinstance(docs, pa.ListScalar) else docs
-        fields = docs.flatten()
-        self.doc_ids, self.held = fields[0].to_pylist(), fields[1].to_numpy(zero_copy_only=False)
-        rows = [np.frombuffer(t.as_buffer(), np.int32) for t in fields[2]]
-        self.sizes = np.array([len(r) for r in rows], np.int64)
-        self.n_words = n_words
+    """A block's token row with its words and n-grams in the order of their fingerprints."""
+
+    def __init__(self, row: dict) -> None:
+        self.number, self.doc_ids, self.held = row["block"], row["doc_ids"], np.array(row["held"], bool)
+        self.sizes, tokens = np.array(row["sizes"], np.int64), np.frombuffer(row["tokens"], np.int32)
+        self.counts = np.frombuffer(row["counts"], np.int64).copy()
+        self.n_words = len(self.counts)
+        raw = np.frombuffer(row["keys"], np.uint8).reshape(-1, len(END_KEY))
+        words = np.ascontiguousarray(raw[:, :8]).view(">u8").ravel().astype(np.uint64)
+        self.more = np.ascontiguousarray(raw[:, 8:]).view(np.uint32).ravel()
+        self.order = np.lexsort((self.more, words))
+        # the text start's is behind the words'
+        self.prints = np.append(words, np.uint64(BOS_PRINT))
         # every text has the text start before it
-        self.row = np.empty(int(self.sizes.sum()) + len(rows), np.int64)
-        at = 0
-        for r in rows:
-            self.row[at] = n_words
-            self.row[at + 1:at + 1 + len(r)] = r
-            at += 1 + len(r)
+        starts = np.cumsum(self.sizes + 1) - self.sizes - 1
+        self.row = np.empty(len(tokens) + len(self.sizes), np.int64)
+        is_token = np.ones(len(self.row), bool)
+        is_token[starts] = False
+        self.row[starts], self.row[is_token] = self.n_words, tokens
         self.train = np.repeat(~self.held, self.sizes + 1)
 
-    def _count(self, keys: np.ndarray, ok: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Distinct keys of all texts where ``ok``, and how often training texts have them."""
-        every = np.unique(keys[ok])
-        seen, n = np.unique(keys[ok & self.train[:len(keys)]], return_counts=True)
-        counts = np.zeros(len(every), np.int64)
-        counts[np.searchsorted(every, seen)] = n
-        return every, counts
+    def words(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Fingerprints, the rest of the keys, and training counts of the words, in order."""
+        return self.prints[self.order], self.more[self.order], self.counts[self.order]
 
-    def bigrams(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """First words, second words and training counts of the distinct bigrams."""
+    def bigrams(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Fingerprints, first words, second words and training counts of the distinct bigrams of all texts."""
         row = self.row
-        keys, n = self._count((row[:-1] << 31) | row[1:], row[1:] != self.n_words)
-        return keys >> 31, keys & ((1 << 31) - 1), n
-
-    def number(self, words: np.ndarray) -> np.ndarray:
+        keys = ((row[:-1] << 32) | (row[1:] << 1) | self.train[1:])[row[1:] != self.n_words]
+        keys.sort()
+        pairs = keys >> 1
+        start = np.flatnonzero(np.append(True, pairs[1:] != pairs[:-1]))
+        n, pairs = np.add.reduceat(keys & 1, start), pairs[start]
+        first, second = pairs >> 31, pairs & ((1 << 31) - 1)
+        prints = _joint(self.prints[first], self.prints[second])
+        order = np.argsort(prints, kind="stable")
+        return prints[order], first[order], second[order], n[order]
+
+    def histories(self, least: int) -> np.ndarray:
+        """Words of at least so many counts, and the text start, in the order of their fingerprints."""
+        some = np.append(np.flatnonzero(self.counts >= least), self.n_words)
+        return some[np.argsort(self.prints[some], kind="stable")]
+
+    def number_words(self, words: np.ndarray) -> np.ndarray:
         """Numbers of words for n-gram keys; larger words have larger numbers, the text start has ``BOS``."""
         out = np.zeros(self.n_words + 1, np.int64)
         words = np.unique(words[words < self.n_words])
@@ -149,87 +290,107 @@ class Block:
         out[self.n_words] = BOS
         return out
 
-    def trigrams(self, of: np.ndarray, bigrams: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Keys and training counts of the distinct trigrams whose bigrams are both among the sorted keys."""
+    def trigrams(self, of: np.ndarray, bigrams: np.ndarray, prints: np.ndarray) -> tuple[np.ndarray, ...]:
+        """(fingerprints, keys, places of the histories, training counts) of the distinct trigrams whose bigrams are both
+        among the sorted keys, with ``prints`` of these bigrams."""
         row = of[self.row]
         known = _find(bigrams, (row[:-1] << BITS) | row[1:])[1] & (self.row[1:] != self.n_words)
-        keys = (((row[:-2] << BITS) | row[1:-1]) << BITS) | row[2:]
-        return self._count(keys, known[:-1] & known[1:])
-
-
-def _parts(number: int, columns: list[np.ndarray], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
-    """Rows (block, local, ...) of a block's n-grams."""
-    n = len(columns[0])
-    columns = [np.full(n, number), np.arange(n, dtype=np.int32), *columns]
-    for at in range(0, n, 100_000):
-        yield pa.record_batch([pa.array(c[at:at + 100_000]) for c in columns], schema=schema)
-
-
-GRAM_SCHEMA = "block long, local int, history long, word long, n long"
-_GRAM = pa.schema([("block", pa.int64()), ("local", pa.int32()), ("history", pa.int64()), ("word", pa.int64()), ("n", pa.int64())])
-
-
-def count_bigrams(blocks: DataFrame) -> DataFrame:
-    """(block, local, history, word, n): the bigrams of each block with their training counts.
+        ok = known[:-1] & known[1:]
+        keys = ((((row[:-2] << BITS) | row[1:-1]) << BITS) | row[2:])[ok]
+        keys = (keys.astype(np.uint64) << np.uint64(1)) | self.train[:-2][ok]
+        keys.sort()
+        start = np.flatnonzero(np.append(True, (keys[1:] ^ keys[:-1]) > 1)) if len(keys) else np.zeros(0, np.int64)
+        n = np.add.reduceat(keys & np.uint64(1), start).astype(np.int64) if len(keys) else start
+        every = (keys[start] >> np.uint64(1)).astype(np.int64)
+        word_of = np.zeros(1 + int(of.max()), np.uint64)
+        word_of[of] = self.prints
+        history = np.searchsorted(bigrams, every >> BITS)
+        found = _joint(prints[history], word_of[every & ((1 << BITS) - 1)])
+        order = np.argsort(found, kind="stable")
+        return found[order], every[order], history[order], n[order]
+
+
+def first_items(blocks: DataFrame, parts: int) -> DataFrame:
+    """The blocks' words and bigrams with their training counts.
 
     N-grams of held-out texts are there too, with what training texts add to them; they are the
     block's questions to the model.
     """
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def rows(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple]:
         for batch in batches:
-            for row in range(batch.num_rows):
-                prints = _prints(batch.column(2)[row].values)
-                first, second, n = Block(batch.column(1)[row], len(prints) - 1).bigrams()
-                yield from _parts(batch.column(0)[row].as_py(), [prints[first], prints[second], n], _GRAM)
+            for at in range(batch.num_rows):
+                block = Block(batch.slice(at, 1).to_pylist()[0])
+                prints, more, n = block.words()
+                yield from _items(block.number, WORD, parts, prints, n, more=more)
+                prints, _, _, n = block.bigrams()
+                yield from _items(block.number, BIGRAM, parts, prints, n)
 
-    return blocks.select("block", "docs", "keys").mapInArrow(run, GRAM_SCHEMA)
+    return blocks.mapInArrow(lambda batches: _batches(rows(batches), _ITEM), ITEM_SCHEMA)
 
 
-def _kept_bigrams(block: Block, local: np.ndarray, more: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Word numbers, sorted keys of the kept bigrams, and the order of ``local`` that sorts them.
+def _kept_bigrams(block: Block, answers: Answers, more: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Word numbers, sorted keys of the kept bigrams, their counts and fingerprints, whether the block leads them,
+    their first words, and the places in key order of the bigrams in fingerprint order.
 
     ``more`` are words that need a number besides those of the bigrams.
     """
-    first, second, _ = block.bigrams()
-    first, second = first[local], second[local]
-    of = block.number(np.concatenate([first, second, more]))
+    prints, first, second, _ = block.bigrams()
+    kept, leads, n, _ = answers.of(BIGRAM)
+    prints, first, second = prints[kept], first[kept], second[kept]
+    of = block.number_words(np.concatenate([first, second, more]))
     keys = (of[first] << BITS) | of[second]
     order = np.argsort(keys)
-    return of, keys[order], order
-
+    place = np.empty(len(order), np.int64)
+    place[order] = np.arange(len(order))
+    return of, keys[order], n[order], prints[order], leads[order], first[order], place
+
+
+def second_items(blocks: DataFrame, answers: DataFrame, parts: int, min_count: int) -> DataFrame:
+    """The blocks' trigrams whose bigrams are both kept, their places of histories, and what led bigrams take of words."""
+    def rows(block: Block, found: Answers) -> Iterator[tuple]:
+        block.counts[block.order] = found.of(WORD)[2]
+        of, keys, n, prints, leads, first, place = _kept_bigrams(block, found, np.zeros(0, np.int64))
+        asked = block.histories(min_count)
+        taken, times = np.zeros(block.n_words + 1, np.int64), np.zeros(block.n_words + 1, np.int64)
+        np.add.at(taken, first[leads], n[leads])
+        np.add.at(times, first[leads], 1)
+        yield from _items(block.number, WORD_MASS, parts, block.prints[asked], taken[asked], times[asked])
+        by_key = np.empty(len(place), np.int64)
+        by_key[place] = np.arange(len(place))
+        tri, _, history, n = block.trigrams(of, keys, prints)
+        yield from _items(block.number, TRIGRAM, parts, tri, n)
+        # for the next step: fingerprints of kept bigrams, and of each trigram its history's place among them
+        steps = np.diff(prints[place], prepend=np.uint64(0))
+        yield (block.number, HISTORIES, 0, len(place), _pack(steps), None, _pack(by_key[history].astype(np.int32)),
+               len(history).to_bytes(8, "little"))
 
-def count_trigrams(blocks: DataFrame, kept: DataFrame) -> DataFrame:
-    """(block, local, history, word, n): trigrams of each block whose bigrams are both kept."""
     def run(key: tuple, block: pa.Table, found: pa.Table) -> pa.Table:
-        out = []
-        for row in range(block.num_rows):
-            prints = _prints(block.column("keys")[row].values)
-            own = Block(block.column("docs")[row], len(prints) - 1)
-            of, bigrams, order = _kept_bigrams(own, found.column("local").to_numpy(), np.zeros(0, np.int64))
-            keys, n = own.trigrams(of, bigrams)
-            word_of = np.zeros(1 + int(of.max()), np.int64)
-            word_of[of] = prints
-            history = found.column("print").to_numpy()[order][np.searchsorted(bigrams, keys >> BITS)]
-            out += _parts(block.column("block")[row].as_py(), [history, word_of[keys & ((1 << BITS) - 1)], n], _GRAM)
-        return pa.Table.from_batches(out, schema=_GRAM)
+        out = [b for row in block.to_pylist() for b in _batches(rows(Block(row), Answers(found)), _ITEM)]
+        return pa.Table.from_batches(out, schema=_ITEM)
+
+    return blocks.groupBy("block").cogroup(_to_block(answers)).applyInArrow(run, ITEM_SCHEMA)
 
-    return blocks.select("block", "docs", "keys").groupBy("block").cogroup(
-        kept.select(F.col("block").alias("to"), "local", "print").groupBy("to")).applyInArrow(run, GRAM_SCHEMA)
 
+def third_items(second: DataFrame, answers: DataFrame, parts: int) -> DataFrame:
+    """What led trigrams take of the kept bigrams that a block has."""
+    def run(key: tuple, own: pa.Table, found: pa.Table) -> pa.Table:
+        _, leads, n, _ = (kept := Answers(found).of(TRIGRAM))
+        out = []
+        for row in own.to_pylist():
+            size = int.from_bytes(row["others"], "little")
+            history = _unpack(row["counts"], size, np.int32)[kept[0]][leads]
+            prints = np.cumsum(_unpack(row["prints"], row["n"], np.uint64), dtype=np.uint64)
+            taken, times = np.zeros(row["n"], np.int64), np.bincount(history, minlength=row["n"])
+            np.add.at(taken, history, n[leads])
+            out += _batches(_items(row["block"], BIGRAM_MASS, parts, prints, taken, times), _ITEM)
+        return pa.Table.from_batches(out, schema=_ITEM)
 
-def keep_ngrams(counted: DataFrame, min_count: int) -> DataFrame:
-    """(block, local, history, n, leads, print): n-grams seen often enough, with their counts over all blocks."""
-    # a block has one row per n-gram, so a window over a key holds at most one row per block
-    of_key = Window.partitionBy("history", "word")
-    rows = counted.select("*", F.sum("n").over(of_key).alias("all"), F.min("block").over(of_key).alias("first"))
-    return rows.where(F.col("all") >= min_count).select(
-        "block", "local", "history", F.col("all").alias("n"), (F.col("block") == F.col("first")).alias("leads"),
-        F.xxhash64("history", "word").alias("print"))
+    own = second.where(F.col("kind") == HISTORIES).select("block", "n", "prints", "counts", "others")
+    return own.groupBy("block").cogroup(_to_block(answers.where(F.col("kind") == TRIGRAM))).applyInArrow(run, ITEM_SCHEMA)
 
 
-def mass_of(kept: DataFrame, discount: float) -> DataFrame:
-    """(print, mass): what a history's kept n-grams take of it."""
-    return kept.where("leads").groupBy(F.col("history").alias("print")).agg(F.sum(F.col("n") - discount).alias("mass"))
+def _to_block(answers: DataFrame):
+    return answers.drop("types").withColumnRenamed("block", "to").groupBy("to")
 
 
 def _find(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -343,58 +504,35 @@ def score(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", min_count
     held = id_remainder(doc_id, FOLDS) == HELD_OUT
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), held.alias("held_out"),
                        F.col(text).cast("string").alias("text"))
-    blocks = cut_lineage(tokenise(rows, block_bytes))
-    asked = blocks.select("block", F.posexplode(F.arrays_zip("keys", "counts")).alias("local", "w")).select(
-        "block", "local", F.col("w.keys").alias("key"), F.col("w.counts").alias("n"))
-    total = blocks.agg(F.coalesce(F.sum(F.aggregate("counts", F.lit(0).cast("long"), lambda a, n: a + n)), F.lit(0))).first()[0]
-
-    # a block has one row per word, so a window over a key holds at most one row per block
-    of_key = Window.partitionBy("key")
-    first_block = F.min("block").over(of_key)
-    words = cut_lineage(
-        asked.select("block", F.col("local").cast("int").alias("local"), "n", F.sum("n").over(of_key).alias("all"),
-                     (F.col("block") == first_block).alias("leads"),
-                     F.conv(F.hex(F.substring("key", 1, 8)), 16, -10).cast("long").alias("print"))
-        .select("block", "local", F.col("all").alias("n"), (F.col("all") != F.col("n")).alias("differs"), "leads", "print"))
-    types = words.where("leads and n > 0").count()
-
-    bigrams = cut_lineage(keep_ngrams(count_bigrams(blocks), min_count))
-    trigrams = cut_lineage(keep_ngrams(count_trigrams(blocks, bigrams), min_count))
-    after_word = cut_lineage(mass_of(bigrams, discount))
-    start = after_word.where(F.col("print") == BOS_PRINT).first()
-    start_mass = start["mass"] if start else None
-
-    # a block knows its own counts: it is told those that differ, and the masses of its histories
-    def answer(found: DataFrame, order: int, mass: Column) -> DataFrame:
-        return found.select(F.col("block").alias("to"), F.lit(order).alias("order"), "local", "n", mass.alias("mass"))
-
-    answers = answer(words.join(after_word, "print", "left").where("differs or mass is not null"), 1, F.col("mass"))
-    answers = answers.unionByName(answer(bigrams.join(mass_of(trigrams, discount), "print", "left"), 2, F.col("mass")))
-    answers = answers.unionByName(answer(trigrams, 3, F.lit(None).cast("double")))
+    blocks = _bucketed(tokenise(rows, block_bytes))
+    tokens, total = blocks.agg(F.coalesce(F.sum("n_tokens"), F.lit(0)), F.coalesce(F.sum("n_train"), F.lit(0))).first()
+    parts = max(16, -(-tokens // PART))
+    first = cut_lineage(_summed(first_items(blocks, parts), min_count))
+    types = first.agg(F.coalesce(F.sum("types"), F.lit(0))).first()[0]
+    asked = cut_lineage(second_items(blocks, first, parts, min_count))
+    second = cut_lineage(_summed(asked.where(F.col("kind") != HISTORIES), min_count))
+    third = _summed(third_items(asked, second, parts), min_count)
+    answers = first.unionByName(second).unionByName(third)
     unseen = math.log10(1 / (total + types + 1))
 
     def run(key: tuple, block: pa.Table, found: pa.Table) -> pa.Table:
-        order, local, n = (found.column(c).to_numpy() for c in ("order", "local", "n"))
-        masses = found.column("mass").to_numpy(zero_copy_only=False)
         out = []
-        for row in range(block.num_rows):
-            counts = block.column("counts")[row].values.to_numpy().copy()
-            word, two, three = order == 1, order == 2, order == 3
-            counts[local[word]] = n[word]
+        for row in block.to_pylist():
+            own, told = Block(row), Answers(found)
+            counts = own.counts
+            counts[own.order] = told.of(WORD)[2]
             base = np.where(counts > 0, np.log10((counts + 1.0) / (total + types + 1)), unseen)
-            own = Block(block.column("docs")[row], len(counts))
-            histories = local[word & ~np.isnan(masses)]
-            of, pairs, sort = _kept_bigrams(own, local[two], histories)
-            pair_n, pair_mass = n[two][sort], masses[two][sort]
-            keys = own.trigrams(of, pairs)[0][local[three]]
+            some, _, taken, times = told.of(WORD_MASS)
+            histories = own.histories(min_count)[some]
+            of, pairs, pair_n, prints, _, _, place = _kept_bigrams(own, told, histories)
+            _, keys, _, _ = own.trigrams(of, pairs, prints)
+            kept, _, n, _ = told.of(TRIGRAM)
             used = np.flatnonzero(of[:-1])
-            taken = ~np.isnan(pair_mass)
-            mass = [of[histories], pairs[taken]], [masses[word & ~np.isnan(masses)], pair_mass[taken]]
-            if start_mass is not None:
-                mass[0].append(np.array([BOS])), mass[1].append(np.array([start_mass]))
+            longer, _, pair_taken, pair_times = told.of(BIGRAM_MASS)
             automaton = Automaton(
-                (np.concatenate([pairs, keys]), np.concatenate([pair_n, n[three]])),
-                (np.concatenate(mass[0]), np.concatenate(mass[1])),
+                (np.concatenate([pairs, keys[kept]]), np.concatenate([pair_n, n])),
+                (np.concatenate([of[histories], pairs[place][longer]]),
+                 np.concatenate([taken - discount * times, pair_taken - discount * pair_times])),
                 # a text starts as often as one ends
                 (np.append(of[used], BOS), np.append(counts[used], counts[0])), (of[used], base[used]), discount)
             padded = np.append(base, 0.0)[own.row]
@@ -408,7 +546,6 @@ def score(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", min_count
             zip(*out), [pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64()])],
             names=["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score"])
 
-    scored = blocks.select("block", "docs", "counts").groupBy("block").cogroup(answers.groupBy("to")).applyInArrow(
-        run, SCORE_SCHEMA)
+    scored = blocks.groupBy("block").cogroup(_to_block(answers)).applyInArrow(run, SCORE_SCHEMA)
     return scored.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"),
                          "base_score", "score")

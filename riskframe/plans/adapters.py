@@ -107,9 +107,16 @@ def _select(df: DataFrame, columns: dict[str, str]) -> DataFrame:
     return df.select(*[F.expr(sql).alias(name) for name, sql in columns.items()])
 
 
-def loads(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Raw loan loads: several per loan.  Joins plan themselves by size (nation is 25 rows)."""
+def loads(spark: SparkSession, sf_dir: str, turn: tuple[int, int] = (0, 1)) -> DataFrame:
+    """Raw loan loads: several per loan.  Joins plan themselves by size (nation is 25 rows).
+
+    ``turn`` (i, n) gives the i-th of n shares, by loan, for results that are written share by share.
+    """
     li, o = table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "orders")
+    at, turns = turn
+    if turns > 1:
+        li, o = (df.where(F.pmod(F.xxhash64(F.col(key).cast("long")), F.lit(turns)) == at)
+                 for df, key in ((li, "l_orderkey"), (o, "o_orderkey")))
     c, n = table(spark, sf_dir, "customer"), table(spark, sf_dir, "nation")
     people = c.join(n, F.col("c_nationkey") == F.col("n_nationkey"))
     # customers join before the line items, so the order key partitioning of the large join is

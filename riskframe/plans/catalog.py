@@ -36,7 +36,7 @@ from riskframe.operators import timeseries as W
 from riskframe.operators.upsert import dedup_latest, upsert
 from riskframe.plans import adapters as A
 from riskframe.plans import mart, rules
-from riskframe.session import cut_lineage, ensure_checkpoint_dir, split_huge_methods
+from riskframe.session import cut_lineage, ensure_checkpoint_dir, shuffles_removed, split_huge_methods
 from riskframe.sources import files as SRC
 from riskframe.sources.commits import AppendTable, BucketTable
 from riskframe.sources.tables import latest_version
@@ -140,8 +140,8 @@ def final_features(spark, d):
 
 # ---- sources ----------------------------------------------------------------------------------
 
-def _loads_text(spark: SparkSession, d: str) -> DataFrame:
-    raw = A.loads(spark, d)
+def _loads_text(spark: SparkSession, d: str, turn: tuple[int, int] = (0, 1)) -> DataFrame:
+    raw = A.loads(spark, d, turn)
     text = {S.CSV_RENAMES.get(n, n): (F.date_format(n, S.CSV_DATE_FORMAT) if k == "date" else F.col(n).cast("string"))
             for n, k in S.RAW_LOAN_FIELDS if n != "loaded_at"}
     return raw.select(*[c.alias(n) for n, c in text.items()])
@@ -153,15 +153,23 @@ def clean_loans(spark, d):
     return A.plain(SRC.clean_loans(_loads_text(spark, d)))
 
 
+# shares the CSV is written in: only one share's shuffle files are there at a time
+CSV_TURNS = 4
+# text takes a fifth of its size; such a file is read by one task, so none gets too many rows
+CSV_PACKING = {"compression": "gzip", "zlib.compress.level": "BEST_SPEED", "maxRecordsPerFile": 250_000}
+
+
 @query
 def csv_loans(spark, d):
     """Loads written as CSV in another column order beside unknown columns, read by header name."""
-    text = _loads_text(spark, d)
-    names = sorted(text.columns, reverse=True)
     note = F.concat(F.lit('of "'), "id", F.lit('", as filed'))
     path = f"{ensure_checkpoint_dir(spark)}/loads-{uuid.uuid4().hex}"
-    text.select(*names[:5], note.alias("note"), *names[5:], F.lit("").alias("url")).write.options(
-        header=True, escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False).csv(path)
+    for turn in range(CSV_TURNS):
+        text = _loads_text(spark, d, (turn, CSV_TURNS))
+        names = sorted(text.columns, reverse=True)
+        with shuffles_removed(spark):
+            text.select(*names[:5], note.alias("note"), *names[5:], F.lit("").alias("url")).write.mode("append").options(
+                header=True, escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False, **CSV_PACKING).csv(path)
     return A.plain(SRC.clean_loans(SRC.read_csv(spark, path)))
 
 

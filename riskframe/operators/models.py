@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from riskframe import schemas as S
 from riskframe.functions.scalar import APPROVAL_THRESHOLD, approved, risk_tier
 from riskframe.operators.boosting import HistModel, fit_hist_boost, score_hist_boost
+from riskframe.operators.gradient import fit_gradient_trees
 from riskframe.operators.metrics import extended_metrics
 from riskframe.operators.prep import (
     CategoryCodes, Imputer, fit_codes, fit_imputer, present, temporal_split,
@@ -32,8 +33,7 @@ LOGREG_C = 1.0
 def fit_gbt(train: DataFrame, features: str = "features", label: str = "label",
             params: dict[str, Any] | None = None) -> Model:
     """Gradient-boosted trees."""
-    # the boosting loop cuts its own lineage into spark.checkpoint.dir when that is set
-    return GBTClassifier(featuresCol=features, labelCol=label, **{**GBT_PARAMS, **(params or {})}).fit(train)
+    return fit_gradient_trees(train, GBTClassifier(featuresCol=features, labelCol=label, **{**GBT_PARAMS, **(params or {})}))
 
 
 def fit_logreg(train: DataFrame, features: str = "features", label: str = "label",

@@ -262,9 +262,10 @@ def _spark_model(estimator: GBTClassifier, trees: Sequence[VarianceTree], splits
                  weights: Sequence[float], sc: Any) -> GBTClassificationModel:
     """The trees as Spark ML's model; a split whose leaves predict alike is one leaf, as there."""
     jvm, gateway = sc._jvm, sc._gateway
-    nodes = jvm.org.apache.spark.ml.tree
+    # looked up once: each look-up asks the JVM
+    nodes, part_of = jvm.org.apache.spark.ml.tree, jvm.java.util.Arrays.copyOfRange
+    leaf, inner, cut_at = nodes.LeafNode, nodes.InternalNode, nodes.ContinuousSplit
     calculator = jvm.org.apache.spark.mllib.tree.impurity.VarianceCalculator
-    arrays = jvm.java.util.Arrays
 
     def doubles(values: Sequence[float]) -> Any:
         out = gateway.new_array(jvm.double, len(values))
@@ -275,16 +276,17 @@ def _spark_model(estimator: GBTClassifier, trees: Sequence[VarianceTree], splits
         shape, stats = t.shape, doubles(t.stats.ravel().tolist())
         impurity = _impurity(t.stats).tolist()
 
-        def node(i: int) -> tuple[Any, bool]:
-            own = calculator(arrays.copyOfRange(stats, 3 * i, 3 * i + 3), int(t.stats[i, 0]))
+        def node(i: int) -> tuple[Any, float | None]:
+            """The node, and its prediction if it is a leaf."""
+            own = calculator(part_of(stats, 3 * i, 3 * i + 3), int(t.stats[i, 0]))
             value, f = float(shape.value[i]), int(shape.feature[i])
             if f < 0:
-                return nodes.LeafNode(value, impurity[i] if t.valid[i] else -1.0, own), True
+                return leaf(value, impurity[i] if t.valid[i] else -1.0, own), value
             (left, a), (right, b) = node(2 * i + 1), node(2 * i + 2)
-            if a and b and left.prediction() == right.prediction():
-                return nodes.LeafNode(left.prediction(), impurity[i], own), True
-            cut = nodes.ContinuousSplit(f, float(splits[f][shape.cut[i]]))
-            return nodes.InternalNode(value, impurity[i], float(shape.gain[i]), left, right, cut, own), False
+            if a is not None and a == b:
+                return leaf(a, impurity[i], own), a
+            cut = cut_at(f, float(splits[f][shape.cut[i]]))
+            return inner(value, impurity[i], float(shape.gain[i]), left, right, cut, own), None
 
         return node(0)[0]
 

@@ -3,7 +3,7 @@
 The trees are those of ``GBTClassifier`` with log loss: the same sampled split candidates, variance gain,
 stopping rules and order of sums in a partition; what is returned is an ordinary ``GBTClassificationModel``.
 Spark's own fit keeps an object a row and walks it for every level of every tree.  Here a row is a byte per
-feature, a byte for its label and its prediction so far, in blocks of ``BLOCK`` rows that Spark keeps (in
+feature, a byte for its label and eight for its prediction so far, in blocks of ``BLOCK`` rows that Spark keeps (in
 memory, else on disk); a level is one job of one stage that sums rows, residuals and squared residuals per
 (node, feature, bin).  The driver sees only these sums, whose number is set by depth, features and bins.
 
@@ -36,7 +36,9 @@ LEAST_SAMPLE = 10_000
 EPSILON = float(np.finfo(float).eps)
 CHECKPOINT = 10
 # rows of a task, unless fewer tasks would leave cores without one
-TASK_ROWS = 1 << 19
+TASK_ROWS = 1 << 20
+# more tasks' sums than these are added up in tasks first
+DIRECT_PARTS = 256
 
 
 def split_points(values: np.ndarray, max_splits: int, expected: float) -> np.ndarray:
@@ -209,7 +211,7 @@ class VarianceTree:
 
 
 def _level_sums(blocks: RDD, tree: VarianceTree, p: int, width: int, first_tree: bool) -> np.ndarray:
-    """(open node, feature, bin, 3): rows, residuals and their squares; parts are added in order."""
+    """(open node, feature, bin, 3): rows, residuals and their squares; few parts are added in order."""
     count, missing = len(tree.open), [MISSING] * p
     masks, rank = None, None
     if tree.open != [0]:
@@ -238,7 +240,8 @@ def _level_sums(blocks: RDD, tree: VarianceTree, p: int, width: int, first_tree:
                 sums[2, k] += np.bincount(cell, squares, size)
         yield sums
 
-    found = blocks.mapPartitions(run).collect()
+    parts = blocks.mapPartitions(run)
+    found = parts.collect() if parts.getNumPartitions() <= DIRECT_PARTS else [parts.treeReduce(np.add)]
     total = np.zeros((3, p, count * width))
     for sums in found:
         total += sums

@@ -46,9 +46,11 @@ def test_trees_are_spark_mls(spark, n, parts, params):
     assert {p.name: v for p, v in got.extractParamMap().items()} == {p.name: v for p, v in want.extractParamMap().items()}
 
 
-def test_many_partitions_give_the_same_scores(spark, monkeypatch):
+@pytest.mark.parametrize("parts, direct", [(5, 256), (20, 256), (5, 2)])  # 20 are more than there are cores
+def test_many_partitions_give_the_same_scores(spark, monkeypatch, parts, direct):
     monkeypatch.setattr(G, "BLOCK", 256)
-    df = frame(spark, 4_000, 5)
+    monkeypatch.setattr(G, "DIRECT_PARTS", direct)
+    df = frame(spark, 4_000, parts)
     params = {"maxIter": 12, "maxDepth": 4}
     got, want = ([r["score"] for r in ML.score(df, m, keep=["id"]).orderBy("id").collect()]
                  for m in (ML.fit_gbt(df, params=params), spark_fit(df, params)))
